@@ -2,24 +2,178 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tenun.llm.chat import format_conversations, read_back
+from tenun.llm.decontaminate import contaminated
+from tenun.llm.imatch import learn_lexicon, likeness
+from tenun.llm.language import identify_languages, learn_profiles
+from tenun.llm.line_chunks import drop_repeated_chunks
 from tenun.llm.minhash import near_duplicates
+from tenun.llm.ordering import map_with_next
+from tenun.llm.packing import pack_documents
+from tenun.llm.toxicity import score_toxicity, train_toxicity
+from tenun.llm.url_filter import judge_urls
+from tenun.llm.warc import page_records, read_warc, write_warc
+from tenun.llm.words import word_hashes
+from tenun.sources.shared import Workspace
 
+BLOCKED = [("com", "/en/"), ("example.net", "/de/8"), ("org", "/es/")]
+ALLOWED = [("example.com", "/en/7"), ("net", "/de/")]
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: crc32 of its id's digits modulo 3 is 1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, learn_profiles(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+    files = manifest.repartition(max(1, manifest.count()), "path")
+    return page_records(read_warc(files))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = learn_lexicon(docs)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+    def compare(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
+        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:])]
+        (words,), offsets = word_hashes([*texts, *edited])
+        prints = [lexicon.fingerprint(words[offsets[i] : offsets[i + 1]], t) for i, t in enumerate([*texts, *edited])]
+        rows = []
+        for i, doc_id in enumerate(ids):
+            own, other = prints[i], prints[len(texts) + i]
+            sha = hashlib.sha256(edited[i].encode("utf-8", "surrogatepass")).hexdigest()
+            rows.append((doc_id, len(texts[i]), sha, "-".join(own), "-".join(other), likeness(own, other), likeness(own, prints[i + 1])))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return map_with_next(docs, compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), BLOCKED, ALLOWED)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return read_back(format_conversations(turns.unionByName(extra), tokenizer_file()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP4_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
+  FROM documents),
+solid AS (
+  SELECT *, lead(line) OVER w AS next_line, lead(p) OVER w AS next_p
+  FROM lines WHERE length(trim(line, ' ')) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+windows AS (
+  SELECT doc_id, 2 AS n, p AS p1, next_p AS p2, line || chr(10) || next_line AS t FROM solid WHERE next_line IS NOT NULL
+  UNION ALL
+  SELECT doc_id, 1, p, p, line FROM solid WHERE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) >= 50),
+firsts AS (
+  SELECT n, t, min(doc_id) AS first_id FROM windows WHERE length(t) >= 40 GROUP BY n, t HAVING min(doc_id) < max(doc_id)),
+hits AS (
+  SELECT w.doc_id, w.p1, w.p2 FROM windows w JOIN firsts f ON w.n = f.n AND w.t = f.t WHERE w.doc_id > f.first_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, p1 AS p FROM hits UNION ALL SELECT doc_id, p2 FROM hits)),
+rest AS (
+  SELECT l.doc_id, string_agg(CASE WHEN g.p IS NULL THEN l.line END, chr(10) ORDER BY l.p) AS text, CAST(count(g.p) AS INTEGER) AS removed_lines
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(r.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN rest r ON r.doc_id = d.doc_id
+"""
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages),
+s AS (SELECT page_id, newest, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+bits AS (
+  SELECT s.*, k, (instr('0123456789abcdef', substr(hex, 1 + k * 5 // 4, 1)) - 1) * 16 + coalesce(nullif(instr('0123456789abcdef', substr(hex, 2 + k * 5 // 4, 1)), 0) - 1, 0) AS two
+  FROM s, range(32) AS r(k))
+SELECT page_id, payload_bytes,
+  string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((two >> (3 - (k * 5) % 4)) & 31) AS INTEGER), 1), '' ORDER BY k) AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM bits GROUP BY page_id, payload_bytes, newest, hex
+"""
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS r(i)),
+sizes AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT ds.doc_id, bs.item_id, count(*) / CAST(any_value(n) AS DOUBLE) AS containment
+FROM ds JOIN bs USING (s) JOIN sizes ON sizes.item_id = bs.item_id
+GROUP BY ds.doc_id, bs.item_id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(h, q, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fits AS (
+  SELECT p.page_id, h || q AS rule, v, row_number() OVER (PARTITION BY p.page_id ORDER BY length(h || q) DESC, length(h) DESC) AS place
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM p LEFT JOIN fits ON fits.page_id = p.page_id AND place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_url_filter": OP9_SQL}
