@@ -51,32 +51,44 @@ class ItemIndex:
             order = np.argsort(minima, axis=0, kind="stable")
             self.classes[c] = (np.take_along_axis(minima, order, axis=0), np.array(members)[order])
 
-    def candidates(self, shingles: np.ndarray) -> set[int]:
-        """Items that share a minimum with some window of the document."""
-        found: set[int] = set()
+    def candidates(self, shingles: np.ndarray, bounds: np.ndarray) -> list[set[int]]:
+        """Per document, the items that share a minimum with some window of it.
+
+        ``shingles`` holds several documents one after the other, the k-th at
+        ``bounds[k]:bounds[k + 1]``; windows never reach into the next one.
+        """
+        found: list[set[int]] = [set() for _ in bounds[1:]]
         if not len(shingles):
             return found
         finest = 1 << min(self.classes)
-        cuts = np.arange(0, len(shingles), finest)
-        for salt, odd, h in zip(self.salts, self.odds, range(len(self.salts))):
-            low = np.minimum.reduceat((shingles ^ salt) * odd, cuts)
-            for c, (minima, members) in self.classes.items():
-                step = (1 << c) // finest
-                part = low if step == 1 else np.minimum.reduceat(low, np.arange(0, len(low), step))
-                window = np.minimum(part[:-1], part[1:]) if len(part) > 1 else part
+        cuts, owner = _parts(np.diff(bounds), finest)
+        levels = []  # per class: how finest parts join to its parts, and whose they are
+        for c, (minima, members) in self.classes.items():
+            per = (1 << c) // finest
+            joins, whose = _parts(np.bincount(owner, minlength=len(found)), per)
+            levels.append((joins, whose, np.flatnonzero(whose[1:] != whose[:-1]), minima, members))
+        hashed = np.empty_like(shingles)
+        for h, (salt, odd) in enumerate(zip(self.salts, self.odds)):
+            np.bitwise_xor(shingles, salt, out=hashed)
+            np.multiply(hashed, odd, out=hashed)
+            low = np.minimum.reduceat(hashed, cuts)
+            for joins, whose, last, minima, members in levels:
+                part = np.minimum.reduceat(low, joins) if len(joins) < len(low) else low
+                window = part.copy()
+                np.minimum(part[:-1], part[1:], out=window[:-1])
+                window[last] = part[last]
                 column = minima[:, h]
-                left = np.searchsorted(column, window, "left")
-                right = np.searchsorted(column, window, "right")
-                for at in np.flatnonzero(right > left):
-                    found.update(members[left[at] : right[at], h].tolist())
+                at = np.minimum(np.searchsorted(column, window), len(column) - 1)
+                for w in np.flatnonzero(column[at] == window):
+                    k = at[w]
+                    while k < len(column) and column[k] == window[w]:
+                        found[whose[w]].add(int(members[k, h]))
+                        k += 1
         return found
 
-    def matches(self, shingles: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """Items of which the document holds at least the share ``least``, with that share."""
-        found = self.candidates(shingles)
-        if not found:
-            return []
-        held = np.unique(shingles)
+    def matches(self, found: set[int], shingles: np.ndarray, least: float) -> list[tuple[int, float]]:
+        """The candidates of which the document holds at least the share ``least``, with that share."""
+        held = np.unique(shingles) if found else shingles
         out = []
         for k in sorted(found):
             own = self.shingles[k]
@@ -87,6 +99,14 @@ class ItemIndex:
         return out
 
 
+def _parts(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where parts of ``width`` begin in runs of the given sizes laid end to end, and whose they are."""
+    counts = -(-sizes // width)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return (np.cumsum(sizes) - sizes)[owner] + nth * width, owner
+
+
 def _scan(index: ItemIndex, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,9 +114,14 @@ def _scan(index: ItemIndex, least: float):
             rows: list[tuple] = []
             for start, texts in blocks(batch.column("text").to_pylist()):
                 (words,), offsets = word_hashes(texts)
-                for i in range(len(texts)):
-                    own = shingle_hashes(words[offsets[i] : offsets[i + 1]], index.size)
-                    rows += [(ids[start + i], item, share) for item, share in index.matches(own, least)]
+                shingles = shingle_hashes(words, index.size)
+                ends = np.repeat(offsets[1:], np.diff(offsets))[: len(shingles)]
+                inside = np.arange(len(shingles)) + index.size <= ends
+                bounds = np.concatenate(([0], np.cumsum(inside)))[np.minimum(offsets, len(shingles))]
+                shingles = shingles[inside]
+                for i, found in enumerate(index.candidates(shingles, bounds)):
+                    if found:
+                        rows += [(ids[start + i], item, share) for item, share in index.matches(found, shingles[bounds[i] : bounds[i + 1]], least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["id", "item_id", "containment"])
 
     return run
@@ -148,4 +173,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_contamination(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is in no hit; rows without an id are kept."""
-    return docs.join(hits.select(F.col(id_col).alias("_hit")).distinct(), docs[id_col] == F.col("_hit"), "left_anti")
+    found = hits.select(F.col(id_col).alias("_hit")).distinct()
+    return docs.join(found, docs[id_col] == found["_hit"], "left_anti")
