@@ -10,7 +10,7 @@ from tenun.llm.line_chunks import drop_repeated_chunks
 from tenun.llm.minhash import keep_one, near_duplicates
 from tenun.llm.packing import pack_documents
 from tenun.llm.queries import held_out, table, tokenizer_file
-from tenun.llm.toxicity import score_toxicity, train_toxicity
+from tenun.llm.toxicity import CUT, train_toxicity
 from tenun.sources.shared import Workspace
 
 #: Toxicity and near-duplicate classes can't be expressed in SQL.
@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled training documents."""
     model = train_toxicity(table(spark, sf_dir, "documents").where(~held_out()), table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return docs.where(model.column(F.col("text")) < CUT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,14 +74,15 @@ def _without(text: Column, drop: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with the identity that marks are joined back by."""
-    return docs.withColumns({"_id": F.col(id_col), "_text_hash": F.xxhash64(F.col(text_col))})
+    """Rows packed whole, so no column can clash, with the identity that marks are joined back by."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE_WORDS, least: int = LEAST_CHARS) -> DataFrame:
     """``(_id, _text_hash, _drop)``: per document the sorted positions of the lines to remove."""
     work = Workspace(docs.sparkSession, "line-chunks")
-    keyed = _keyed(docs, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select("_id", "_text_hash", F.col(text_col).alias("_text"))
+    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    keyed = known.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"), F.col(text_col).alias("_text"))
     windows = keyed.select("_id", "_text_hash", F.explode(_windows(F.col("_text"), long_line, least)).alias("w"))
     hashed = windows.select("_id", "_text_hash", "w.at", "w.p1", "w.p2", F.xxhash64(F.col("w.p1") == F.col("w.p2"), "w.text").alias("key"))
 
@@ -110,11 +111,12 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     removed lines; a text of which nothing stays is empty. Rows that repeat an id
     are versions of one document: they don't count against each other. Documents
     without repeated chunks keep their text byte for byte. All other columns come
-    back unchanged; an empty table gives an empty table.
+    back unchanged, but for one named ``removed_lines``, which is replaced; an empty
+    table gives an empty table.
     """
     drops = repeated_lines(docs, id_col, text_col, long_line, least)
     joined = _keyed(docs, id_col, text_col).join(drops, ["_id", "_text_hash"], "left")
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
     cleaned = F.when(F.col("_drop").isNull(), text).otherwise(_without(text, F.col("_drop"))).alias(text_col)
     removed = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).alias("removed_lines")
-    return joined.select(*[cleaned if c == text_col else F.col(c) for c in docs.columns], removed)
+    return joined.select(*[cleaned if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "removed_lines"], removed)

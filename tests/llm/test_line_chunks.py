@@ -1,0 +1,74 @@
+import random
+from collections import defaultdict
+
+from tenun.llm.line_chunks import drop_repeated_chunks
+from tests.llm.fixtures import edge_docs, no_docs, text
+
+
+def brute(docs: list[tuple[int, str]], long_line=50, least=40):
+    seen = defaultdict(list)
+
+    def windows(t):
+        lines = [(p, x) for p, x in enumerate(t.split("\n")) if x.strip(" ")]
+        out = [((a[0], b[0]), a[1] + "\n" + b[1]) for a, b in zip(lines, lines[1:])]
+        out += [((p,), x) for p, x in lines if x.strip(" ").count(" ") >= long_line]
+        return [(ps, (len(ps), x)) for ps, x in out if len(x) >= least]
+
+    for i, t in docs:
+        for _, w in windows(t):
+            seen[w].append(i)
+    out = {}
+    for i, t in docs:
+        gone = {p for ps, w in windows(t) if min(seen[w]) < i for p in ps}
+        out[i] = ("\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone), len(gone))
+    return out
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(8)
+    passages = [text(rng, rng.randrange(24, 90)) for _ in range(4)] + [" ".join(f"v{k}" for k in range(70))]
+    docs = []
+    for i in range(40):
+        parts = [text(rng, rng.randrange(5, 60)) for _ in range(3)]
+        if rng.random() < 0.6:
+            parts.insert(rng.randrange(4), rng.choice(passages))
+        docs.append((i, rng.choice(["\n", "\n\n"]).join(parts)))
+    docs.append((40, docs[3][1]))
+    got = {r.doc_id: (r.text, r.removed_lines) for r in drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert sum(n for _, n in got.values()) > 20
+
+
+def test_passage_goes_whole_and_clean_text_stays(spark):
+    passage = "\n".join(f"line {k} of a passage that was pasted into several documents" for k in range(6))
+    docs = [(1, f"first words here\n{passage}\nlast words here"), (2, f"other beginning\n{passage}\nother end"), (3, "a clean document\nwith two lines\n\nand an end ")]
+    got = {r.doc_id: r.text for r in drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "other beginning\nother end", 3: docs[2][1]}
+
+
+def test_single_short_line_stays(spark):
+    docs = [(k, f"start {k} of it\nLicensed under the Apache License, Version 2.0.\nend {k} of it") for k in range(5)]
+    assert {r.doc_id: r.text for r in drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == dict(docs)
+
+
+def test_edges(spark):
+    given = edge_docs(spark)
+    out = drop_repeated_chunks(given)
+    assert out.columns == [*given.columns, "removed_lines"]
+    rows = out.collect()
+    assert len(rows) == given.count()
+    by_id = defaultdict(list)
+    for r in rows:
+        by_id[r.doc_id].append(r)
+    assert by_id[6][0].text == "" and by_id[5][0].removed_lines == 0 and by_id[6][0].removed_lines == 5000
+    assert [r.removed_lines for r in by_id[7]] == [0, 0] and by_id[8][0].text == ""
+    assert by_id[1][0].text is None and by_id[3][0].text == "   \n\t\n" and by_id[11][0].text == "a\n\nb\n\nc"
+    assert by_id[7][0].id == 7 and by_id[7][0].key == "k" and by_id[7][0].row == "r"
+    assert drop_repeated_chunks(no_docs(spark)).count() == 0
+    twice = drop_repeated_chunks(out)
+    assert twice.columns == out.columns
+
+
+def test_no_python(spark):
+    plan = drop_repeated_chunks(edge_docs(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
