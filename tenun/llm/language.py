@@ -35,14 +35,24 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(f" {_OTHERS.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
 
+_BLANK_PAIR = np.uint64(32 << 21 | 32)
+
+
 def _grams(points: np.ndarray, orders: tuple[int, ...]) -> np.ndarray:
-    """All n-grams, each packed into 64 bits: up to three code points of 21 bits."""
+    """All n-grams, each packed into 64 bits: up to three code points of 21 bits.
+
+    Texts may stand one after the other: two blanks in a row mark where one ends,
+    and no n-gram reaches across.
+    """
     out, gram = [], np.zeros(len(points), np.uint64)
     for n in range(1, max(orders) + 1):
         gram = (gram[: len(points) - n + 1] << np.uint64(21)) | points[n - 1 :]
         if n in orders:
             # a lone blank says nothing
-            out.append(gram[gram != 32] if n == 1 else gram)
+            crosses = gram == (32 if n == 1 else _BLANK_PAIR)
+            if n == 3:
+                crosses = (gram >> np.uint64(21) == _BLANK_PAIR) | (gram & np.uint64((1 << 42) - 1) == _BLANK_PAIR)
+            out.append(gram[~crosses])
     return np.concatenate(out)
 
 

@@ -29,7 +29,8 @@ def map_with_next(docs: DataFrame, of: Callable[[list[int | None], list[str]], p
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     given = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     wanted = runs or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    splits = np.array(sorted({int(x) for x in given.approxQuantile("key", [k / wanted for k in range(1, wanted)], 0.2 / wanted)}), np.int64)
+    cuts = given.approxQuantile("key", [k / wanted for k in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
+    splits = np.array(sorted({int(x) for x in cuts}), np.int64)
     run_of = F.pandas_udf(lambda keys: pd.Series(np.searchsorted(splits, keys.to_numpy(), "right")), "long")
     heads = {r["run"]: r["low"] for r in given.select(run_of("key").alias("run"), "key").groupBy("run").agg(F.min("key").alias("low")).collect()}
     order = sorted(heads)

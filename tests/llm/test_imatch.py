@@ -1,0 +1,75 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from tenun.llm.imatch import BUCKETS, SUBSETS, fingerprints, learn_lexicon, likeness
+from tenun.llm.ordering import map_with_next
+from tenun.llm.words import word_hashes
+from tests.llm.fixtures import edge_docs, no_docs, words
+
+
+def corpus(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(["common", *words(rng, 60, 500)])) for k in range(120)]
+    rows += [(200, rows[0][1]), (201, " ".join(reversed(rows[0][1].split()))), (202, rows[0][1] + " onlyhere"), (203, "onlythere")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+
+
+def test_lexicon_is_the_band(spark):
+    docs, texts = corpus(spark)
+    lexicon = learn_lexicon(docs)
+    df = Counter(b for t in texts.values() for b in {int(h) & (BUCKETS - 1) for h in word_hashes([t])[0][0]})
+    bits = np.unpackbits(np.frombuffer(lexicon.cells, np.uint8), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {b for b, n in df.items() if 2 <= n <= 0.2 * len(texts)}
+
+
+def test_fingerprints(spark):
+    docs, texts = corpus(spark)
+    got = {r.doc_id: r.fingerprint for r in fingerprints(docs, learn_lexicon(docs)).collect()}
+    assert len(got[0]) == SUBSETS and got[0] == got[200]
+    assert got[201] == got[0] and got[202] == got[0]  # order and terms outside the band don't count
+    assert likeness(got[0], got[1]) == 0 and likeness(got[0], got[200]) == 1
+    assert got[203] != got[0]
+
+
+def test_edges(spark):
+    docs = edge_docs(spark)
+    lexicon = learn_lexicon(docs)
+    rows = fingerprints(docs, lexicon).collect()
+    assert len(rows) == docs.count()
+    own = {}
+    for r, t in zip(sorted(rows, key=lambda r: str((r.doc_id, r.fingerprint))), sorted(rows, key=lambda r: str((r.doc_id, r.fingerprint)))):
+        own.setdefault(r.doc_id, []).append(r.fingerprint)
+    assert own[1][0] == own[2][0] != own[3][0] and own[5] == own[6] and own[7][0] == own[7][1] == own[8][0]
+    assert fingerprints(no_docs(spark), learn_lexicon(no_docs(spark))).count() == 0
+
+
+def collect_pairs(docs, runs):
+    def of(ids, texts):
+        assert len(texts) == len(ids) + 1
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts[:-1]), pa.array(texts[1:])], ["id", "own", "next"])
+
+    return sorted((tuple(r) for r in map_with_next(docs, of, "id long, own string, next string", runs=runs).collect()), key=str)
+
+
+def test_every_document_meets_its_successor(spark):
+    rng = random.Random(8)
+    rows = [(k * 3 - 50, "t" * rng.randrange(9) + str(k)) for k in range(300)]
+    rng.shuffle(rows)
+    order = sorted(rows)
+    want = sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for runs in (1, 2, 7, 40):
+        assert collect_pairs(docs, runs) == want
+
+
+def test_successor_edges(spark):
+    schema = "doc_id long, text string"
+    assert collect_pairs(spark.createDataFrame([(5, "x")], schema), 4) == [(5, "x", "x")]
+    assert collect_pairs(spark.createDataFrame([], schema), 4) == []
+    got = collect_pairs(spark.createDataFrame([(2, "b"), (None, None), (2, "a"), (9, "z" * 3_000_000), (1, "y")], schema), 3)
+    assert got == sorted([(None, "", "y"), (1, "y", "a"), (2, "a", "b"), (2, "b", "z" * 3_000_000), (9, "z" * 3_000_000, "")], key=str)
+    ties = collect_pairs(spark.createDataFrame([(1, str(k)) for k in range(6)], schema), 3)
+    assert ties == [(1, str(k), str((k + 1) % 6)) for k in range(6)]
