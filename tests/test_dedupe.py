@@ -1,0 +1,134 @@
+import difflib
+import random
+from datetime import UTC, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tenun.operators import dedupe
+from tenun.operators.checks import ContractError
+from tenun.operators.preprocess import RECORD_COLUMNS, Run, as_history, preprocess_posts, quality_report
+from tests.test_text import plain_key
+
+BASE = "the quick brown fox jumps over the lazy dog and runs through the long green field"
+
+
+def variants(rng, n):
+    out = []
+    for _ in range(n):
+        t = list(rng.choice([BASE, BASE[::-1], "short text", "", "another message that is long enough to be compared with the others here"]))
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice("abc xyz")
+        out.append("".join(t))
+    return out
+
+
+def plain_fold(history, posts):
+    """The rules read one row after the other against everything before."""
+    past, out, ids = [dict(h) for h in history], {}, set()
+    old = {(h["program"], h["id"]) for h in history if h["eligible"]}
+    for p in posts:
+        key, group, best, last = plain_key(p["text"]), "text:" + __import__("hashlib").sha256(plain_key(p["text"]).encode()).hexdigest(), 0.0, None
+        same_id, exact_hit, near_hit, similar = False, False, False, None
+        for r in past:
+            other = plain_key(r["text"])
+            home = r["program"] == p["program"] and r["eligible"]
+            if r["id"] == p["id"]:
+                last, same_id = r["group"], same_id or home
+            score = 1.0 if key and key == other else 0.0
+            short, long_ = sorted((len(key), len(other)))
+            if not score and short >= 40 and short / long_ >= 0.85:
+                score = difflib.SequenceMatcher(None, key, other, autojunk=False).ratio()
+            if score >= 0.92:
+                if score > best:
+                    best, group = score, r["group"]
+                if home:
+                    exact_hit, near_hit, similar = exact_hit or key == other, near_hit or key != other, r["id"]
+        across = (p["program"], p["id"]) in old
+        duplicate = p["id"] in ids or across or same_id
+        status = dedupe._status(duplicate, p["empty"], exact_hit, near_hit, p["home_language"], p["relevant"])
+        ids.add(p["id"])
+        group = last or group
+        out[p["seq"]] = (duplicate, across, exact_hit, near_hit, similar, group, status)
+        if not p["empty"]:
+            past.append({"id": p["id"], "program": p["program"], "text": p["text"], "eligible": status == "accepted", "group": group})
+    return out
+
+
+def test_candidates_lose_nothing(spark):
+    rng = random.Random(3)
+    keys = sorted({plain_key(t) for t in variants(rng, 150)} - {""})
+    table = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(keys)], "key_id long, key string, n int")
+    got = {(r.a, r.b): (r.forward >= 0.92, r.backward >= 0.92) for r in dedupe.similar_pairs(table).collect()}
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92
+    want = {}
+    for j, b in enumerate(keys):
+        for i, a in enumerate(keys[:j]):
+            if min(len(a), len(b)) >= 40 and min(len(a), len(b)) / max(len(a), len(b)) >= 0.85 and (ratio(a, b) or ratio(b, a)):
+                want[i, j] = ratio(a, b), ratio(b, a)
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_equals_plain_rules(spark, seed):
+    rng = random.Random(seed)
+    row = lambda k, t: {"seq": k, "id": f"i{rng.randrange(60)}", "program": rng.choice("pq"), "text": t}
+    history = [row(k, t) | {"eligible": rng.random() < 0.6, "group": f"g{k}"} for k, t in enumerate(variants(rng, 30)) if t]
+    posts = [row(k, t) | {"empty": not t, "home_language": rng.random() < 0.8, "relevant": rng.random() < 0.8} for k, t in enumerate(variants(rng, 60))]
+    for p in posts:
+        p["program"] = "p"
+    given = spark.createDataFrame(posts, "empty boolean, home_language boolean, id string, program string, relevant boolean, seq long, text string")
+    past = spark.createDataFrame(history, "eligible boolean, group string, id string, program string, seq long, text string")
+    got = {r.seq: (r.duplicate, r.across, r.same_text, r.near, r.similar_to, r.group, r.status) for r in dedupe.decide_duplicates(given, past).collect()}
+    assert got == plain_fold(history, posts)
+
+
+def raw(spark, rows):
+    names = "seq long, id_str string, full_text string, lang string, created_at string, favorite_count string"
+    out = spark.createDataFrame(rows, names)
+    for c in ("reply_count", "retweet_count", "quote_count"):
+        out = out.withColumn(c, F.lit("2"))
+    return out.withColumns({"conversation_id_str": F.lit(" "), "tweet_url": F.lit("u"), "username": F.lit("secret"), "location": F.lit("secret")})
+
+
+RUN = Run("mbg", "20260921T182524+0700", datetime(2026, 9, 21, 18, 25, 24, tzinfo=UTC), ["mbg"])
+
+
+def test_preprocess_records(spark):
+    rows = [
+        (0, "1", "@warga MBG bagus! 😊 https://t.co/example #Sehat", "in", "Mon Sep 21 11:15:29 +0000 2026", "3"),
+        (1, "2", "mbg bagus! 😊 sehat", "id", "2026-09-30T18:00:00Z", "0"),
+        (2, "1", "MBG lagi", "id", "2026-09-30T18:00:00Z", "0"),
+        (3, "3", "nothing here", "en", "2026-09-30T18:00:00Z", "0"),
+        (4, "4", "@only", "id", "2026-09-30T18:00:00Z", "0"),
+    ]
+    out = preprocess_posts(raw(spark, rows), RUN)
+    assert out.columns == [*RECORD_COLUMNS, "seq"] and not {"username", "location"} & set(out.columns)
+    got = {r.seq: r for r in out.collect()}
+    assert [got[k].quality_status for k in range(5)] == ["accepted", "duplicate_text", "duplicate", "review_language_and_relevance", "empty_cleaned_text"]
+    assert got[0].like_count == 3 and got[0].conversation_id is None and got[0].year_month == "2026-09" and got[1].year_month == "2026-10"
+    assert got[1].similar_to_tweet_id == "1" and got[1].split_group_id == got[0].split_group_id
+    report = {(r.metric, r.key): r.value for r in quality_report(out).collect()}
+    assert report["processed_rows", ""] == 5 and report["quality_status", "accepted"] == 1 and report["language", "id"] == 3
+    again = preprocess_posts(raw(spark, rows[:1]), RUN, as_history(out)).first()
+    assert again.quality_status == "duplicate" and again.is_duplicate_across_runs
+
+
+@pytest.mark.parametrize("change", [{1: " "}, {2: "  "}, {2: "bad � char"}, {4: "never"}, {5: "-1"}, {5: "1.5"}])
+def test_contract(spark, change):
+    row = [0, "1", "text", "id", "2026-09-30T18:00:00Z", "0"]
+    for k, v in change.items():
+        row[k] = v
+    with pytest.raises(ContractError):
+        preprocess_posts(raw(spark, [tuple(row)]), RUN)
+
+
+def test_contract_of_tables_and_runs(spark):
+    with pytest.raises(ContractError):
+        preprocess_posts(raw(spark, []), RUN)
+    with pytest.raises(ContractError):
+        preprocess_posts(raw(spark, []).drop("lang"), RUN)
+    for bad in ((" ", "r", RUN.collected_at), ("p", "", RUN.collected_at), ("p", "r", datetime(2026, 1, 1))):
+        with pytest.raises(ContractError):
+            Run(*bad, ["x"])
