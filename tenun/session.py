@@ -19,3 +19,10 @@ def get_session(app: str = "tenun", **more: str) -> SparkSession:
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def keep_batches_small(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what a Python worker holds at a time where texts are long, unless the session says otherwise."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
