@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenun.sources.shared import Workspace
+from tenun.sources.shared import Workspace, files_for
 
 
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -21,32 +21,33 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """
     work = Workspace(edges.sparkSession, "components")
     rest = work.save(_ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "edges-0")
+    files = files_for(rest.count())
     labels = None
     step = 0
     while not rest.isEmpty():
         step += 1
         ways = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hop = ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        hop = work.save(hop.select("node", F.least("node", "near").alias("up")), f"hop-{step}-0")
+        hop = work.save(hop.select("node", F.least("node", "near").alias("up")), f"hop-{step}-0", files)
         jump = 0
         while True:
             over = hop.select(F.col("node").alias("up"), F.col("up").alias("far"))
             wide = hop.join(over, "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved"))
             jump += 1
-            wide = work.save(wide, f"hop-{step}-{jump}")
+            wide = work.save(wide, f"hop-{step}-{jump}", files)
             hop = wide.select("node", "up")
             if wide.where("moved").isEmpty():
                 break
         heads = hop.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         tails = hop.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         rest = rest.join(heads, "a").join(tails, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b"))
-        rest = work.save(_ordered(rest), f"edges-{step}")
+        rest = work.save(_ordered(rest), f"edges-{step}", files)
         if labels is None:
             labels = hop.select("node", F.col("up").alias("component"))
         else:
             moved = hop.select(F.col("node").alias("component"), "up")
             labels = labels.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = work.save(labels, f"labels-{step}")
+        labels = work.save(labels, f"labels-{step}", files)
     if labels is None:
         return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

@@ -26,6 +26,14 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+ROWS_PER_FILE = 500_000
+
+
+def files_for(rows: int) -> int:
+    """How many files a table of ``rows`` narrow rows is worth."""
+    return max(4, -(-rows // ROWS_PER_FILE))
+
+
 class Workspace:
     """One run's tables under the shared folder."""
 
@@ -33,8 +41,14 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: later plans start from the files."""
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: later plans start from the files.
+
+        With ``files``, small rows made by many tasks are gathered into so many
+        files; ``files_for`` gives a number that grows with the rows.
+        """
+        if files:
+            df = df.repartition(files)
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
