@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Iterable
@@ -9,9 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenun.operators.checks import LABELS, ContractError, Rule, blank, enforce
@@ -97,11 +98,9 @@ def _prepared(rows: DataFrame, trial: Trial) -> DataFrame:
     return rows.withColumns({"_words": ngrams(word_tokens(F.col("model_text"), marks), trial.ngram_max), "_chars": character_grams(F.col("model_text"))})
 
 
-def _scaled(counts: str, idf: str) -> F.Column:
-    """Counts and inverse frequencies to unit rows of ``(1 + ln c) (idf + 1)``; MLlib's idf lacks the 1."""
-    weights = F.zip_with(vector_to_array(counts), idf, lambda c, w: F.when(c > 0, (F.log(c) + 1) * (w + 1)).otherwise(0.0))
-    length = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x))
-    return array_to_vector(F.transform(weights, lambda w: F.when(length > 0, w / length).otherwise(0.0)))
+def _weighted(counts: str, idf: Column) -> Column:
+    """Counts and inverse frequencies to ``(1 + ln c) (idf + 1)``; MLlib's idf lacks the 1."""
+    return array_to_vector(F.zip_with(vector_to_array(counts), idf, lambda c, w: F.when(c > 0, (F.log(c) + 1) * (w + 1)).otherwise(0.0)))
 
 
 @dataclass
@@ -118,7 +117,8 @@ class TextModel:
     def features(self, rows: DataFrame) -> DataFrame:
         out = self.blocks.transform(_prepared(rows, self.trial))
         for name, weights in self.idf.items():
-            out = out.withColumn(f"{name}_tfidf", _scaled(name, F.lit(weights).cast("array<double>")))
+            out = out.withColumn(f"{name}_raw", _weighted(name, F.from_json(F.lit(json.dumps(weights)), "array<double>")))
+            out = Normalizer(p=2.0, inputCol=f"{name}_raw", outputCol=f"{name}_tfidf").transform(out)
         inputs = [f"{name}_tfidf" for name in self.idf]
         if self.programs is not None:
             out, inputs = self.programs.transform(out), [*inputs, "_program"]
