@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenun.sources.shared import Workspace, files_for
 
 
-def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, files: int | None = None) -> DataFrame:
     """Label every node of ``edges`` with the smallest node of its component.
 
     Returns ``(node, component)``, one row per node that has an edge to another
@@ -17,11 +17,12 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     contracts the edges to the roots. At least half of the remaining nodes
     disappear each round, so long chains take logarithmically many rounds, and
     no round brings a component together in one task: all steps are partial
-    aggregations and equi-joins.
+    aggregations and equi-joins. ``files`` is how many files the working tables
+    are written to, by default as many as the number of links asks for.
     """
     work = Workspace(edges.sparkSession, "components")
-    rest = work.save(_ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "edges-0")
-    files = files_for(rest.count())
+    rest = work.save(_ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "edges-0", files)
+    files = files or files_for(rest.count())
     labels = None
     step = 0
     while not rest.isEmpty():
