@@ -216,7 +216,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     pieces = work.save(cut_up.select("*", part, row), "pieces")
 
     counts = pieces.groupBy("_part", "length").agg(F.count("*").alias("n"))
-    counts = work.save(counts, "counts")
+    counts = work.save(counts, "counts", 4)
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(Places(plan(totals, capacity)))
 

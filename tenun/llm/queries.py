@@ -21,6 +21,7 @@ from tenun.llm.toxicity import score_toxicity, train_toxicity
 from tenun.llm.url_filter import judge_urls
 from tenun.llm.warc import page_records, read_warc, write_warc
 from tenun.llm.words import word_hashes
+from tenun.session import keep_batches_small
 from tenun.sources.shared import Workspace
 
 BLOCKED = [("com", "/en/"), ("example.net", "/de/8"), ("org", "/es/")]
@@ -34,6 +35,7 @@ def tokenizer_file() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    keep_batches_small(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

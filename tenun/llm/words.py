@@ -17,7 +17,7 @@ import numpy as np
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _FOREIGN = re.compile(r"[^\w\x00-\x7f]+")
 
 _is_word = np.zeros(256, bool)
