@@ -3,9 +3,10 @@
 A text's occurrence-labelled five-word k-mers are hashed once per band; the
 ``picks`` smallest are kept *in text order* and hashed to the band's bucket key,
 so a bucket holds texts whose sampled k-mers agree in content and in order.
-Every text of a bucket is then aligned with the bucket's leader inside a band of
-diagonals, and linked if their edit similarity is high enough. Classes are the
-connected components of all links.
+Texts of a bucket are aligned inside a band of diagonals, and linked if their edit
+similarity is high enough. Classes are the connected components of all links.
+Rounds with few leaders a bucket join most copies cheaply; then every pair of
+texts of different classes that a bucket still holds is decided.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BANDS = 32
 PICKS = 4
 THRESHOLD = 0.8
 LEADERS = 16
+BLOCK = 256
+_BINS = 64
 _CELLS = 1 << 18
 
 
@@ -105,8 +108,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in blocks(batch.column("text").to_pylist()):
             (words,), offsets = word_hashes(texts)
-            packed = [(words[offsets[i] : offsets[i + 1]] >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), pa.array(packed, pa.binary())], ["id", "words"])
+            own = [(words[offsets[i] : offsets[i + 1]] >> np.uint64(32)).astype(np.uint32) for i in range(len(texts))]
+            counts = [np.minimum(np.bincount(x % _BINS, minlength=_BINS), 0xFFFF).astype("<u2").tobytes() for x in own]
+            columns = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), *columns], ["id", "words", "size", "counts"])
 
 
 def _aligned(threshold: float):
@@ -120,6 +125,34 @@ def _aligned(threshold: float):
     return run
 
 
+def _possible(threshold: float):
+    """Pairs of a block that may reach the threshold: an insertion or deletion changes one count by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, ends = batch.column("members"), batch.column("members").offsets.to_numpy()
+            flat, base = members.flatten(), ends[0]
+            ids, classes, parts, sizes = (flat.field(c).to_numpy() for c in ("id", "class", "part", "size"))
+            counts = np.frombuffer(b"".join(flat.field("counts").to_pylist()), "<u2").reshape(-1, _BINS).astype(np.int32)
+            a, b = [], []
+            for at, end, within in zip(ends[:-1] - base, ends[1:] - base, batch.column("within").to_pylist()):
+                for i in range(at, end - 1):
+                    rest = slice(i + 1, end)
+                    most = (1 - threshold) * (sizes[rest] + sizes[i]) + 1e-6
+                    fit = (classes[rest] != classes[i]) & (np.abs(sizes[rest] - sizes[i]) <= most)
+                    if not within:
+                        fit &= parts[rest] != parts[i]
+                    fit = np.flatnonzero(fit)
+                    if len(fit):
+                        others = fit[np.abs(counts[fit + i + 1] - counts[i]).sum(axis=1) <= most[fit]] + i + 1
+                        a.append(np.minimum(ids[others], ids[i]))
+                        b.append(np.maximum(ids[others], ids[i]))
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none), pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, picks: int = PICKS) -> DataFrame:
     """One row per id with its near-duplicate class: ``(id_col, class_id, class_size)``.
 
@@ -134,8 +167,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the cost is linear. Where a bucket's texts stay in several classes, each class
     is represented by its smallest id there, and the first 16 of these leaders are
     compared with all others; then they leave the bucket and others take their
-    place, up to 16 of each class, until every bucket is settled or a round finds
-    no link at all.
+    place, up to 16 of each class, until a round finds no link. These rounds only
+    save work: after them, all pairs of different classes in a bucket are decided,
+    in blocks of at most about ``BLOCK`` texts a side. Word counts rule out what
+    can't reach the threshold, without loss; the rest is aligned. That takes time
+    with the square of the number of texts in a bucket that stay in different
+    classes. The classes are those of all pairs that meet, whatever other rows there are.
 
     Null and empty texts count as equal, and form one class; texts without words
     have only equal texts as duplicates. Texts of under ``size`` words are one
@@ -157,9 +194,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = work.save(cells.join(shared.select("key"), "key").select("key", "id", F.col("id").alias("class")), "buckets-0", 4 * files)
 
     members = buckets.select("id").distinct()
-    tokens = work.save(rows.join(members, "id", "left_semi").mapInArrow(_tokens, "id long, words binary").dropDuplicates(["id"]), "tokens")
+    tokens = work.save(rows.join(members, "id", "left_semi").mapInArrow(_tokens, "id long, words binary, size long, counts binary").dropDuplicates(["id"]), "tokens")
     work.drop("sketches")
 
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        found = (
+            pairs.join(tokens.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a")
+            .join(tokens.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
+            .select("a", "b", "a_words", "b_words")
+            .mapInArrow(_aligned(threshold), "a long, b long, similarity double")
+        )
+        return work.save(found, name, files)
+
+    whole = buckets
     links, labels, step = None, None, 0
     while not buckets.isEmpty():
         heads = work.save(_heads(buckets), f"heads-{step}", files)
@@ -167,13 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leaders = heads.where(F.col("place") <= most).select("key", F.col("id").alias("a"), F.col("class").alias("a_class"))
         pairs = heads.join(leaders, "key").where("class <> a_class").select("a", F.col("id").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = (
-            pairs.join(tokens.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a")
-            .join(tokens.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
-            .select("a", "b", "a_words", "b_words")
-            .mapInArrow(_aligned(threshold), "a long, b long, similarity double")
-        )
-        found = work.save(found, f"links-{step}", files)
+        found = linked(pairs, f"links-{step}")
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -181,6 +222,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step += 1
         buckets = work.save(_unsettled(buckets, leaders.select("key", F.col("a").alias("id")), labels), f"buckets-{step}", files)
 
+    rest = linked(_undecided(whole, labels, tokens, threshold), "links-rest")
+    if not rest.isEmpty():
+        links = rest if links is None else links.unionByName(rest)
+        labels = connected_components(links, "a", "b", files).select(F.col("node").alias("id"), "component")
+
     if labels is None:
         joined = exact.select("id", F.col("rep").alias("class_id"))
     else:
@@ -201,7 +247,8 @@ def _unsettled(buckets: DataFrame, leaders: DataFrame, labels: DataFrame) -> Dat
     """Buckets with texts of several classes, without the leaders they had.
 
     A class is represented by one text a round: its ``LEADERS`` smallest ids in the
-    bucket stay, so a large class is not carried along whole.
+    bucket stay, so a large class is not carried along whole. ``_undecided`` takes up
+    what these rounds leave out.
     """
     rest = buckets.select("key", "id").join(leaders, ["key", "id"], "left_anti")
     named = rest.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
@@ -210,6 +257,25 @@ def _unsettled(buckets: DataFrame, leaders: DataFrame, labels: DataFrame) -> Dat
     return named.join(mixed.select("key"), "key").withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
 
 
+def _undecided(buckets: DataFrame, labels: DataFrame | None, tokens: DataFrame, threshold: float) -> DataFrame:
+    """All pairs ``(a, b)`` of different classes in a bucket that can reach the threshold.
+
+    A bucket's texts are dealt to parts of about ``BLOCK``, and each two parts meet
+    in one row, so no task holds a large bucket whole.
+    """
+    named = buckets.select("key", "id", F.col("id").alias("class"))
+    if labels is not None:
+        named = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+    mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high")
+    parts = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    placed = named.join(parts, "key").join(tokens.select("id", "size", "counts"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    blocks = met.agg(F.collect_list(F.struct("id", "class", "part", "size", "counts")).alias("members"))
+    pairs = blocks.select((F.col("p") == F.col("q")).alias("within"), "members").mapInArrow(_possible(threshold), "a long, b long")
+    return pairs.distinct()
+
+
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id names its class; of repeated ids, and of null ids, all rows."""
     heads = classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))

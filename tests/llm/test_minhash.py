@@ -102,3 +102,41 @@ def test_large_group_of_near_copies(spark):
     rows = [(k, " ".join(edited(rng, base, rng.randrange(1, 4)))) for k in range(300)] + [(1000 + k, text(rng, 80)) for k in range(50)]
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {got[k] for k in range(300)} == {0} and all(got[1000 + k] == 1000 + k for k in range(50))
+
+
+def crowd(rng, others):
+    """Texts that share 60 words and nothing else, and the 40 own words of the first. With one pick a band they all meet."""
+    shared = words(rng, 60, 10**6)
+    rows = {k: shared + words(rng, 40, 10**6) for k in range(others)}
+    return shared, rows, rows[0][60:]
+
+
+def changed(rng, own, places):
+    return [words(rng, 1, 10**6)[0] if k in places else w for k, w in enumerate(own)]
+
+
+def classes_of(spark, rows):
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in near_duplicates(docs, picks=1).collect()}
+
+
+def test_a_text_near_one_member_of_a_large_class_only(spark):
+    rng = random.Random(5)
+    shared, _, own = crowd(rng, 1)
+    rows = {k: shared + (changed(rng, own, set(rng.sample(range(40), 15))) if k else own) for k in range(80)}
+    only = changed(rng, own, set(range(1, 30, 2)))
+    rows[40] = shared + only
+    rows[500] = shared + changed(rng, only, set(range(0, 36, 2)))
+    near = [k for k in range(80) if 2 * lcs(rows[k], rows[500]) >= 0.8 * 200]
+    assert near == [40]
+    assert set(classes_of(spark, rows).values()) == {0}
+
+
+def test_blocks_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr("tenun.llm.minhash.BLOCK", 7)
+    rng = random.Random(6)
+    _, rows, _ = crowd(rng, 60)
+    for k in range(20, 40):
+        rows[100 + k] = rows[k][:60] + changed(rng, rows[k][60:], set(range(0, 38, 2)))
+    got = classes_of(spark, rows)
+    assert got == {k: k - 100 if k >= 100 else k for k in rows}
