@@ -140,3 +140,16 @@ def test_blocks_meet_each_other(spark, monkeypatch):
         rows[100 + k] = rows[k][:60] + changed(rng, rows[k][60:], set(range(0, 38, 2)))
     got = classes_of(spark, rows)
     assert got == {k: k - 100 if k >= 100 else k for k in rows}
+
+
+def test_rows_elsewhere_dont_decide_whether_a_bucket_is_finished(spark):
+    rng = random.Random(7)
+    _, rows, _ = crowd(rng, 40)
+    rows[70] = rows[38][:60] + changed(rng, rows[38][60:], set(range(0, 38, 2)))
+    got = classes_of(spark, rows)
+    assert got == {k: 38 if k == 70 else k for k in rows}
+    chain = [words(rng, 50, 10**6)]
+    for _ in range(12):
+        chain.append(changed(rng, chain[-1], set(rng.sample(range(50), 8))))
+    more = classes_of(spark, rows | {1000 + k: x for k, x in enumerate(chain)})
+    assert {k: more[k] for k in rows} == got
