@@ -25,21 +25,29 @@ KEPT = 0.2
 LEAST_DOCS = 2
 MOST_SHARE = 0.2
 DIGITS = 12
+MOST_HELD = 1 << 21
 
 
 @dataclass
 class Lexicon:
-    """A bit per term bucket that lies in the band, and the subsets' salts."""
+    """The band's term hashes in order, eight bytes each, a bit per bucket that holds one, and the subsets' salts.
+
+    The bits only save searches: what counts is whether the hash itself is listed.
+    """
 
     cells: bytes
+    terms: bytes
     subsets: int = SUBSETS
     kept: float = KEPT
 
     def fingerprint(self, words: np.ndarray, text: str) -> list[str]:
         """One hash per subset. Without a term of the subset it is the hash of the whole text."""
         bits = np.frombuffer(self.cells, np.uint8)
+        band = np.frombuffer(self.terms, "<u8")
         bucket = (words & np.uint64(BUCKETS - 1)).astype(np.int64)
         terms = np.unique(words[(bits[bucket >> 3] >> (bucket & 7)) & 1 == 1])
+        if len(terms):
+            terms = terms[band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms]
         limit = np.uint64(int(self.kept * 2**64))
         out, whole = [], ""
         for salt in seeds(self.subsets, 701):
@@ -57,43 +65,62 @@ def likeness(a: list[str], b: list[str]) -> float:
     return sum(x == y for x, y in zip(a, b)) / len(a)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Term hashes, each once, and the sums of their counts."""
+    terms, place = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(terms), np.int64)
+    np.add.at(sums, place, np.concatenate([n for _, n in parts]))
+    return terms, sums
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(BUCKETS, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        terms, sums = _summed(parts)
+        for at in range(0, len(terms), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(terms[part].view(np.int64)), pa.array(sums[part])], ["term", "docs"])
+
     for batch in batches:
         for _, texts in blocks(batch.column("text").to_pylist()):
             (words,), offsets = word_hashes(texts)
-            for i in range(len(texts)):
-                sums[np.unique(words[offsets[i] : offsets[i + 1]] & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
-    for at in range(0, BUCKETS, 1 << 18):
-        used = np.flatnonzero(sums[at : at + (1 << 18)]) + at
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used], pa.int64())], ["bucket", "docs"])
+            own = [np.unique(words[offsets[i] : offsets[i + 1]]) for i in range(len(texts))]
+            terms, counts = np.unique(np.concatenate(own), return_counts=True)
+            parts.append((terms, counts))
+            held += len(terms)
+            if held > MOST_HELD:
+                parts = [_summed(parts)]
+                held = len(parts[0][0])
+                if held > MOST_HELD // 2:
+                    yield from rows()
+                    parts, held = [], 0
+    if held:
+        yield from rows()
 
 
 def learn_lexicon(docs: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, subsets: int = SUBSETS, kept: float = KEPT) -> Lexicon:
     """The lexicon of terms in at least ``least_docs`` documents and at most ``most_share`` of all.
 
-    Document frequencies are counted over all whole texts, per bucket of term
-    hashes; tasks send one row per bucket they saw. The lexicon is a bitmap of
-    ``BUCKETS`` bits, half a megabyte, for any corpus.
+    Document frequencies are counted exactly over all whole texts, per 64-bit hash
+    of a term; tasks sum what they saw before they send it. The lexicon lists the
+    band's hashes, eight bytes for each of them, beside a bitmap of ``BUCKETS`` bits.
     """
     given = docs.select(F.col(text_col).alias("text")).where("text is not null")
     total = given.count()
-    counts = given.mapInArrow(_document_frequencies, "bucket int, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs"))
+    counts = given.mapInArrow(_document_frequencies, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
     band = counts.where((F.col("docs") >= least_docs) & (F.col("docs") <= max(least_docs, most_share * total)))
 
-    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(BUCKETS, np.uint8)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags[batch.column("bucket").to_numpy()] = 1
-        packed = np.packbits(flags, bitorder="little").reshape(64, -1)
-        used = [k for k in range(64) if packed[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[k].tobytes() for k in used], pa.binary())], ["part", "cells"])
-
-    cells = np.zeros((64, BUCKETS // 512), np.uint8)
-    spread = band.select("bucket").repartitionByRange(16, "bucket")
-    for row in spread.mapInArrow(bitmaps, "part int, cells binary").toLocalIterator():
-        cells[row["part"]] |= np.frombuffer(row["cells"], np.uint8)
-    return Lexicon(cells.tobytes(), subsets, kept)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("term").to_numpy().tobytes()], pa.binary())], ["terms"])
+
+    found = b"".join(row["terms"] for row in band.select("term").mapInArrow(packed, "terms binary").toLocalIterator())
+    terms = np.sort(np.frombuffer(found, np.uint64))
+    flags = np.zeros(BUCKETS, np.uint8)
+    flags[(terms & np.uint64(BUCKETS - 1)).astype(np.int64)] = 1
+    return Lexicon(np.packbits(flags, bitorder="little").tobytes(), terms.astype("<u8").tobytes(), subsets, kept)
 
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tenun.llm.imatch import BUCKETS, SUBSETS, fingerprints, learn_lexicon, likeness
+from tenun.llm.imatch import BUCKETS, SUBSETS, _document_frequencies, fingerprints, learn_lexicon, likeness
 from tenun.llm.ordering import map_with_next
 from tenun.llm.words import word_hashes
 from tests.llm.fixtures import edge_docs, no_docs, words
@@ -73,3 +73,27 @@ def test_successor_edges(spark):
     assert got == sorted([(None, "", "y"), (1, "y", "a"), (2, "a", "b"), (2, "b", "z" * 3_000_000), (9, "z" * 3_000_000, "")], key=str)
     ties = collect_pairs(spark.createDataFrame([(1, str(k)) for k in range(6)], schema), 3)
     assert ties == [(1, str(k), str((k + 1) % 6)) for k in range(6)]
+
+
+def test_terms_that_share_a_bucket_are_counted_apart(spark, monkeypatch):
+    monkeypatch.setattr("tenun.llm.imatch.BUCKETS", 64)
+    docs, texts = corpus(spark)
+    lexicon = learn_lexicon(docs)
+    df = Counter(h for t in texts.values() for h in set(word_hashes([t])[0][0].tolist()))
+    want = {h for h, n in df.items() if 2 <= n <= 0.2 * len(texts)}
+    assert len(want) > 400 and set(np.frombuffer(lexicon.terms, np.uint64).tolist()) == want
+    band = lexicon.fingerprint(np.array(sorted(want), np.uint64), "")
+    assert lexicon.fingerprint(np.array(sorted(df), np.uint64), "") == band
+
+
+def test_a_task_that_sends_its_counts_early_loses_none(spark, monkeypatch):
+    _, texts = corpus(spark)
+    df = Counter(h for t in texts.values() for h in set(word_hashes([t])[0][0].tolist()))
+    batches = [pa.RecordBatch.from_pydict({"text": [t]}) for t in texts.values()]
+    for most in (90, 5000):
+        monkeypatch.setattr("tenun.llm.imatch.MOST_HELD", most)
+        got = Counter()
+        for out in _document_frequencies(iter(batches)):
+            for term, n in zip(out.column("term").to_numpy().view(np.uint64).tolist(), out.column("docs").to_pylist()):
+                got[term] += n
+        assert got == df
