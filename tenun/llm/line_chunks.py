@@ -1,8 +1,8 @@
 """Removal of line chunks that repeat across documents, in DataFrame functions only.
 
-A rolling hash runs over the hashes of a document's non-blank lines, two lines at
-a time. A window is marked if the same window stands in a document with a smaller
-id; chunk boundaries lie where marked windows begin and end. They depend on the
+Every two neighbouring non-blank lines of a document are a window, hashed as one
+text; no rolling hash chooses boundaries. A window is marked if the same window stands
+in a document with a smaller id, unless it has under ``LEAST_CHARS`` characters; chunk boundaries lie where marked windows begin and end. They depend on the
 lines alone, never on positions or on what surrounds a passage, so they resist
 shifts: a passage of k lines is found whole wherever it was pasted. Chunks are
 removed only after their lines' bytes were compared with the first document's.
