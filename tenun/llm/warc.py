@@ -33,8 +33,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 18
 PIECE_BYTES = 1 << 15
-MOST_HEADER = 1 << 16
+HEADER_BYTES = 1 << 16
 _MEMBER = b"\x1f\x8b\x08"
+_FIELD = re.compile(rb"[!-9;-~]*[ \t]*(?::|\Z)")
 _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r?\n")
 
 
@@ -96,7 +97,7 @@ class _Window:
 
 def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int] | str:
     """Header fields, block and bytes used of a record at the start of ``raw``, or what is wrong."""
-    end = raw.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = raw.find(b"\r\n\r\n")
     if not re.match(rb"WARC/\d+\.\d+\r\n", raw):
         return "no version line"
     if end < 0:
@@ -139,10 +140,19 @@ def _member(window: _Window) -> tuple[bytes, int] | str:
 
 def _plain(window: _Window) -> tuple[dict[str, str], bytes, int] | str:
     """The uncompressed record at the window's start."""
-    window.need(MOST_HEADER)
-    end = window.data.find(b"\r\n\r\n", 0, MOST_HEADER)
-    size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n", window.data[: end + 2]) if end >= 0 else None
-    whole = end + 8 + int(size[1]) if size else MOST_HEADER
+    reach, start = HEADER_BYTES, 0
+    window.need(reach)
+    if not re.match(rb"WARC/\d+\.\d+\r\n", window.data):
+        return "no version line"
+    while (end := window.data.find(b"\r\n\r\n", start)) < 0:
+        start = len(window.data) - 3
+        # a damaged header is followed no further than to a line that can't be one of its fields
+        if window.ended or not all(_FIELD.match(line) for line in window.data.rstrip(b"\r").split(b"\r\n")[1:]):
+            return "header not ended"
+        reach *= 2
+        window.need(reach)
+    size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n", window.data[: end + 2])
+    whole = end + 8 + int(size[1]) if size else end + 4
     window.need(whole)
     return _parse(bytes(window.data[:whole]))
 

@@ -99,3 +99,18 @@ def test_files_are_cut(spark):
     pages = spark.createDataFrame([(k, "u", random.Random(k).randbytes(4000).hex()) for k in range(40)], "page_id long, url string, html string").coalesce(1)
     manifest = write_warc(pages, Workspace(spark, "warc"), limit=20_000)
     assert manifest.count() > 4 and page_records(read_warc(manifest.repartition(3))).count() == 40
+
+
+def test_headers_of_any_length(spark):
+    long_url = "data:text/html," + "a b:c" * 60_000
+    pages = [(1, "http://x/1", "same"), (2, long_url, "same"), (3, long_url, "other")]
+    made = write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), Workspace(spark, "warc"))
+    found = read_warc(made)
+    assert found.where("kind = 'gap'").count() == 0
+    assert {(r.page_id, r.record_type, r.refers_to) for r in page_records(found).collect()} == {(1, "revisit", 2), (2, "response", None), (3, "response", None)}
+    plain = [record("response", f"<urn:page:{k}>", u, HTTP_HEAD, {}) for k, u, _ in pages]
+    assert len(ids(salvage(io.BytesIO(b"".join(plain))))) == 3
+    damaged = plain[2][:200_000] + plain[0] + plain[2][:100_000]
+    found = list(salvage(io.BytesIO(damaged)))
+    covered(found, damaged)
+    assert ids(found) == ["<urn:page:1>"] and {x.reason for x in found} == {"", "header not ended"}
