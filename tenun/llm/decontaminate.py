@@ -1,7 +1,7 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are partitioned by size: class c holds items of 2**(c-1)+1 .. 2**c
-five-word shingles. A document is scanned once per class through overlapping
+five-word shingles, class 0 those of one. A document is scanned once per class through overlapping
 windows of twice the class size, so an item always lies whole in a window of
 comparable size, however long the document is, and the resemblance of window and
 item stays bounded below. Windows whose minimum under one of the hash functions
@@ -41,7 +41,7 @@ class ItemIndex:
         for i, (item_id, _) in enumerate(items):
             own = np.unique(shingle_hashes(words[offsets[i] : offsets[i + 1]], size))
             if len(own):
-                classes[max(3, int(len(own) - 1).bit_length())].append(len(self.ids))
+                classes[int(len(own) - 1).bit_length()].append(len(self.ids))
                 self.ids.append(item_id)
                 self.shingles.append(own)
         # per class and hash function: the items' minima in order, and whose they are

@@ -57,3 +57,15 @@ def test_edges(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "item_id", "containment"]
     assert without_contamination(docs, contaminated(docs, items)).count() == docs.count()
     assert not ItemIndex([(1, "too few")]).classes
+
+
+def test_items_of_few_shingles_are_not_missed(spark):
+    rng = random.Random(13)
+    items = [(k, " ".join(words(rng, 5 + k % 4, 10**6))) for k in range(40)]
+    docs = []
+    for d in range(800):
+        body = words(rng, 60, 10**6)
+        at = rng.randrange(61)
+        docs.append((d, " ".join([*body[:at], items[d % 40][1], *body[at:]])))
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, d % 40) for d in range(800)}
