@@ -41,7 +41,8 @@ def encoder(path: str):
 
     Merge order and id order are the same in such a file, so its vocabulary serves
     as ranks; special tokens' strings are ordinary text. The ids equal those of
-    ``tokenizers`` with ``encode_special_tokens`` set.
+    ``tokenizers`` with ``encode_special_tokens`` set; ``token_ids`` gives added
+    tokens their own ids.
     """
     import public_tokenizers
     import tiktoken
@@ -54,6 +55,26 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def token_ids(path: str):
+    """A function from a text to the ids that ``tokenizers`` gives it with the file's own settings.
+
+    Texts that hold the string of an added token are left to ``tokenizers`` itself.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        added = [t["content"] for t in json.load(file)["added_tokens"]]
+    fast, whole = encoder(path).encode_to_numpy, Tokenizer.from_file(path)
+
+    def ids(text: str) -> np.ndarray:
+        if any(a in text for a in added):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return fast(text, disallowed_special=())
+
+    return ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of a document's pieces: only the first may be shorter than ``capacity``."""
     if n <= capacity:
@@ -64,11 +85,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
+        encode = token_ids(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(encode(text or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(text or ""), end_id).astype("<u4")
                 rows += [(doc_id, k, at, n, zlib.crc32(ids[at : at + n])) for k, (at, n) in enumerate(cut(len(ids), capacity))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]

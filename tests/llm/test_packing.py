@@ -85,3 +85,14 @@ def test_edges(spark):
         spots.sort()
         assert spots[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spots, spots[1:])) and sum(n for _, n in spots) <= 2048
     assert pack_documents(no_docs(spark), PATH).count() == 0
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(PATH)
+    texts = {1: "plain words", 2: "one <|endoftext|> two<|endoftext|>", 3: "<|endoftext|>", 4: "größe <|endoftext|>\n\n x  <|endoftext"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(docs, PATH).collect()}
+    ids = {k: np.array([*want.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in texts.items()}
+    assert 50256 in ids[2] and got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in ids.items()}
