@@ -21,8 +21,9 @@ def get_session(app: str = "tenun", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def keep_batches_small(spark: SparkSession, rows: int = 1000) -> None:
+def keep_batches_small(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bound what a Python worker holds at a time where texts are long, unless the session says otherwise."""
-    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, str(rows))
+    for key, default, bound in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", None, size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(bound))
