@@ -1,12 +1,12 @@
 """Near-duplicate classes by Order MinHash with banded alignment.
 
-A text's occurrence-labelled five-word k-mers are hashed once per band; the
+A text's occurrence-labelled five-word k-mers are ranked once per band; the
 ``picks`` smallest are kept *in text order* and hashed to the band's bucket key,
 so a bucket holds texts whose sampled k-mers agree in content and in order.
 Texts of a bucket are aligned inside a band of diagonals, and linked if their edit
 similarity is high enough. Classes are the connected components of all links.
-Rounds with few leaders a bucket join most copies cheaply; then every pair of
-texts of different classes that a bucket still holds is decided.
+A first round compares with one text a bucket, which joins most copies cheaply; then
+every pair of texts of different classes that a bucket still holds is decided.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenun.llm.words import blocks, mix, occurrence_labels, seeds, shingle_hashes, word_hashes
@@ -23,30 +23,36 @@ from tenun.operators.components import connected_components
 from tenun.sources.shared import Workspace, files_for
 
 SHINGLE = 5
-BANDS = 32
-PICKS = 4
+BANDS = 96
+PICKS = 2
 THRESHOLD = 0.8
-LEADERS = 16
-BLOCK = 256
-_BINS = 64
-_CELLS = 1 << 18
+STAR_BANDS = 8
+BLOCK = 1024
+NEAREST = 4
+MOST_PASSES = 6
+_BINS = 256
+_CELLS = 1 << 16
 
 
 def order_minhash(labels: np.ndarray, bands: int = BANDS, picks: int = PICKS) -> np.ndarray:
     """One bucket key per band for a text's labelled k-mers; none for a text without k-mers."""
     if not len(labels):
         return np.zeros(0, np.uint64)
-    salts, odds = seeds(bands, 101), seeds(bands, 202) | np.uint64(1)
-    places = seeds(picks, 303) | np.uint64(1)
+    salts, places = seeds(bands, 101), seeds(picks, 303) | np.uint64(1)
+    short_salts, odds = salts.astype(np.uint32), seeds(bands, 202).astype(np.uint32) | np.uint32(1)
+    high = (labels >> np.uint64(32)).astype(np.uint32)
     keys = np.empty(bands, np.uint64)
     step = max(1, _CELLS // len(labels))
     for at in range(0, bands, step):
         part = slice(at, min(bands, at + step))
-        ranks = (labels[None, :] ^ salts[part, None]) * odds[part, None]
-        if len(labels) > picks:
-            spots = np.sort(np.argpartition(ranks, picks - 1, axis=1)[:, :picks], axis=1)
-        else:
-            spots = np.broadcast_to(np.arange(len(labels)), (len(ranks), len(labels)))
+        ranks = (high[None, :] ^ short_salts[part, None]) * odds[part, None]
+        spots = np.empty((len(ranks), min(picks, len(labels))), np.int64)
+        for k in range(spots.shape[1]):
+            spots[:, k] = ranks.argmin(axis=1)
+            np.put_along_axis(ranks, spots[:, k : k + 1], np.uint32(0xFFFFFFFF), axis=1)
+        if spots.shape[1] == len(labels):
+            spots[:] = np.arange(len(labels))
+        spots.sort(axis=1)
         keys[part] = mix((labels[spots] * places[: spots.shape[1]]).sum(axis=1, dtype=np.uint64) + salts[part])
     return keys
 
@@ -92,14 +98,14 @@ def banded_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD
 def _sketches(bands: int, picks: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id")
             for start, texts in blocks(batch.column("text").to_pylist()):
                 (words,), offsets = word_hashes(texts)
                 keys = []
                 for i in range(len(texts)):
                     kmers = shingle_hashes(words[offsets[i] : offsets[i + 1]], size, short=True)
                     keys.append(order_minhash(occurrence_labels(kmers), bands, picks).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), batch.column("digest").slice(start, len(texts)), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
+                same = [batch.column(c).slice(start, len(texts)) for c in ("id", "digest")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
     return run
 
@@ -109,7 +115,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, texts in blocks(batch.column("text").to_pylist()):
             (words,), offsets = word_hashes(texts)
             own = [(words[offsets[i] : offsets[i + 1]] >> np.uint64(32)).astype(np.uint32) for i in range(len(texts))]
-            counts = [np.minimum(np.bincount(x % _BINS, minlength=_BINS), 0xFFFF).astype("<u2").tobytes() for x in own]
+            counts = [np.minimum(np.bincount(x % _BINS, minlength=_BINS), 255).astype(np.uint8).tobytes() for x in own]
             columns = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), *columns], ["id", "words", "size", "counts"])
 
@@ -125,17 +131,22 @@ def _aligned(threshold: float):
     return run
 
 
-def _possible(threshold: float):
-    """Pairs of a block that may reach the threshold: an insertion or deletion changes one count by one."""
+def _possible(threshold: float, nearest: int | None):
+    """Pairs ``(a, b)`` of a block that may reach the threshold: an insertion or deletion changes one count by one.
+
+    With ``nearest``, of each text's pairs with texts after it the so many closest
+    ones; a row with the bucket's ``key`` alone says that there are others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members, ends = batch.column("members"), batch.column("members").offsets.to_numpy()
             flat, base = members.flatten(), ends[0]
             ids, classes, parts, sizes = (flat.field(c).to_numpy() for c in ("id", "class", "part", "size"))
-            counts = np.frombuffer(b"".join(flat.field("counts").to_pylist()), "<u2").reshape(-1, _BINS).astype(np.int32)
-            a, b = [], []
-            for at, end, within in zip(ends[:-1] - base, ends[1:] - base, batch.column("within").to_pylist()):
+            counts = np.frombuffer(b"".join(flat.field("counts").to_pylist()), np.uint8).reshape(-1, _BINS)
+            a, b, left = [], [], []
+            for at, end, within, key in zip(ends[:-1] - base, ends[1:] - base, batch.column("within").to_pylist(), batch.column("key").to_pylist()):
+                more = False
                 for i in range(at, end - 1):
                     rest = slice(i + 1, end)
                     most = (1 - threshold) * (sizes[rest] + sizes[i]) + 1e-6
@@ -144,11 +155,21 @@ def _possible(threshold: float):
                         fit &= parts[rest] != parts[i]
                     fit = np.flatnonzero(fit)
                     if len(fit):
-                        others = fit[np.abs(counts[fit + i + 1] - counts[i]).sum(axis=1) <= most[fit]] + i + 1
+                        other = counts[fit + i + 1]
+                        far = (np.maximum(other, counts[i]) - np.minimum(other, counts[i])).sum(axis=1, dtype=np.int32)
+                        near = np.flatnonzero(far <= most[fit])
+                        if nearest is not None and len(near) > nearest:
+                            near, more = near[np.argpartition(far[near], nearest - 1)[:nearest]], True
+                        others = fit[near] + i + 1
                         a.append(np.minimum(ids[others], ids[i]))
                         b.append(np.maximum(ids[others], ids[i]))
+                if more:
+                    left.append(key)
             none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none), pa.int64()) for x in (a, b)], ["a", "b"])
+            pairs = [np.concatenate(x or none) for x in (a, b)]
+            blank = [None] * len(left)
+            columns = [pa.array([*x.tolist(), *blank], pa.int64()) for x in pairs] + [pa.array([None] * len(pairs[0]) + left, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key"])
 
     return run
 
@@ -160,120 +181,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``1 - (insertions + deletions) / (words of both)``, is at least ``threshold``
     and they meet in a bucket; a class is named by its smallest id. Equal texts
     are one class before any sketching, so a group of copies costs one sketch.
-    Four picks in 32 bands meet with probability ``1 - (1 - J**4)**32`` for a
-    k-mer resemblance J: over 0.9999999 at J = 0.8, 0.98 at J = 0.6.
-
-    At first every text of a bucket is compared with the bucket's smallest id, so
-    the cost is linear. Where a bucket's texts stay in several classes, each class
-    is represented by its smallest id there, and the first 16 of these leaders are
-    compared with all others; then they leave the bucket and others take their
-    place, up to 16 of each class, until a round finds no link. These rounds only
-    save work: after them, all pairs of different classes in a bucket are decided,
-    in blocks of at most about ``BLOCK`` texts a side. Word counts rule out what
-    can't reach the threshold, without loss; the rest is aligned. That takes time
-    with the square of the number of texts in a bucket that stay in different
-    classes. The classes are those of all pairs that meet, whatever other rows there are.
+    Two picks in 96 bands meet with probability ``1 - (1 - J**2)**96`` for a
+    k-mer resemblance J: 0.9998 at J = 0.3, 0.98 at J = 0.2, which is what is left
+    of a text in which every fifth word was replaced (edit similarity 0.8).
+
+    In the first ``STAR_BANDS`` bands every text of a bucket is compared with the
+    bucket's smallest id, which joins most copies at linear cost. After that all
+    pairs of different classes in all buckets are decided, in blocks of at most about
+    ``BLOCK`` texts a side: word counts rule out what can't reach the threshold,
+    without loss, and the rest is aligned, first each text's ``NEAREST`` others in
+    a block; buckets that hold more are looked at again with the classes that
+    these links made, and all of it is aligned once a pass finds no link or after
+    ``MOST_PASSES``. Ruling
+    out takes time with the square of the number of texts in a bucket that stay in
+    different classes. The classes are those of all pairs that meet, whatever
+    other rows there are.
 
     Null and empty texts count as equal, and form one class; texts without words
     have only equal texts as duplicates. Texts of under ``size`` words are one
-    k-mer. Repeated rows with equal ids give one row; ids that are null are left
-    out. Other columns are not read. An empty table gives an empty result.
+    k-mer. Repeated rows with equal ids and texts give one row. An id that stands
+    for several texts contradicts itself: it is a class of its own. Ids that are null
+    are left out; ids that aren't numbers raise Spark's cast error. Other columns
+    are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-duplicates")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     given = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     sketches = work.save(given.mapInArrow(_sketches(bands, picks, size), "id long, digest binary, keys array<long>"), "sketches")
-
-    copies = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
     files = files_for(sketches.count())
-    exact = work.save(sketches.select("id", "digest").join(copies, "digest").groupBy("id").agg(F.min("rep").alias("rep")), "exact", files)
-    heads = exact.where("id = rep").select("id")
-    cells = sketches.join(heads, "id", "left_semi").select("id", F.explode("keys").alias("key")).distinct()
-    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = work.save(cells.join(shared.select("key"), "key").select("key", "id", F.col("id").alias("class")), "buckets-0", 4 * files)
+
+    # one row per id; what is saved before a join can be split there if a key is hot
+    own = sketches.groupBy("id").agg(F.min("digest").alias("digest"), F.max("digest").alias("last"))
+    own = work.save(own.select("id", "digest", (F.col("digest") != F.col("last")).alias("unsure")), "own", files)
+    copies = work.save(own.where("not unsure").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies", files)
+    same = own.where("not unsure").join(copies, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    exact = work.save(same.unionByName(own.where("unsure").select("id", F.col("id").alias("rep"))), "exact", files)
+
+    alone = exact.where("id <> rep").select("id").unionByName(own.where("unsure").select("id"))
+    cells = sketches.join(alone, "id", "left_anti").select("id", F.posexplode("keys").alias("band", "key")).distinct()
+    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = work.save(cells.join(work.save(shared, "shared", 4 * files), "key").select("key", "id", (F.col("band") < STAR_BANDS).alias("star")), "buckets", 4 * files)
 
     members = buckets.select("id").distinct()
     tokens = work.save(rows.join(members, "id", "left_semi").mapInArrow(_tokens, "id long, words binary, size long, counts binary").dropDuplicates(["id"]), "tokens")
     work.drop("sketches")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    links, labels, step = None, None, 0
+
+    def link(pairs: DataFrame) -> bool:
+        """Align ``pairs`` and join the classes of those that are linked; whether there are any."""
+        nonlocal links, labels, step
         found = (
             pairs.join(tokens.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a")
             .join(tokens.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
             .select("a", "b", "a_words", "b_words")
             .mapInArrow(_aligned(threshold), "a long, b long, similarity double")
         )
-        return work.save(found, name, files)
-
-    whole = buckets
-    links, labels, step = None, None, 0
-    while not buckets.isEmpty():
-        heads = work.save(_heads(buckets), f"heads-{step}", files)
-        most = LEADERS if step else 1
-        leaders = heads.where(F.col("place") <= most).select("key", F.col("id").alias("a"), F.col("class").alias("a_class"))
-        pairs = heads.join(leaders, "key").where("class <> a_class").select("a", F.col("id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = linked(pairs, f"links-{step}")
+        found = work.save(found, f"links-{step}", files)
+        step += 1
         if found.isEmpty():
-            break
+            return False
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links, "a", "b", files).select(F.col("node").alias("id"), "component")
-        step += 1
-        buckets = work.save(_unsettled(buckets, leaders.select("key", F.col("a").alias("id")), labels), f"buckets-{step}", files)
-
-    rest = linked(_undecided(whole, labels, tokens, threshold), "links-rest")
-    if not rest.isEmpty():
-        links = rest if links is None else links.unionByName(rest)
-        labels = connected_components(links, "a", "b", files).select(F.col("node").alias("id"), "component")
+        return True
+
+    stars = buckets.where("star")
+    leaders = work.save(stars.groupBy("key").agg(F.min("id").alias("a")), "leaders", files)
+    link(stars.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    open_, nearest = buckets.select("key", "id"), NEAREST
+    while True:
+        out = work.save(_undecided(work, open_, labels, tokens, threshold, nearest, f"mixed-{step}"), f"pairs-{step}", files)
+        found = link(out.where("key is null").select("a", "b").distinct())
+        left = out.where("key is not null").select("key").distinct()
+        if left.isEmpty():
+            break
+        open_ = open_.join(left, "key", "left_semi")
+        nearest = NEAREST if found and step < MOST_PASSES else None
 
     if labels is None:
         joined = exact.select("id", F.col("rep").alias("class_id"))
     else:
-        joined = exact.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+        named = labels.where("id <> component").select(F.col("id").alias("rep"), "component")
+        joined = exact.join(named, "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     joined = work.save(joined, "classes", files)
-    sizes = joined.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return joined.join(sizes, "class_id").select(F.col("id").alias(id_col), "class_id", "class_size")
-
-
-def _heads(buckets: DataFrame) -> DataFrame:
-    """The smallest id of each class in a bucket, and the class's place among the bucket's."""
-    first = buckets.groupBy("key", "class").agg(F.min("id").alias("id"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("class"))
-    return first.select("key", "id", "class", place.alias("place"))
-
-
-def _unsettled(buckets: DataFrame, leaders: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets with texts of several classes, without the leaders they had.
-
-    A class is represented by one text a round: its ``LEADERS`` smallest ids in the
-    bucket stay, so a large class is not carried along whole. ``_undecided`` takes up
-    what these rounds leave out.
-    """
-    rest = buckets.select("key", "id").join(leaders, ["key", "id"], "left_anti")
-    named = rest.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
-    mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    place = F.row_number().over(Window.partitionBy("key", "class").orderBy("id"))
-    return named.join(mixed.select("key"), "key").withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
+    sizes = work.save(joined.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1"), "sizes", files)
+    return joined.join(sizes, "class_id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _undecided(buckets: DataFrame, labels: DataFrame | None, tokens: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``(a, b)`` of different classes in a bucket that can reach the threshold.
+def _undecided(work: Workspace, buckets: DataFrame, labels: DataFrame | None, tokens: DataFrame, threshold: float, nearest: int | None, name: str) -> DataFrame:
+    """``_possible`` over buckets with texts of several classes.
 
     A bucket's texts are dealt to parts of about ``BLOCK``, and each two parts meet
     in one row, so no task holds a large bucket whole.
     """
-    named = buckets.select("key", "id", F.col("id").alias("class"))
+    named = buckets.withColumn("class", F.col("id"))
     if labels is not None:
-        named = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+        named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
     mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high")
-    parts = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    parts = work.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), name, 4)
     placed = named.join(parts, "key").join(tokens.select("id", "size", "counts"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     blocks = met.agg(F.collect_list(F.struct("id", "class", "part", "size", "counts")).alias("members"))
-    pairs = blocks.select((F.col("p") == F.col("q")).alias("within"), "members").mapInArrow(_possible(threshold), "a long, b long")
-    return pairs.distinct()
+    return blocks.select("key", (F.col("p") == F.col("q")).alias("within"), "members").mapInArrow(_possible(threshold, nearest), "a long, b long, key long")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:

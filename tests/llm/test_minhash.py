@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tenun.llm.minhash import banded_similarity, keep_one, near_duplicates, order_minhash
 from tenun.llm.words import occurrence_labels, shingle_hashes, word_hashes
@@ -84,6 +85,35 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_recall_at_the_threshold():
+    """Of pairs with up to a fifth of their words replaced, inserted or dropped nine in ten meet, if they reach 0.8."""
+    rng = random.Random(11)
+    met = {}
+    for length in (100, 400):
+        for share in (0.02, 0.05, 0.1, 0.15, 0.2):
+            hits = []
+            for _ in range(150):
+                base = words(rng, length, 10**6)
+                other = list(base)
+                for at in sorted(rng.sample(range(length), int(share * length)), reverse=True):
+                    other[at : at + 1] = words(rng, rng.choice([0, 1, 1, 1, 1, 2]), 10**6)
+                a, b = (word_hashes([" ".join(x)])[0][0] for x in (base, other))
+                if 2 * lcs(a.tolist(), b.tolist()) >= 0.8 * (len(a) + len(b)):
+                    hits.append((order_minhash(occurrence_labels(shingle_hashes(a))) == order_minhash(occurrence_labels(shingle_hashes(b)))).any())
+            met[length, share] = sum(hits) / len(hits)
+    assert min(met.values()) >= 0.87 and sum(met.values()) / len(met) >= 0.95, met
+    assert all(v >= 0.97 for (_, share), v in met.items() if share <= 0.15), met
+
+
+def test_an_id_with_several_texts_stays(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (3, a), (3, b), (4, b), (5, c), (5, c), (6, c)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_duplicates(docs).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 2), 6: (5, 2)}
+    assert sorted(map(tuple, keep_one(docs, near_duplicates(docs)).collect())) == sorted([(1, a), (3, a), (3, b), (4, b), (5, c), (5, c)])
+
+
 def test_edges(spark):
     rows = near_duplicates(edge_docs(spark)).collect()
     got = {r.doc_id: r.class_id for r in rows}
@@ -132,8 +162,10 @@ def test_a_text_near_one_member_of_a_large_class_only(spark):
     assert set(classes_of(spark, rows).values()) == {0}
 
 
-def test_blocks_meet_each_other(spark, monkeypatch):
+@pytest.mark.parametrize("nearest", [1, 4])
+def test_blocks_meet_each_other(spark, monkeypatch, nearest):
     monkeypatch.setattr("tenun.llm.minhash.BLOCK", 7)
+    monkeypatch.setattr("tenun.llm.minhash.NEAREST", nearest)
     rng = random.Random(6)
     _, rows, _ = crowd(rng, 60)
     for k in range(20, 40):
