@@ -1,11 +1,15 @@
-"""Removal of line chunks that repeat across documents, in DataFrame functions only.
-
-Every two neighbouring non-blank lines of a document are a window, hashed as one
-text; no rolling hash chooses boundaries. A window is marked if the same window stands
-in a document with a smaller id, unless it has under ``LEAST_CHARS`` characters; chunk boundaries lie where marked windows begin and end. They depend on the
-lines alone, never on positions or on what surrounds a passage, so they resist
-shifts: a passage of k lines is found whole wherever it was pasted. Chunks are
-removed only after their lines' bytes were compared with the first document's.
+"""Removal of content-defined line chunks that repeat across documents, in DataFrame functions only.
+
+Every non-blank line is hashed. A hash rolls over the hashes of each two
+neighbouring lines, and a boundary lies after the second if it has residue 0. The
+modulus falls with the length of the two lines: a chunk of short lines is to have about
+``TARGET_CHARS`` characters, two long lines are a chunk at once. From every line a
+chunk reaches to the first boundary that gives it two lines, or has ``MOST_LINES``. So
+chunks depend on their own lines alone, never on positions or on what
+surrounds a passage: a pasted passage has the same chunks everywhere, whatever
+its shift. Chunks whose lines also stand in a document with a smaller id are removed
+after their bytes were compared with that document's; the lines up to the next
+boundary go too as far as they are the same there.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 from tenun.sources.shared import Workspace
 
 LONG_LINE_WORDS = 50
-LEAST_CHARS = 40
+TARGET_CHARS = 240
+MOST_LINES = 8
+_LOW_BITS = (1 << 32) - 1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,36 +38,64 @@ def _lines(text: Column) -> Column:
     return F.filter(lines, lambda x: F.length(F.trim(x["line"])) > 0)
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.concat_ws("\n", a["line"], b["line"])
+def _hashed(lines: Column) -> Column:
+    """The lines with ``h``, 32 bits of the MD5 that boundaries go by, ``key``, 64 bits to group by, and ``n`` characters."""
+    h = lambda x: F.conv(F.substring(F.md5(x["line"]), 1, 8), 16, 10).cast("long")
+    return F.transform(lines, lambda x: F.struct(x["p"].alias("p"), h(x).alias("h"), F.xxhash64(x["line"]).alias("key"), F.length(x["line"]).alias("n"), x["line"].alias("line")))
 
 
-def _blanks(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+def _ends_chunk(a: Column, b: Column, target: int) -> Column:
+    """Whether a boundary lies after line ``b`` that follows ``a``: a hash rolling over their hashes has residue 0."""
+    rolled = (a["h"] * 31 + b["h"]).bitwiseAND(F.lit(_LOW_BITS))
+    modulus = F.least(F.greatest(F.floor(F.lit(target) / (a["n"] + b["n"])), F.lit(1)), F.lit(MOST_LINES))
+    return F.floor(rolled / 31) % modulus == 0
 
 
-def _windows(text: Column, long_line: int, least: int) -> Column:
-    """Rolling windows of two lines, or of one long line: number of the first line, positions of both ends, text."""
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^ \t]+"))
+
+
+def _chunks(text: Column, long_line: int, target: int) -> Column:
+    """Chunks: number of the first line, how many lines, the key of their hashes, and how many lines lie open after it."""
 
     def of(lines: Column) -> Column:
-        two = F.zip_with(
-            F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("at"), x["p"].alias("p"), x["line"].alias("line"))),
-            F.slice(lines, 2, F.size(lines)),
-            lambda x, y: F.struct(x["at"].alias("at"), x["p"].alias("p1"), y["p"].alias("p2"), _pair(x, y).alias("text")),
-        )
-        one = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x["p"].alias("p1"), x["p"].alias("p2"), x["line"].alias("text"))), lambda w: _blanks(F.trim(w["text"])) >= long_line)
-        return F.filter(F.concat(two, one), lambda w: F.length(w["text"]) >= least)
+        size = F.size(lines)
+        ends = F.zip_with(F.slice(lines, 1, F.greatest(size - 1, F.lit(0))), F.slice(lines, 2, size), lambda a, b: _ends_chunk(a, b, target))
+        both = F.struct(lines.alias("lines"), F.transform(lines, lambda x: x["key"]).alias("keys"), ends.alias("ends"))
 
-    return _let(_lines(text), of)
+        def from_line(b: Column) -> Column:
+            def chunk(x: Column, i: Column) -> Column:
+                first_end = F.array_position(F.slice(b["ends"], i + 1, F.lit(MOST_LINES - 1)), True).cast("int")
+                n = F.least(F.when(first_end > 0, first_end + 1).otherwise(F.lit(MOST_LINES)), F.size(b["ends"]) + 1 - i)
+                return F.struct(i.alias("at"), n.alias("n"), F.xxhash64(F.slice(b["keys"], i + 1, n)).alias("key"), open_lines(b, i + n).alias("more"))
+
+            def open_lines(b: Column, after: Column) -> Column:
+                """How many lines follow a chunk up to the next boundary."""
+                rest = F.slice(b["ends"], after, F.lit(MOST_LINES - 2))
+                until = F.array_position(rest, True).cast("int")
+                return F.when(until > 0, until - 1).otherwise(F.size(rest))
+
+            many = F.filter(F.transform(b["lines"], chunk), lambda c: c["n"] > 1)
+            long_ = lambda x: F.when(x["n"] > 2 * long_line, _words(x["line"]) > long_line).otherwise(False)
+            one = F.transform(b["lines"], lambda x, i: F.when(long_(x), F.struct(i.alias("at"), F.lit(1).alias("n"), x["key"].alias("key"), F.lit(0).alias("more"))))
+            return F.concat(many, F.filter(one, lambda c: c.isNotNull()))
+
+        return _let(both, from_line)
+
+    return _let(_hashed(_lines(text)), of)
 
 
 def _texts(text: Column, marks: Column) -> Column:
-    """``marks`` with the text of each marked window."""
+    """``marks`` with each marked chunk's text, the lines that lie open after it, and the positions of both."""
 
     def of(lines: Column) -> Column:
-        one = lambda m: F.get(lines, m["at"])["line"]
-        two = lambda m: _pair(F.get(lines, m["at"]), F.get(lines, m["at"] + 1))
-        return F.transform(marks, lambda m: F.struct(m.alias("m"), F.when(m["p1"] == m["p2"], one(m)).otherwise(two(m)).alias("text")))
+        def told(m: Column) -> Column:
+            here = F.slice(lines, m["at"] + 1, m["n"] + m["more"])
+            each = F.transform(here, lambda x: x["line"])
+            text = F.array_join(F.slice(each, F.lit(1), m["n"]), "\n")
+            return F.struct(m.alias("m"), F.transform(here, lambda x: x["p"]).alias("ps"), text.alias("text"), F.slice(each, m["n"] + 1, F.lit(MOST_LINES)).alias("after"))
+
+        return F.transform(marks, told)
 
     return _let(_lines(text), of)
 
@@ -78,34 +112,39 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE_WORDS, least: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE_WORDS, target: int = TARGET_CHARS) -> DataFrame:
     """``(_id, _text_hash, _drop)``: per document the sorted positions of the lines to remove."""
     work = Workspace(docs.sparkSession, "line-chunks")
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = known.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"), F.col(text_col).alias("_text"))
-    windows = keyed.select("_id", "_text_hash", F.explode(_windows(F.col("_text"), long_line, least)).alias("w"))
-    hashed = windows.select("_id", "_text_hash", "w.at", "w.p1", "w.p2", F.xxhash64(F.col("w.p1") == F.col("w.p2"), "w.text").alias("key"))
+    hashed = keyed.select("_id", "_text_hash", F.explode(_chunks(F.col("_text"), long_line, target)).alias("c")).select("_id", "_text_hash", "c.at", "c.n", "c.key", "c.more")
 
-    spread = hashed.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("key", "first")
-    marked = hashed.join(spread, "key").groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("at", "p1", "p2", "key", "first")).alias("marks"))
+    # saved before it is joined, so a hot key's rows can be dealt to several tasks
+    spread = work.save(hashed.groupBy("key", "n").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").drop("last"), "spread")
+    marked = hashed.join(spread, ["key", "n"]).groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("at", "n", "key", "more", "first")).alias("marks"))
     marked = work.save(marked, "marked")
 
-    # only marked windows carry their bytes from here on
+    # only marked chunks carry their bytes from here on
     seen = keyed.join(marked, ["_id", "_text_hash"]).select("_id", "_text_hash", F.explode(_texts(F.col("_text"), F.col("marks"))).alias("x"))
-    seen = work.save(seen.select("_id", "_text_hash", "x.m.p1", "x.m.p2", "x.m.key", "x.m.first", "x.text"), "seen")
-    originals = seen.where("_id = first").select("key", F.col("text").alias("original")).distinct()
-    again = seen.where("_id <> first").join(originals, "key").where("text = original")
-    return again.select("_id", "_text_hash", F.explode(F.array("p1", "p2")).alias("p")).groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_set("p")).alias("_drop"))
+    seen = work.save(seen.select("_id", "_text_hash", "x.ps", "x.m.n", "x.m.key", "x.m.first", "x.text", "x.after"), "seen")
+    originals = work.save(seen.where("_id = first").select("key", "n", F.col("text").alias("original"), F.col("after").alias("original_after")).distinct(), "originals")
+    again = seen.where("_id <> first").join(originals, ["key", "n"]).where("text = original")
+    alike = F.zip_with("after", "original_after", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    followed = F.array_position(F.concat(alike, F.array(F.lit(False))), False).cast("int") - 1
+    return again.select("_id", "_text_hash", F.explode(F.slice("ps", 1, F.col("n") + followed)).alias("p")).groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_set("p")).alias("_drop"))
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE_WORDS, least: int = LEAST_CHARS) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE_WORDS, target: int = TARGET_CHARS) -> DataFrame:
     """``docs`` with repeated chunks cut out of the text, and ``removed_lines``.
 
-    A chunk is a run of two or more consecutive non-blank lines, or one line of
-    over ``long_line`` words, of which every window of ``least`` characters or more
-    also stands in a document with a smaller id; the smallest id keeps it. Blank
-    lines between two lines don't separate them. Repetition inside one document
-    is left alone. Lines that stay keep their order and their blank lines.
+    A chunk has two to ``MOST_LINES`` consecutive non-blank lines, from any line up to
+    the first boundary after it, or is one line of over ``long_line`` words. A line goes
+    if it is in a chunk that also stands, byte for byte, in a document with a smaller
+    id, or follows such a chunk in both without a boundary in between; the smallest id
+    keeps it. Blank lines between two lines don't separate them. So a passage goes whole
+    if it holds a boundary or has ``MOST_LINES`` lines. Two neighbouring lines of over
+    ``target / 2`` characters together always have one; a passage of fewer and shorter
+    lines may have none, and then stays. Repetition inside one document is left alone. Lines that stay keep their order and their blank lines.
 
     Null and empty texts, and rows whose id is null, come back as they are with 0
     removed lines; a text of which nothing stays is empty. Rows that repeat an id
@@ -114,7 +153,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     back unchanged, but for one named ``removed_lines``, which is replaced; an empty
     table gives an empty table.
     """
-    drops = repeated_lines(docs, id_col, text_col, long_line, least)
+    drops = repeated_lines(docs, id_col, text_col, long_line, target)
     joined = _keyed(docs, id_col, text_col).join(drops, ["_id", "_text_hash"], "left")
     text = F.col("row")[text_col]
     cleaned = F.when(F.col("_drop").isNull(), text).otherwise(_without(text, F.col("_drop"))).alias(text_col)

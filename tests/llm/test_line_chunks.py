@@ -1,25 +1,52 @@
+import hashlib
 import random
+import re
 from collections import defaultdict
 
 from tenun.llm.line_chunks import drop_repeated_chunks
 from tests.llm.fixtures import edge_docs, no_docs, text
 
 
-def brute(docs: list[tuple[int, str]], long_line=50, least=40):
-    seen = defaultdict(list)
+def chunks_of(text, long_line=50, target=240, most=8):
+    """Plain loops: ``(positions, lines, positions and lines up to the next boundary)`` of every chunk."""
+    lines = [(p, x) for p, x in enumerate(text.split("\n")) if x.strip(" ")]
+    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for _, x in lines]
+
+    def ends(j):
+        modulus = min(max(target // (len(lines[j - 1][1]) + len(lines[j][1])), 1), most)
+        return (hashes[j - 1] * 31 + hashes[j]) % 2**32 // 31 % modulus == 0
+
+    out = []
+    for i in range(len(lines)):
+        for j in range(i + 1, min(len(lines), i + most)):
+            if ends(j) or j in (i + most - 1, len(lines) - 1):
+                k = j + 1
+                while k < min(len(lines), j + most - 1) and not ends(k):
+                    k += 1
+                out.append((*zip(*lines[i : j + 1]), lines[j + 1 : k]))
+                break
+        if len(re.findall(r"[^ \t]+", lines[i][1])) > long_line and len(lines[i][1]) > 2 * long_line:
+            out.append(((lines[i][0],), (lines[i][1],), []))
+    return out
 
-    def windows(t):
-        lines = [(p, x) for p, x in enumerate(t.split("\n")) if x.strip(" ")]
-        out = [((a[0], b[0]), a[1] + "\n" + b[1]) for a, b in zip(lines, lines[1:])]
-        out += [((p,), x) for p, x in lines if x.strip(" ").count(" ") >= long_line]
-        return [(ps, (len(ps), x)) for ps, x in out if len(x) >= least]
 
-    for i, t in docs:
-        for _, w in windows(t):
-            seen[w].append(i)
+def brute(docs: list[tuple[int, str]], **more):
+    seen = defaultdict(list)
+    cut = [(i, t, chunks_of(t, **more)) for i, t in docs]
+    for i, _, chunks in cut:
+        for _, lines, after in chunks:
+            seen[lines].append((i, after))
     out = {}
-    for i, t in docs:
-        gone = {p for ps, w in windows(t) if min(seen[w]) < i for p in ps}
+    for i, t, chunks in cut:
+        gone = set()
+        for ps, lines, after in chunks:
+            first = min(k for k, _ in seen[lines])
+            for _, others in [x for x in seen[lines] if x[0] == first < i]:
+                gone |= set(ps)
+                for (p, x), (_, y) in zip(after, others):
+                    if x != y:
+                        break
+                    gone.add(p)
         out[i] = ("\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone), len(gone))
     return out
 
@@ -46,6 +73,27 @@ def test_passage_goes_whole_and_clean_text_stays(spark):
     assert got == {1: docs[0][1], 2: "other beginning\nother end", 3: docs[2][1]}
 
 
+def test_passages_of_over_fifty_words(spark):
+    """Lines of any length, any shift: little of a pasted passage of 60 words is left, and nothing else goes."""
+    rng = random.Random(18)
+    docs, passages = [], {}
+    for k in range(60):
+        per_line = (3, 6, 10, 20, 30, 60)[k % 6]
+        passage = text(rng, 60, 10**5, per_line)
+        for copy in range(3):
+            before, after = (text(rng, rng.randrange(5, 80), 10**6, rng.choice((7, 12, 25))) for _ in range(2))
+            docs.append((len(docs), f"{before}\n{passage}\n{after}"))
+            if copy:
+                passages[len(docs) - 1] = (per_line, passage, before, after)
+    got = {r.doc_id: r.text.split("\n") for r in drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = defaultdict(list)
+    for i, (per_line, passage, before, after) in passages.items():
+        assert [x for x in got[i] if x not in passage.split("\n")] == [x for x in f"{before}\n{after}".split("\n") if x not in passage.split("\n")]
+        left[per_line].append(sum(len(x.split(" ")) for x in passage.split("\n") if x in got[i]) / 60)
+    assert all(sum(v) == 0 for n, v in left.items() if n >= 20), left
+    assert sum(x for v in left.values() for x in v) / len(passages) < 0.08, left
+
+
 def test_single_short_line_stays(spark):
     docs = [(k, f"start {k} of it\nLicensed under the Apache License, Version 2.0.\nend {k} of it") for k in range(5)]
     assert {r.doc_id: r.text for r in drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == dict(docs)
