@@ -26,11 +26,12 @@ SHINGLE = 5
 BANDS = 96
 PICKS = 2
 THRESHOLD = 0.8
-STAR_BANDS = 8
+EARLY_BANDS = 8
 BLOCK = 1024
-NEAREST = 4
-MOST_PASSES = 6
-_BINS = 256
+NEAREST = 1
+CROWD = 8
+MOST_PASSES = 2
+_BITS = 4096
 _CELLS = 1 << 16
 
 
@@ -110,14 +111,21 @@ def _sketches(bands: int, picks: int, size: int):
     return run
 
 
+def parity_bits(words: np.ndarray) -> bytes:
+    """Bits that the words' occurrence labels flip: two texts' differ in no more bits than they have labels apart."""
+    labels = occurrence_labels(words)
+    flips = np.bincount((labels >> np.uint64(32)).astype(np.int64) % _BITS, minlength=_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in blocks(batch.column("text").to_pylist()):
             (words,), offsets = word_hashes(texts)
-            own = [(words[offsets[i] : offsets[i + 1]] >> np.uint64(32)).astype(np.uint32) for i in range(len(texts))]
-            counts = [np.minimum(np.bincount(x % _BINS, minlength=_BINS), 255).astype(np.uint8).tobytes() for x in own]
-            columns = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), *columns], ["id", "words", "size", "counts"])
+            own = [words[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            short = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in own]
+            columns = [pa.array(short, pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([parity_bits(x) for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), *columns], ["id", "words", "size", "bits"])
 
 
 def _aligned(threshold: float):
@@ -132,10 +140,10 @@ def _aligned(threshold: float):
 
 
 def _possible(threshold: float, nearest: int | None):
-    """Pairs ``(a, b)`` of a block that may reach the threshold: an insertion or deletion changes one count by one.
+    """Pairs ``(a, b)`` of a block that may reach the threshold: an insertion or deletion flips one bit at most.
 
-    With ``nearest``, of each text's pairs with texts after it the so many closest
-    ones; a row with the bucket's ``key`` alone says that there are others.
+    Texts of one class aren't paired; with a ``hub``, only texts of that class with
+    others. ``nearest`` keeps of each text's pairs with texts after it the so many closest ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,33 +151,27 @@ def _possible(threshold: float, nearest: int | None):
             members, ends = batch.column("members"), batch.column("members").offsets.to_numpy()
             flat, base = members.flatten(), ends[0]
             ids, classes, parts, sizes = (flat.field(c).to_numpy() for c in ("id", "class", "part", "size"))
-            counts = np.frombuffer(b"".join(flat.field("counts").to_pylist()), np.uint8).reshape(-1, _BINS)
-            a, b, left = [], [], []
-            for at, end, within, key in zip(ends[:-1] - base, ends[1:] - base, batch.column("within").to_pylist(), batch.column("key").to_pylist()):
-                more = False
+            bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(-1, _BITS // 64)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, end, within, hub in zip(ends[:-1] - base, ends[1:] - base, batch.column("within").to_pylist(), batch.column("hub").to_pylist()):
                 for i in range(at, end - 1):
                     rest = slice(i + 1, end)
                     most = (1 - threshold) * (sizes[rest] + sizes[i]) + 1e-6
                     fit = (classes[rest] != classes[i]) & (np.abs(sizes[rest] - sizes[i]) <= most)
-                    if not within:
+                    if hub is not None:
+                        fit &= (classes[rest] == hub) | (classes[i] == hub)
+                    elif not within:
                         fit &= parts[rest] != parts[i]
                     fit = np.flatnonzero(fit)
                     if len(fit):
-                        other = counts[fit + i + 1]
-                        far = (np.maximum(other, counts[i]) - np.minimum(other, counts[i])).sum(axis=1, dtype=np.int32)
+                        far = np.bitwise_count(bits[fit + i + 1] ^ bits[i]).sum(axis=1, dtype=np.int64)
                         near = np.flatnonzero(far <= most[fit])
                         if nearest is not None and len(near) > nearest:
-                            near, more = near[np.argpartition(far[near], nearest - 1)[:nearest]], True
-                        others = fit[near] + i + 1
-                        a.append(np.minimum(ids[others], ids[i]))
-                        b.append(np.maximum(ids[others], ids[i]))
-                if more:
-                    left.append(key)
-            none = [np.zeros(0, np.int64)]
-            pairs = [np.concatenate(x or none) for x in (a, b)]
-            blank = [None] * len(left)
-            columns = [pa.array([*x.tolist(), *blank], pa.int64()) for x in pairs] + [pa.array([None] * len(pairs[0]) + left, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key"])
+                            near = near[np.argpartition(far[near], nearest - 1)[:nearest]]
+                        others = ids[fit[near] + i + 1]
+                        a.append(np.minimum(others, ids[i]))
+                        b.append(np.maximum(others, ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
     return run
 
@@ -185,16 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k-mer resemblance J: 0.9998 at J = 0.3, 0.98 at J = 0.2, which is what is left
     of a text in which every fifth word was replaced (edit similarity 0.8).
 
-    In the first ``STAR_BANDS`` bands every text of a bucket is compared with the
-    bucket's smallest id, which joins most copies at linear cost. After that all
-    pairs of different classes in all buckets are decided, in blocks of at most about
-    ``BLOCK`` texts a side: word counts rule out what can't reach the threshold,
-    without loss, and the rest is aligned, first each text's ``NEAREST`` others in
-    a block; buckets that hold more are looked at again with the classes that
-    these links made, and all of it is aligned once a pass finds no link or after
-    ``MOST_PASSES``. Ruling
-    out takes time with the square of the number of texts in a bucket that stay in
-    different classes. The classes are those of all pairs that meet, whatever
+    The first ``EARLY_BANDS`` bands only save work: there every text of a bucket is
+    compared with the bucket's smallest id, which joins most copies at linear cost,
+    and then, up to ``MOST_PASSES`` times, each text with the ``NEAREST`` of
+    another class. After that all pairs of different classes in the buckets of all
+    bands are decided, in blocks of at most about ``BLOCK`` texts a side: bits that
+    words flip rule out what can't reach the threshold, without loss, and the rest is
+    aligned. Ruling out takes time with the square of the number of texts in a
+    bucket that stay in different classes; a class that fills buckets of many bands
+    is compared with their other texts once. Every pair that meets is decided, whatever
     other rows there are.
 
     Null and empty texts count as equal, and form one class; texts without words
@@ -221,10 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = exact.where("id <> rep").select("id").unionByName(own.where("unsure").select("id"))
     cells = sketches.join(alone, "id", "left_anti").select("id", F.posexplode("keys").alias("band", "key")).distinct()
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = work.save(cells.join(work.save(shared, "shared", 4 * files), "key").select("key", "id", (F.col("band") < STAR_BANDS).alias("star")), "buckets", 4 * files)
+    buckets = work.save(cells.join(work.save(shared, "shared", 4 * files), "key").select("key", "id", (F.col("band") < EARLY_BANDS).alias("early")), "buckets", 4 * files)
 
     members = buckets.select("id").distinct()
-    tokens = work.save(rows.join(members, "id", "left_semi").mapInArrow(_tokens, "id long, words binary, size long, counts binary").dropDuplicates(["id"]), "tokens")
+    tokens = work.save(rows.join(members, "id", "left_semi").mapInArrow(_tokens, "id long, words binary, size long, bits binary").dropDuplicates(["id"]), "tokens")
     work.drop("sketches")
 
     links, labels, step = None, None, 0
@@ -246,18 +247,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = connected_components(links, "a", "b", files).select(F.col("node").alias("id"), "component")
         return True
 
-    stars = buckets.where("star")
-    leaders = work.save(stars.groupBy("key").agg(F.min("id").alias("a")), "leaders", files)
-    link(stars.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    open_, nearest = buckets.select("key", "id"), NEAREST
-    while True:
-        out = work.save(_undecided(work, open_, labels, tokens, threshold, nearest, f"mixed-{step}"), f"pairs-{step}", files)
-        found = link(out.where("key is null").select("a", "b").distinct())
-        left = out.where("key is not null").select("key").distinct()
-        if left.isEmpty():
+    def with_class(cells: DataFrame) -> DataFrame:
+        if labels is None:
+            return cells.withColumn("class", F.col("id"))
+        return cells.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+
+    def undecided(cells: DataFrame, nearest: int | None, name: str) -> DataFrame:
+        held = work.save(_mixed(work, with_class(cells), f"cells-{name}", 4 * files), f"mixed-{name}", files)
+        sizes = held.groupBy("key", "around").agg(F.count("*").alias("n"), F.sum(F.expr("int(class = key)")).alias("hubs"), F.min("class").alias("low"), F.max("class").alias("high"))
+        sizes = work.save(sizes.where("low <> high").drop("low", "high"), f"sizes-{name}", files)
+        return work.save(_undecided(held, sizes, tokens, threshold, nearest), f"pairs-{name}", files)
+
+    early = buckets.where("early").select("key", "id")
+    leaders = work.save(early.groupBy("key").agg(F.min("id").alias("a")), "leaders", files)
+    link(early.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    for k in range(MOST_PASSES):
+        if not link(undecided(early, NEAREST, str(k)).distinct()):
             break
-        open_ = open_.join(left, "key", "left_semi")
-        nearest = NEAREST if found and step < MOST_PASSES else None
+    link(undecided(buckets.select("key", "id"), None, "all").distinct())
 
     if labels is None:
         joined = exact.select("id", F.col("rep").alias("class_id"))
@@ -269,22 +276,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.join(sizes, "class_id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _undecided(work: Workspace, buckets: DataFrame, labels: DataFrame | None, tokens: DataFrame, threshold: float, nearest: int | None, name: str) -> DataFrame:
-    """``_possible`` over buckets with texts of several classes.
+def _mixed(work: Workspace, cells: DataFrame, name: str, files: int) -> DataFrame:
+    """``(key, around, id, class)``: what to compare of the buckets with texts of several classes.
+
+    Where ``CROWD`` texts or more of a bucket are of one class, that class leaves the
+    bucket: its texts, and the others of all such buckets, meet once ``around`` the
+    class, whose name is then the key, instead of once in every band.
+    """
+    cells = work.save(cells, name, files)
+    tops = cells.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
+    tops = work.save(tops.where("classes > 1").select("key", F.when(F.col("top.n") >= CROWD, F.col("top.class")).alias("hub")), f"{name}-tops", files)
+    held = cells.join(tops, "key")
+    plain = held.where("hub is null or class <> hub").select("key", F.lit(False).alias("around"), "id", "class")
+    around = held.where("hub is not null").select(F.col("hub").alias("key"), F.lit(True).alias("around"), "id", "class").distinct()
+    return plain.unionByName(around)
+
+
+def _undecided(held: DataFrame, sizes: DataFrame, tokens: DataFrame, threshold: float, nearest: int | None) -> DataFrame:
+    """``_possible`` over what ``_mixed`` holds.
 
     A bucket's texts are dealt to parts of about ``BLOCK``, and each two parts meet
-    in one row, so no task holds a large bucket whole.
+    in one row, so no task holds a large bucket whole. Around a class, parts of
+    its texts meet parts of the others.
     """
-    named = buckets.withColumn("class", F.col("id"))
-    if labels is not None:
-        named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
-    mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high")
-    parts = work.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), name, 4)
-    placed = named.join(parts, "key").join(tokens.select("id", "size", "counts"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    blocks = met.agg(F.collect_list(F.struct("id", "class", "part", "size", "counts")).alias("members"))
-    return blocks.select("key", (F.col("p") == F.col("q")).alias("within"), "members").mapInArrow(_possible(threshold, nearest), "a long, b long, key long")
+    n, hubs = F.col("n"), F.col("hubs")
+    parts = lambda x: F.ceil(x / BLOCK).cast("int")
+    own = F.when(F.col("around"), parts(hubs)).otherwise(parts(n)).alias("own")
+    sizes = sizes.select("key", "around", own, F.when(F.col("around"), parts(n - hubs)).otherwise(parts(n)).alias("far"))
+    placed = held.join(sizes, ["key", "around"]).join(tokens.select("id", "size", "bits"), "id")
+    center = ~F.col("around") | (F.col("class") == F.col("key"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.when(center, F.col("own")).otherwise(F.col("far"))).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(center, F.col("far")).otherwise(F.col("own")) - 1)))
+    p = F.when(F.col("around"), F.when(center, F.col("part")).otherwise(F.col("other"))).otherwise(F.least("part", "other"))
+    q = F.when(F.col("around"), F.when(center, F.col("other")).otherwise(F.col("part"))).otherwise(F.greatest("part", "other"))
+    blocks = met.groupBy("key", "around", p.alias("p"), q.alias("q")).agg(F.collect_list(F.struct("id", "class", "part", "size", "bits")).alias("members"))
+    hub = F.when(F.col("around"), F.col("key")).alias("hub")
+    return blocks.select((F.col("p") == F.col("q")).alias("within"), hub, "members").mapInArrow(_possible(threshold, nearest), "a long, b long")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
