@@ -27,10 +27,15 @@ ORDERS = (1, 2, 3)
 PROFILE = 400
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1000
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; fractions and raised digits are word characters, but none."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(f" {_OTHERS.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
@@ -95,12 +100,14 @@ class Profiles:
 
     def identify(self, text: str | None) -> tuple[str, float]:
         """The nearest profile's language, and how much nearer it is than the second nearest."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not has_letter(text):
             return UNDETERMINED, 0.0
         far = self.distances(text)
         best = int(np.argmin(far))
         rest = np.delete(far, best)
-        return self.names[best], float(1 - far[best] / rest.min()) if len(rest) and rest.min() > 0 else float(1 - far[best])
+        if not len(rest):
+            return self.names[best], float(1 - far[best])
+        return self.names[best], float(1 - far[best] / rest.min()) if rest.min() > 0 else 0.0
 
 
 def _count_grams(orders: tuple[int, ...]):
@@ -150,7 +157,7 @@ def identify_languages(docs: DataFrame, profiles: Profiles, id_col: str = "doc_i
 
     ``score`` is the margin to the second nearest profile, 0 to 1. Null texts, and
     texts without a letter, are ``und`` with score 0, as is every text if nothing
-    was learned. Ties go to the language that sorts first. Repeated rows give
+    was learned. Ties go to the language that sorts first, with score 0. Repeated rows give
     repeated rows; other columns are not read.
     """
     kind = docs.schema[id_col].dataType

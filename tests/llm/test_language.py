@@ -64,6 +64,33 @@ def test_profiles_count_all_rows_and_predict(spark):
     assert all(got[k].lang_pred == x and 0 <= got[k].score <= 1 for k, _, x in rows if k >= 160)
 
 
+def test_only_letters_are_letters():
+    found = Profiles({"x": [packed(g) for g in ("a", "b")], "y": [packed("z")]}, 3)
+    for t in ("\u00bd \u00b2 \u2460", "123 _", "!?", "", None):
+        assert found.identify(t) == ("und", 0.0)
+    assert found.identify("\u00bd a")[0] == "x"
+    same = Profiles({"x": [packed("a")], "y": [packed("a")]}, 1)
+    assert same.identify("a") == ("x", 0.0)
+
+
+def test_predictions_equal_plain_loops(spark):
+    rng = random.Random(16)
+    rows = [(k, sample(rng, lang, rng.choice([1, 3, 40])), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 50
+    profiles = {}
+    for lang in ("aa", "bb", "cc"):
+        counts = Counter(packed(g) for k, t, x in rows if k < 60 and x == lang for g in plain_grams(t))
+        profiles[lang] = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+    got = {r.doc_id: r for r in identify_languages(docs, learn_profiles(docs.where("doc_id < 60"), size=size)).collect()}
+    for k, t, _ in rows:
+        counts = Counter(packed(g) for g in plain_grams(t))
+        own = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+        far = {x: sum(min(abs(p.index(g) - i), size) if g in p else size for i, g in enumerate(own)) / (len(own) * size) for x, p in profiles.items()}
+        near = sorted(far, key=lambda x: (far[x], x))
+        assert got[k].lang_pred == near[0] and abs(got[k].score - (1 - far[near[0]] / far[near[1]])) < 1e-9
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     learned = learn_profiles(docs)
