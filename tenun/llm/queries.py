@@ -19,7 +19,7 @@ from tenun.llm.ordering import map_with_next
 from tenun.llm.packing import pack_documents
 from tenun.llm.toxicity import score_toxicity, train_toxicity
 from tenun.llm.url_filter import judge_urls
-from tenun.llm.warc import page_records, read_warc, write_warc
+from tenun.llm.warc import page_records, read_warc, spread_archives, write_warc
 from tenun.llm.words import word_hashes
 from tenun.session import keep_batches_small
 from tenun.sources.shared import Workspace
@@ -67,8 +67,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
-    files = manifest.repartition(max(1, manifest.count()), "path")
-    return page_records(read_warc(files))
+    return page_records(read_warc(spread_archives(manifest)), strict=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ EPOCH = "1970-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
+TASK_BYTES = 1 << 30
 READ_BYTES = 1 << 18
 PIECE_BYTES = 1 << 15
 HEADER_BYTES = 1 << 16
@@ -199,8 +200,8 @@ def salvage(file: BinaryIO) -> Iterator[Found]:
 
 
 def _open(path: str):
-    system, name = fs.FileSystem.from_uri(path)
-    return system, name
+    """The file system of a path and the name in it; Hadoop's names of S3 are understood."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def _written(folder: str, limit: int):
@@ -255,11 +256,19 @@ def write_warc(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_c
     rows = rows.withColumn("sha1", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")))
     size = F.octet_length(F.coalesce("html", F.lit("")))
     largest = rows.where(F.col("id").isNotNull() & (size >= least)).groupBy("sha1").agg(F.max("id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("sha1", "newest")
+    largest = work.save(largest, "newest")  # saved before it is joined: a common payload's rows can then be dealt to several tasks
     long_enough = rows.withColumn("_key", F.when((size >= least) & F.col("id").isNotNull(), F.col("sha1")))
     joined = long_enough.join(largest.withColumnRenamed("sha1", "_key"), "_key", "left").select("id", "url", "html", "sha1", "newest")
     return work.save(joined.mapInArrow(_written(folder, limit), "path string, records long, bytes long"), "manifest")
 
 
+def spread_archives(manifest: DataFrame) -> DataFrame:
+    """The manifest's paths over as many partitions as their bytes ask for; a task streams its archives one after the other."""
+    total = manifest.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    wanted = max(manifest.sparkSession.sparkContext.defaultParallelism, (total["bytes"] or 0) // TASK_BYTES)
+    return manifest.select("path").repartition(max(1, min(total["n"], wanted)))
+
+
 def read_warc(paths: DataFrame) -> DataFrame:
     """Every record and gap of the archives in column ``path``.
 
@@ -293,9 +302,12 @@ def payload(block: bytes) -> bytes:
     return block[at + 4 :] if at >= 0 else block
 
 
-def page_records(records: DataFrame) -> DataFrame:
+def page_records(records: DataFrame, strict: bool = False) -> DataFrame:
     """Pages of ``read_warc``: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
+    Gaps give no rows; with ``strict`` the first gap raises an error that names its
+    file, place and reason.
+
     A response's length and digest are measured on its recovered payload; a
     revisit's are those its header gives for the payload it stands for.
     """
@@ -317,5 +329,8 @@ def page_records(records: DataFrame) -> DataFrame:
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
+    if strict:
+        lost = F.concat_ws(" ", F.lit("gap:"), "path", "offset", "reason")
+        records = records.withColumn("kind", F.when(F.col("kind") == "gap", F.raise_error(lost)).otherwise(F.col("kind")))
     pages = records.where("kind = 'record' and headers['warc-type'] in ('response', 'revisit')").select("headers", "block")
     return pages.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -4,6 +4,8 @@ import hashlib
 import io
 import random
 
+import pytest
+
 from tenun.llm.warc import HTTP_HEAD, page_records, read_warc, record, salvage, write_warc
 from tenun.sources.shared import Workspace
 
@@ -114,3 +116,13 @@ def test_headers_of_any_length(spark):
     found = list(salvage(io.BytesIO(damaged)))
     covered(found, damaged)
     assert ids(found) == ["<urn:page:1>"] and {x.reason for x in found} == {"", "header not ended"}
+
+
+def test_gaps_can_be_errors(spark):
+    schema = "path string, kind string, offset long, length long, reason string, headers map<string,string>, block binary"
+    rows = [("f", "record", 0, 9, "", {"warc-type": "response", "warc-record-id": "<urn:page:1>"}, b"h\r\n\r\nx"), ("f", "gap", 9, 5, "member damaged", {}, b"")]
+    found = spark.createDataFrame(rows, schema)
+    assert [r.page_id for r in page_records(found).collect()] == [1]
+    with pytest.raises(Exception, match="gap: f 9 member damaged"):
+        page_records(found, strict=True).collect()
+    assert page_records(found.where("kind = 'record'"), strict=True).count() == 1
