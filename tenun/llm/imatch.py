@@ -23,6 +23,7 @@ BUCKETS = 1 << 22
 SUBSETS = 8
 KEPT = 0.2
 LEAST_DOCS = 2
+LEAST_SHARE = 1e-5
 MOST_SHARE = 0.2
 DIGITS = 12
 MOST_HELD = 1 << 21
@@ -100,17 +101,20 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield from rows()
 
 
-def learn_lexicon(docs: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, subsets: int = SUBSETS, kept: float = KEPT) -> Lexicon:
-    """The lexicon of terms in at least ``least_docs`` documents and at most ``most_share`` of all.
+def learn_lexicon(docs: DataFrame, text_col: str = "text", least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, subsets: int = SUBSETS, kept: float = KEPT) -> Lexicon:
+    """The lexicon of terms in at least ``least_docs`` documents, and in ``least_share`` to ``most_share`` of all.
 
     Document frequencies are counted exactly over all whole texts, per 64-bit hash
     of a term; tasks sum what they saw before they send it. The lexicon lists the
     band's hashes, eight bytes for each of them, beside a bitmap of ``BUCKETS`` bits.
+    There are at most as many as a text has distinct terms on average, divided by
+    ``least_share``, however large the corpus.
     """
     given = docs.select(F.col(text_col).alias("text")).where("text is not null")
     total = given.count()
     counts = given.mapInArrow(_document_frequencies, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    band = counts.where((F.col("docs") >= least_docs) & (F.col("docs") <= max(least_docs, most_share * total)))
+    least = max(least_docs, least_share * total)
+    band = counts.where((F.col("docs") >= least) & (F.col("docs") <= max(least, most_share * total)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

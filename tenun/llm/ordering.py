@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _LOW = -(1 << 63)
 _BLOCK = 1 << 20
+MOST_RUNS = 20_000
 
 
 def map_with_next(docs: DataFrame, of: Callable[[list[int | None], list[str]], pa.RecordBatch], schema: str, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
@@ -23,12 +24,13 @@ def map_with_next(docs: DataFrame, of: Callable[[list[int | None], list[str]], p
 
     Ids are cut at quantiles into runs. The first document of a run is dealt twice,
     to its run and as the last successor to the run before, so texts are shuffled
-    once and a task streams its runs. Only one id per run comes to the driver.
+    once and a task streams its run, however long. At most ``MOST_RUNS`` runs are made,
+    which bounds the quantile sketch; only one id per run comes to the driver.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     given = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = runs or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    wanted = runs or min(MOST_RUNS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     cuts = given.approxQuantile("key", [k / wanted for k in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
     splits = np.array(sorted({int(x) for x in cuts}), np.int64)
     run_of = F.pandas_udf(lambda keys: pd.Series(np.searchsorted(splits, keys.to_numpy(), "right")), "long")
@@ -60,4 +62,7 @@ def map_with_next(docs: DataFrame, of: Callable[[list[int | None], list[str]], p
                     texts, ids, size, closed = [text], [], len(text), closing
                 ids.append(None if k == _LOW else k)
 
-    return spread.repartition(max(len(order), 1), "run").sortWithinPartitions("run", "closing", "key", "text").mapInArrow(run, schema)
+    # one run a partition: run numbers become places without gaps
+    place = {r: k for k, r in enumerate(order)}
+    placed = F.pandas_udf(lambda runs: runs.map(place).astype("int32"), "int")
+    return spread.repartitionById(max(len(order), 1), placed("run")).sortWithinPartitions("run", "closing", "key", "text").mapInArrow(run, schema)

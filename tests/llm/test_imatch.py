@@ -1,12 +1,13 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from tenun.llm.imatch import BUCKETS, SUBSETS, _document_frequencies, fingerprints, learn_lexicon, likeness
+from tenun.llm.imatch import BUCKETS, KEPT, SUBSETS, _document_frequencies, fingerprints, learn_lexicon, likeness
 from tenun.llm.ordering import map_with_next
-from tenun.llm.words import word_hashes
+from tenun.llm.words import seeds, word_hashes
 from tests.llm.fixtures import edge_docs, no_docs, words
 
 
@@ -34,6 +35,32 @@ def test_fingerprints(spark):
     assert got[203] != got[0]
 
 
+def test_fingerprint_equals_plain_loops(spark):
+    docs, texts = corpus(spark)
+    lexicon = learn_lexicon(docs, most_share=0.5)
+    term = {w: int(word_hashes([w])[0][0][0]) for t in texts.values() for w in t.split(" ")}
+    df = Counter(w for t in texts.values() for w in set(t.split(" ")))
+    band = {w for w, n in df.items() if 2 <= n <= 0.5 * len(texts)}
+    got = {r.doc_id: r.fingerprint for r in fingerprints(docs, lexicon).collect()}
+    for i, t in texts.items():
+        want = []
+        for salt in seeds(SUBSETS, 701).tolist():
+            own = sorted({term[w] for w in t.split(" ") if w in band and (term[w] ^ salt) * 0xD6E8FEB86659FD93 % 2**64 < int(KEPT * 2**64)})
+            if own:
+                want.append(hashlib.blake2b(b"".join(x.to_bytes(8, "little") for x in own), digest_size=6).hexdigest())
+            else:
+                want.append(hashlib.blake2b(t.encode(), digest_size=6, person=b"whole").hexdigest())
+        assert got[i] == want
+
+
+def test_rare_terms_of_a_large_corpus_are_outside_the_band(spark):
+    docs, texts = corpus(spark)
+    df = Counter(w for t in texts.values() for w in set(t.split(" ")))
+    lexicon = learn_lexicon(docs, least_share=0.05)
+    least = 0.05 * len(texts)
+    assert len(lexicon.terms) // 8 == sum(least <= n <= 0.2 * len(texts) for n in df.values()) > 0
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     lexicon = learn_lexicon(docs)
