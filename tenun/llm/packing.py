@@ -244,6 +244,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     by_length = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", "length", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("_part", "length").orderBy("_row")) - 1
-    ranked = pieces.withColumn("_nth", inside).join(bases, ["_part", "length"])
+    # partitions times lengths is too much to broadcast; the rows are dealt by both already
+    ranked = pieces.withColumn("_nth", inside).join(bases.hint("merge"), ["_part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("_nth")).alias("rank"))
     return ranked.mapInArrow(lambda batches: _dealt(places.value)(batches), PIECES_SCHEMA + ", sequence_id long, offset long")
