@@ -16,12 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenun.sources.shared import Workspace
 
-MOST_RULES = 5_000_000
+RULES_PER_CASCADE = 5_000_000
 LEVEL_RATE = 0.5
 BITMAP_ROWS = 1 << 16
 
@@ -87,15 +88,15 @@ class Cascade:
         return out
 
 
-def _passing(level: Bloom, negative: set[str] | None):
-    """Distinct keys of a task that ``level`` takes, without those known to be listed."""
+def _passing(level: Bloom, negative: Broadcast | None):
+    """Distinct keys of a task that ``level`` takes, without the listed ones in ``negative``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = sorted({k for row in batch.column("keys").to_pylist() for k in row})
             if keys:
                 taken = level.has(_hashes(keys))
-                keys = [k for k, t in zip(keys, taken) if t and (negative is None or k not in negative)]
+                keys = [k for k, t in zip(keys, taken) if t and (negative is None or k not in negative.value)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
 
     return run
@@ -126,15 +127,13 @@ def _filled(keys: DataFrame, n: int, rate: float, salt: int) -> Bloom:
 
 
 def build_cascade(listed: list[str], universe: DataFrame, work: Workspace, name: str) -> Cascade:
-    """A cascade for ``listed`` (at most ``MOST_RULES`` keys) over ``universe`` (column ``keys``).
+    """A cascade for ``listed`` over ``universe`` (column ``keys``).
 
     The universe is read once: keys that level 1 takes wrongly are written out, and
     only they, a share that halves twice with every further pair of levels, are
     looked at again. Level 1's error rate is set so that about as many keys pass
     wrongly as are listed, which keeps all levels in proportion to the list.
     """
-    if len(listed) > MOST_RULES:
-        raise ValueError(f"{len(listed)} rules; at most {MOST_RULES} are held in memory")
     cascade = Cascade()
     if not listed:
         return cascade
@@ -143,7 +142,7 @@ def build_cascade(listed: list[str], universe: DataFrame, work: Workspace, name:
     first = Bloom(len(keys), min(0.5, max(1e-9, len(keys) / max(total, 1))), 1)
     first.add(_hashes(keys))
     cascade.levels.append(first)
-    inside = set(keys)
+    inside = work.spark.sparkContext.broadcast(frozenset(keys))
     wrong = work.save(universe.mapInArrow(_passing(first, inside), "key string").distinct(), f"{name}-1")
     held = keys
     while (n := wrong.count()) and held:
@@ -161,14 +160,20 @@ def build_cascade(listed: list[str], universe: DataFrame, work: Workspace, name:
     return cascade
 
 
-def _candidates(lengths: list[int]):
-    """The keys a URL could match, longest first; a host suffix starts at a label."""
+def _cascades(listed: set[str], universe: DataFrame, work: Workspace, name: str) -> list[Cascade]:
+    """One cascade for each ``RULES_PER_CASCADE`` keys."""
+    keys = sorted(listed)
+    return [build_cascade(keys[at : at + RULES_PER_CASCADE], universe, work, f"{name}-{at}") for at in range(0, len(keys), RULES_PER_CASCADE)]
+
+
+def _candidates(hosts: set[int], lengths: list[int]):
+    """The keys a URL could match, longest first; a host suffix starts at a label and has the length of some rule's host."""
 
     def of(host: str, path: str) -> list[str]:
         if not host:
             return []
         starts = [0] + [i + 1 for i, c in enumerate(host) if c == "."]
-        keys = [(len(host) - s + n, host[s:] + path[:n]) for s in starts if s < len(host) for n in lengths if n <= len(path)]
+        keys = [(len(host) - s + n, host[s:] + path[:n]) for s in starts if len(host) - s in hosts for n in lengths if n <= len(path)]
         return [k for _, k in sorted(keys, key=lambda x: -x[0])]
 
     return of
@@ -192,7 +197,7 @@ def judge_urls(pages: DataFrame, block: list[tuple[str, str]], allow: list[tuple
     if bad := [r for r in rules if not r[0] or not r[1].startswith("/")]:
         raise ValueError(f"not a rule: {bad[0]}")
     blocked, allowed = {h + p for h, p in block} - {h + p for h, p in allow}, {h + p for h, p in allow}
-    candidates = _candidates(sorted({len(p) for _, p in rules}))
+    candidates = _candidates({len(h) for h, _ in rules}, sorted({len(p) for _, p in rules}))
     kind = pages.schema[id_col].dataType.simpleString()
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
 
@@ -203,14 +208,17 @@ def judge_urls(pages: DataFrame, block: list[tuple[str, str]], allow: list[tuple
 
     work = Workspace(pages.sparkSession, "url-filter")
     universe = parsed.select("host", "path").mapInArrow(keyed, "keys array<string>")
-    stop = build_cascade(sorted(blocked), universe, work, "block")
-    go = build_cascade(sorted(allowed), universe, work, "allow")
+    cascades = work.spark.sparkContext.broadcast((_cascades(blocked, universe, work, "block"), _cascades(allowed, universe, work, "allow")))
+
+    def listed(parts: list[Cascade], keys: list[str]) -> list[bool]:
+        return np.any([c.has(keys) for c in parts], axis=0).tolist() if parts else [False] * len(keys)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [candidates(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
             flat = [k for row in rows for k in row]
-            is_blocked, is_allowed = stop.has(flat).tolist(), go.has(flat).tolist()
+            stop, go = cascades.value
+            is_blocked, is_allowed = listed(stop, flat), listed(go, flat)
             found, at = [], 0
             for row in rows:
                 hit = next(((k, "block" if is_blocked[i] else "allow") for i, k in enumerate(row, at) if is_blocked[i] or is_allowed[i]), (None, default))

@@ -52,4 +52,14 @@ def test_bloom_has_no_false_negatives():
 
 
 def test_candidates_start_at_labels():
-    assert _candidates([1, 3])("a.bc", "/x") == ["a.bc/", "bc/"] and _candidates([1])("", "/") == []
+    assert _candidates({4, 2}, [1, 3])("a.bc", "/x") == ["a.bc/", "bc/"] and _candidates({1}, [1])("", "/") == []
+    assert _candidates({2}, [1])("a." * 50_000 + "bc", "/") == ["bc/"]
+
+
+def test_more_rules_than_a_cascade_holds(spark, monkeypatch):
+    monkeypatch.setattr("tenun.llm.url_filter.RULES_PER_CASCADE", 2)
+    rng = random.Random(6)
+    rows = [*enumerate(urls(rng, 200))]
+    given = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(tuple(r) for r in judge_urls(given, BLOCKED, ALLOWED).collect())
+    assert got == sorted((i, *brute(u, BLOCKED, ALLOWED)) for i, u in rows)
