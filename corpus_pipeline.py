@@ -24,8 +24,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks that an earlier document holds are cut out; every document stays."""
+    """Chunks that an earlier document holds are cut out; every document stays.
+
+    ``n_chars``, where there is such a column, is that of the new text.
+    """
     cleaned = drop_repeated_chunks(docs)
+    if "n_chars" not in docs.columns:
+        return cleaned.select(*docs.columns)
     kept = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", kept).select(*docs.columns)
 
