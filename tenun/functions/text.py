@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,20 +145,32 @@ def match_keyword(text: Column, keywords: Sequence[str]) -> Column:
     camel case, or by a whole hashtag that is the keyword without blanks, with or
     without one of the fixed prefixes. Parts of longer words don't count.
     """
-    prepared = prepare_text(text)
-    spread = F.regexp_replace(prepared, _HASHTAG, " \u0001$1\u0001 ")
-    pieces = F.transform(F.split(spread, "\u0001"), lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, _CAMEL, " ")).otherwise(part))
-    plain = strip(collapse(_fold_unified(F.array_join(pieces, ""))))
-    tags = F.split(casefold(F.array_join(F.regexp_extract_all(prepared, F.lit(_HASHTAG), F.lit(1)), " ")), " ")
-    tests = []
-    for keyword in keywords:
-        if not (folded := fold_keyword(keyword)):
-            continue
-        compact = folded.replace(" ", "")
-        whole = F.array(*[F.lit(p + compact) for p in ("", *HASHTAG_PREFIXES)])
-        alone = plain.rlike(NOT_AFTER_WORD + _quoted(folded) + NOT_BEFORE_WORD)
-        tests.append(F.when(alone | F.arrays_overlap(tags, whole), F.lit(keyword)))
-    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+    folded = [(k, f) for k in keywords if (f := fold_keyword(k))]
+    if not folded:
+        return F.lit(None).cast("string")
+
+    def marked(prepared: Column) -> Column:
+        """The text with hashtags taken apart, and after a mark the hashtags as they are: one string crosses to Python."""
+        spread = F.regexp_replace(prepared, _HASHTAG, " \u0001$1\u0001 ")
+        pieces = F.transform(F.split(spread, "\u0001"), lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, _CAMEL, " ")).otherwise(part))
+        tags = F.array_join(F.regexp_extract_all(prepared, F.lit(_HASHTAG), F.lit(1)), " ")
+        return F.concat(F.array_join(pieces, ""), F.lit("\u0002"), tags)
+
+    def first(parts: Column) -> Column:
+        plain, tags = strip(collapse(parts[0])), F.split(parts[1], " ")
+        return _let(F.struct(plain.alias("plain"), tags.alias("tags")), lambda t: F.coalesce(*[named(t, k, f) for k, f in folded]))
+
+    def named(t: Column, keyword: str, folded: str) -> Column:
+        whole = F.array(*[F.lit(p + folded.replace(" ", "")) for p in ("", *HASHTAG_PREFIXES)])
+        alone = t["plain"].rlike(NOT_AFTER_WORD + _quoted(folded) + NOT_BEFORE_WORD)
+        return F.when(alone | F.arrays_overlap(t["tags"], whole), F.lit(keyword))
+
+    return _let(F.split(_fold_unified(_let(prepare_text(text), marked)), "\u0002"), first)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _quoted(text: str) -> str:

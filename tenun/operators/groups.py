@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenun.functions.text import text_fingerprint
 from tenun.operators.components import connected_components
+from tenun.sources.shared import Workspace
 
 GROUP_KEYS = ("tweet_id", "conversation_id", "split_group_id", "campaign_group_id")
 
@@ -22,7 +23,10 @@ def leakage_groups(rows: DataFrame, row_id: str, keys: tuple[str, ...] = GROUP_K
     if text_col:
         kinds.append(F.struct(F.lit("text").alias("kind"), text_fingerprint(F.col(text_col)).alias("value")))
     values = rows.select(F.col(row_id).alias("row"), F.explode(F.array(*kinds)).alias("k")).select("row", "k.kind", "k.value").where("value is not null and value <> ''")
-    stars = values.groupBy("kind", "value").agg(F.min("row").alias("hub"))
+    # the texts are prepared once; hubs are saved before they are joined, so a hot key's rows can be dealt to several tasks
+    work = Workspace(rows.sparkSession, "leakage")
+    values = work.save(values, "values")
+    stars = work.save(values.groupBy("kind", "value").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
     found = connected_components(values.join(stars, ["kind", "value"]).where("row <> hub").select("row", "hub"), "row", "hub")
     joined = rows.select(F.col(row_id).alias("row")).join(found.withColumnRenamed("node", "row"), "row", "left")
     return joined.select(F.col("row").alias(row_id), F.coalesce("component", "row").alias("leakage_group"))
@@ -34,7 +38,7 @@ def protect_rows(candidates: DataFrame, protected: DataFrame, row_id: str, keys:
     ``row_id`` must be unique over both tables.
     """
     both = candidates.unionByName(protected, allowMissingColumns=True)
-    grouped = leakage_groups(both, row_id, keys, text_col)
+    grouped = Workspace(candidates.sparkSession, "protect").save(leakage_groups(both, row_id, keys, text_col), "groups")
     barred = grouped.join(protected.select(row_id), row_id, "left_semi").select("leakage_group").distinct()
     gone = grouped.join(barred, "leakage_group", "left_semi").select(row_id)
     return candidates.join(gone, row_id, "left_anti")
