@@ -37,18 +37,13 @@ def character_grams(text: Column, orders: tuple[int, ...] = CHARACTER_ORDERS) ->
 
     A padded word shorter than the shortest run counts once, as it is.
     """
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-    def of(word: Column) -> Column:
-        parts = []
-        for k, n in enumerate(orders):
-            starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1))).otherwise(F.array(F.lit(1)) if k == 0 else F.array().cast("array<int>"))
-            parts.append(F.transform(starts, lambda i: F.substr(word, i, F.lit(n))))  # noqa: B023
-        # a word that fits whole into a shorter run yields nothing longer
-        return F.concat(*parts)
-
-    return F.flatten(F.transform(padded, of))
+    # two blanks part the padded words, and no run holds both, nor begins inside a code point
+    words = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", "  "))
+    padded = F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    runs = [F.regexp_extract_all(padded, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=((?:(?!  ).){{{n - 1}}}.))"), F.lit(1)) for n in orders]
+    if (shortest := min(orders)) > 3:
+        runs.append(F.regexp_extract_all(padded, F.lit(rf"(?<=^| )( [^ ]{{1,{shortest - 3}}} )(?= |$)"), F.lit(1)))
+    return F.concat(*runs)
 
 
 def tfidf(rows: DataFrame, row_id: str, terms: Column, most: int = WORDS, train: Column | None = None) -> DataFrame:

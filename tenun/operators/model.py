@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import json
 import math
 import random
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import CountVectorizer, IDF, OneHotEncoder, StringIndexer
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenun.operators.checks import LABELS, ContractError, Rule, blank, enforce
+from tenun.operators.checks import LABELS, ContractError, Rule, blank, enforce, require_columns
 from tenun.operators.features import CHARACTERS, MODES, WORDS, character_grams, class_weights, ngrams, word_tokens
 from tenun.operators.groups import leakage_groups
+from tenun.sources.posts import with_sequence
+from tenun.sources.shared import Workspace
 
 LEAST_GROUPS = 5
-MOST_GROUPS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -45,50 +46,75 @@ def check_trials(trials: Iterable[Trial]) -> list[Trial]:
     return found
 
 
-def _deal(groups: list[tuple[int, dict[str, int]]], folds: int, seed: int) -> dict[int, int]:
-    """Groups to folds, the most uneven first, each where label counts stay most alike."""
-    rest = list(groups)
-    random.Random(seed).shuffle(rest)
-    spread = lambda counts: max(counts.values()) - min(counts.get(x, 0) for x in LABELS)
-    rest.sort(key=lambda g: -spread(g[1]))
-    total = {x: sum(c.get(x, 0) for _, c in rest) or 1 for x in LABELS}
-    have = [{x: 0 for x in LABELS} for _ in range(folds)]
+Profile = tuple[int, ...]
+
+
+def _deal(profiles: dict[Profile, int], folds: int, seed: int) -> dict[Profile, list[int]]:
+    """How many groups of each profile (label counts) go to each fold.
+
+    Whole rounds go to all folds alike; what is left goes, the most uneven profiles
+    first, to the folds where label counts stay most alike.
+    """
+    order = sorted(profiles)
+    random.Random(seed).shuffle(order)
+    order.sort(key=lambda p: -(max(p) - min(p)))
+    total = [sum(p[k] * n for p, n in profiles.items()) or 1 for k in range(len(LABELS))]
+    have = [[0] * len(LABELS) for _ in range(folds)]
     out = {}
-    for group, counts in rest:
-        def cost(fold: int) -> tuple[float, int]:
-            shares = [[(have[f][x] + (counts.get(x, 0) if f == fold else 0)) / total[x] for f in range(folds)] for x in LABELS]  # noqa: B023
-            uneven = sum(math.sqrt(sum((s - sum(v) / folds) ** 2 for s in v) / folds) for v in shares)
-            return uneven, sum(have[fold].values())
-
-        best = min(range(folds), key=cost)
-        out[group] = best
-        for x in LABELS:
-            have[best][x] += counts.get(x, 0)
+    for profile in order:
+        each, rest = divmod(profiles[profile], folds)
+        given = [each] * folds
+        for fold in range(folds):
+            have[fold] = [h + each * c for h, c in zip(have[fold], profile)]
+        for _ in range(rest):
+            def cost(fold: int) -> tuple[float, int]:
+                shares = [[(have[f][k] + (c if f == fold else 0)) / total[k] for f in range(folds)] for k, c in enumerate(profile)]  # noqa: B023
+                uneven = sum(math.sqrt(sum((s - sum(v) / folds) ** 2 for s in v) / folds) for v in shares)
+                return uneven, sum(have[fold])
+
+            best = min((f for f in range(folds) if given[f] == each), key=cost)
+            given[best] += 1
+            have[best] = [h + c for h, c in zip(have[best], profile)]
+        out[profile] = given
     return out
 
 
+def _holds_all(dealt: dict[Profile, list[int]], fold: int) -> bool:
+    return all(any(p[k] and n[fold] for p, n in dealt.items()) for k in range(len(LABELS)))
+
+
 def grouped_splits(rows: DataFrame, seed: int, row_id: str = "row_id", label: str = "sentiment_label", outer: int = 5, inner: int = 3) -> DataFrame:
     """``rows`` with ``leakage_group, split (development or test), fold (of development, else null)``.
 
     No group is in two splits or two folds, and every split and fold holds all
-    labels. What is dealt out on the driver is one row of label counts per group,
-    at most ``MOST_GROUPS``; training sets are far smaller than that.
+    labels. Groups with the same label counts are interchangeable: the driver only
+    deals out how many of each such profile go where, and the groups are numbered
+    within their profile, in an order that the seed shuffles, in parallel.
     """
-    grouped = rows.join(leakage_groups(rows, row_id), row_id)
+    work = Workspace(rows.sparkSession, "splits")
+    grouped = work.save(rows.join(leakage_groups(rows, row_id), row_id), "grouped")
     counts = grouped.groupBy("leakage_group").pivot(label, list(LABELS)).agg(F.count(F.lit(1))).fillna(0)
-    if (n := counts.count()) > MOST_GROUPS:
-        raise ContractError(f"{n} groups; at most {MOST_GROUPS} can be dealt out")
-    groups = [(r["leakage_group"], {x: r[x] for x in LABELS}) for r in counts.orderBy("leakage_group").collect()]
-    if any(sum(c[x] > 0 for _, c in groups) < LEAST_GROUPS for x in LABELS):
+    numbered = work.save(with_sequence(counts.withColumn("_order", F.xxhash64(F.lit(seed), "leakage_group")), [*LABELS, "_order", "leakage_group"], "_seq"), "numbered")
+    # a row for every kind of group, however many groups there are
+    kinds = numbered.groupBy(*LABELS).agg(F.count("*").alias("n"), F.min("_seq").alias("base")).collect()
+    profiles, bases = ({tuple(r[x] for x in LABELS): r[c] for r in kinds} for c in ("n", "base"))
+    if any(sum(n for p, n in profiles.items() if p[k]) < LEAST_GROUPS for k in range(len(LABELS))):
         raise ContractError(f"every label needs at least {LEAST_GROUPS} independent groups")
-    full = lambda dealt, fold: all(any(c[x] for g, c in groups if dealt.get(g) == fold) for x in LABELS)
     for attempt in range(seed, seed + outer):
-        dealt = _deal(groups, outer, attempt)
+        dealt = _deal(profiles, outer, attempt)
         for test in range(outer):
-            folds = _deal([g for g in groups if dealt[g[0]] != test], inner, attempt)
-            if full(dealt, test) and all(full(folds, f) for f in range(inner)):
-                table = [(g, "test" if dealt[g] == test else "development", folds.get(g)) for g, _ in groups]
-                placed = rows.sparkSession.createDataFrame(table, f"leakage_group {grouped.schema['leakage_group'].dataType.simpleString()}, split string, fold int")
+            rest = {p: n - dealt[p][test] for p, n in profiles.items() if n > dealt[p][test]}
+            folds = _deal(rest, inner, attempt)
+            if _holds_all(dealt, test) and all(_holds_all(folds, f) for f in range(inner)):
+                table = []
+                for p in profiles:
+                    at = bases[p]
+                    for split, fold, n in (("test", None, dealt[p][test]), *(("development", f, m) for f, m in enumerate(folds.get(p, [])))):
+                        if n:
+                            table.append((*p, at, at + n, split, fold))
+                            at += n
+                places = rows.sparkSession.createDataFrame(table, ", ".join(f"{x} long" for x in LABELS) + ", _from long, _to long, split string, fold int")
+                placed = numbered.join(places, list(LABELS)).where("_seq >= _from and _seq < _to").select("leakage_group", "split", "fold")
                 return grouped.join(placed, "leakage_group")
     raise ContractError("no split has every label in each fold")
 
@@ -98,9 +124,28 @@ def _prepared(rows: DataFrame, trial: Trial) -> DataFrame:
     return rows.withColumns({"_words": ngrams(word_tokens(F.col("model_text"), marks), trial.ngram_max), "_chars": character_grams(F.col("model_text"))})
 
 
-def _weighted(counts: str, idf: Column) -> Column:
-    """Counts and inverse frequencies to ``(1 + ln c) (idf + 1)``; MLlib's idf lacks the 1."""
-    return array_to_vector(F.zip_with(vector_to_array(counts), idf, lambda c, w: F.when(c > 0, (F.log(c) + 1) * (w + 1)).otherwise(0.0)))
+def _joined(idf: list[list[float]]):
+    """Blocks side by side, sparse as they are.
+
+    The first ones are counts, weighted ``(1 + ln c) (idf + 1)`` and scaled to length
+    one: MLlib has no logarithm of sparse entries, and its idf lacks the 1.
+    """
+    weights = [np.array(x) + 1 for x in idf]
+
+    @F.udf(VectorUDT())
+    def of(*blocks):
+        size, indices, values = 0, [], []
+        for k, block in enumerate(blocks):
+            own = block.values
+            if k < len(weights):
+                own = (np.log(own) + 1) * weights[k][block.indices]
+                own = own / (np.linalg.norm(own) or 1.0)
+            indices.append(block.indices + size)
+            values.append(own)
+            size += block.size
+        return SparseVector(size, np.concatenate(indices), np.concatenate(values))
+
+    return of.asNondeterministic()  # so the optimizer leaves it where it is, above the counting
 
 
 @dataclass
@@ -116,20 +161,27 @@ class TextModel:
 
     def features(self, rows: DataFrame) -> DataFrame:
         out = self.blocks.transform(_prepared(rows, self.trial))
-        for name, weights in self.idf.items():
-            out = out.withColumn(f"{name}_raw", _weighted(name, F.from_json(F.lit(json.dumps(weights)), "array<double>")))
-            out = Normalizer(p=2.0, inputCol=f"{name}_raw", outputCol=f"{name}_tfidf").transform(out)
-        inputs = [f"{name}_tfidf" for name in self.idf]
         if self.programs is not None:
-            out, inputs = self.programs.transform(out), [*inputs, "_program"]
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
+            out = self.programs.transform(out)
+        inputs = [*self.idf, *(["_program"] if self.programs is not None else [])]
+        return out.withColumn("features", _joined(list(self.idf.values()))(*inputs))
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``predicted``; blank texts or programs raise an error."""
+    def predict(self, rows: DataFrame, order: str | None = None) -> DataFrame:
+        """``rows`` with ``predicted``, with ``order`` in that column's order; blank texts or programs raise an error."""
+        require_columns(rows, ("model_text", "target_program"))
         enforce(rows, [Rule("an input is blank", blank(F.col("model_text")) | blank(F.col("target_program")))])
         named = F.array(*[F.lit(x) for x in self.labels])
         scored = self.classifier.transform(self.features(rows))
-        return scored.select(*rows.columns, F.get(named, F.col("prediction").cast("int")).alias("predicted"))
+        out = scored.select(*rows.columns, F.get(named, F.col("prediction").cast("int")).alias("predicted"))
+        return out.orderBy(order) if order else out
+
+
+def check_predictions(given: DataFrame, predicted: DataFrame, labels: Iterable[str] = LABELS) -> int:
+    """As many predictions as inputs, all of known labels; returns how many."""
+    n = enforce(predicted, [Rule("an unknown label", ~F.coalesce(F.col("predicted").isin(*labels), F.lit(False)))])
+    if n != (asked := given.count()):
+        raise ContractError(f"{n} predictions for {asked} rows")
+    return n
 
 
 def fit_model(rows: DataFrame, trial: Trial, iterations: int = 2000) -> TextModel:
@@ -152,7 +204,7 @@ def fit_model(rows: DataFrame, trial: Trial, iterations: int = 2000) -> TextMode
     return model
 
 
-def cross_validate(rows: DataFrame, trials: Iterable[Trial]) -> DataFrame:
+def cross_validate(rows: DataFrame, trials: Iterable[Trial], iterations: int = 2000) -> DataFrame:
     """``(trial, fold, macro_f1)`` over the development folds of ``grouped_splits``."""
     from tenun.operators.evaluation import metrics
 
@@ -160,7 +212,7 @@ def cross_validate(rows: DataFrame, trials: Iterable[Trial]) -> DataFrame:
     out = []
     for k, trial in enumerate(check_trials(trials)):
         for fold in sorted(r[0] for r in development.select("fold").distinct().collect()):
-            model = fit_model(development.where(F.col("fold") != fold), trial)
+            model = fit_model(development.where(F.col("fold") != fold), trial, iterations)
             found = metrics(model.predict(development.where(F.col("fold") == fold)), "sentiment_label", "predicted", "cv").first()
             out.append((k, fold, found["cv_macro_f1"]))
     return rows.sparkSession.createDataFrame(out, "trial int, fold int, macro_f1 double")

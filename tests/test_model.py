@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenun.operators.checks import LABELS, ContractError
-from tenun.operators.model import Trial, check_trials, fit_model, grouped_splits
+from tenun.operators.model import Trial, check_predictions, check_trials, cross_validate, fit_model, grouped_splits
 from tenun.plans.registry import Registry
 
 WORDS = {"negative": "buruk", "neutral": "berita", "positive": "bagus"}
@@ -35,7 +35,7 @@ def test_too_few_groups(spark):
         grouped_splits(rows(spark, 4), 42)
 
 
-@pytest.mark.parametrize("mode", ["word_program", "word_char"])
+@pytest.mark.parametrize("mode", ["word_program", "word_char", "word_char_program"])
 def test_model_learns_the_words(spark, mode):
     given = rows(spark)
     model = fit_model(given.where("row_id % 10 < 8"), Trial(C=10.0, ngram_max=2, feature_mode=mode), iterations=100)
@@ -63,3 +63,37 @@ def test_registry(spark, tmp_path):
     registry.promote("m", 2, "d2")
     registry.promote("m", 2, "d2")
     assert {r.version: r.stage for r in registry.current().collect()} == {1: "Archived", 2: "Production"}
+
+
+def test_many_groups_are_dealt_evenly(spark):
+    out = grouped_splits(rows(spark, 200), 7).collect()
+    parts = {}
+    for r in out:
+        parts.setdefault((r.split, r.fold), []).append(r.sentiment_label)
+    assert {len(v) for k, v in parts.items() if k[0] == "test"} == {120}
+    for labels in parts.values():
+        assert all(abs(labels.count(x) - len(labels) / 3) <= 1 for x in LABELS)
+    assert out != grouped_splits(rows(spark, 200), 8).collect()
+    again = {r.row_id: (r.split, r.fold) for r in grouped_splits(rows(spark, 200).repartition(3), 7).collect()}
+    assert again == {r.row_id: (r.split, r.fold) for r in out}
+
+
+def test_cross_validation(spark):
+    given = grouped_splits(rows(spark, 12), 42)
+    trials = [Trial(2.0), Trial(10.0), Trial(2.0, 2)]
+    out = cross_validate(given, trials, iterations=20).collect()
+    assert [(r.trial, r.fold) for r in sorted(out)] == [(k, f) for k in range(3) for f in range(3)]
+    assert all(0.9 <= r.macro_f1 <= 1 for r in out)
+    with pytest.raises(ContractError):
+        cross_validate(given, trials[:2])
+
+
+def test_predictions_are_checked(spark):
+    given = spark.createDataFrame([(k,) for k in range(4)], "row_id long")
+    fine = given.withColumn("predicted", F.lit("neutral"))
+    assert check_predictions(given, fine) == 4
+    for bad in (fine.where("row_id < 3"), fine.withColumn("predicted", F.lit("other")), fine.withColumn("predicted", F.lit(None).cast("string"))):
+        with pytest.raises(ContractError):
+            check_predictions(given, bad)
+    model = fit_model(rows(spark), Trial(2.0), iterations=5)
+    assert [r.row_id for r in model.predict(rows(spark).repartition(3), "row_id").collect()] == list(range(30))
