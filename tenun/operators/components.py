@@ -32,8 +32,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, files: int | None
         hop = work.save(hop.select("node", F.least("node", "near").alias("up")), f"hop-{step}-0", files)
         jump = 0
         while True:
+            # two jumps a round: half the tables to write
             over = hop.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            wide = hop.join(over, "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved"))
+            farther = hop.select(F.col("node").alias("far"), F.col("up").alias("farther"))
+            wide = hop.join(over, "up").join(farther, "far").select("node", F.col("farther").alias("up"), (F.col("farther") != F.col("up")).alias("moved"))
             jump += 1
             wide = work.save(wide, f"hop-{step}-{jump}", files)
             hop = wide.select("node", "up")
@@ -51,6 +53,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, files: int | None
         labels = work.save(labels, f"labels-{step}", files)
     if labels is None:
         return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    work.keep(f"labels-{step}")
     return labels
 
 

@@ -53,7 +53,18 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _files(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._files(name)
+        system.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these: the ones that a result still reads."""
+        path, system = self._files()
+        for found in system.listStatus(path) if system.exists(path) else []:
+            if found.getPath().getName() not in names:
+                system.delete(found.getPath(), True)
