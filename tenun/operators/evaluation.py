@@ -24,10 +24,12 @@ def label_report(rows: DataFrame, truth: str, predicted: str, labels: tuple[str,
     """``(label, support, precision, recall, f1)`` for each of ``labels``, absent ones included; 0/0 is 0."""
     every = rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     cells = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    hit = F.sum(F.when((F.col("t") == F.col("label")) & (F.col("p") == F.col("label")), F.col("n")).otherwise(0))
-    support, taken = F.sum(F.when(F.col("t") == F.col("label"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("p") == F.col("label"), F.col("n")).otherwise(0))
-    # a table of label pairs against a handful of labels
-    joined = every.join(F.broadcast(cells), (F.col("label") == F.col("t")) | (F.col("label") == F.col("p")), "left").groupBy("label").agg(hit.alias("hit"), support.alias("support"), taken.alias("taken"))
+    sides = F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).alias("taken"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("p").alias("label"), F.lit(0).alias("support"), F.col("n").alias("taken"), F.lit(0).alias("hit")),
+    )
+    sums = cells.select(F.explode(sides).alias("s")).select("s.*").where(F.col("label").isin(*labels)).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "taken", "hit")])
+    joined = every.join(sums, "label", "left").fillna(0)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return joined.select("label", "support", share(F.col("hit"), F.col("taken")).alias("precision"), share(F.col("hit"), F.col("support")).alias("recall"), share(2 * F.col("hit"), F.col("support") + F.col("taken")).alias("f1"))
 
@@ -41,6 +43,11 @@ def metrics(rows: DataFrame, truth: str, predicted: str, prefix: str, labels: tu
     return accuracy.crossJoin(summed)
 
 
+def slice_metrics(rows: DataFrame, by: str, truth: str, predicted: str) -> DataFrame:
+    """``(by, rows, accuracy)`` for each value of ``by``."""
+    return rows.groupBy(by).agg(F.count("*").alias("rows"), F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+
+
 def fold_summary(scores: DataFrame, trial: str, score: str) -> DataFrame:
     """Mean and population deviation of each trial's fold scores."""
     return scores.groupBy(trial).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count("*").alias("folds"))

@@ -69,7 +69,49 @@ def oracles(keywords: tuple[str, ...], start: str, end: str) -> dict[str, str]:
     low = f"TIMESTAMP '{start} 00:00:00' - INTERVAL 7 HOUR"
     high = f"TIMESTAMP '{end} 00:00:00' + INTERVAL 17 HOUR"
     local = "(ts + INTERVAL 7 HOUR)"
+    problem = """CASE o_orderkey % 12 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid' WHEN 2 THEN 'invalid' WHEN 3 THEN 'data changed' WHEN 4 THEN 'configuration outside the run'
+      WHEN 6 THEN 'configuration changed' WHEN 8 THEN 'invalid configuration checksum' WHEN 10 THEN 'configuration changed' WHEN 11 THEN 'invalid' END"""
     return {
+        "csv_round_trip": "SELECT CAST(conv_id AS VARCHAR) AS id_str, 'NA \"x\", y' || coalesce(chr(10) || text, '') AS full_text, CAST(turn AS VARCHAR) AS turn, role FROM conversations",
+        "run_paths": """
+SELECT o_orderkey, 'p' || (o_custkey % 4) AS program, strftime(run_day, '%Y%m%d') || 'T101112+0700' AS run_id, CAST(o_orderdate AS DATE) AS collected_date, strftime(run_day, '%Y-%m-%dT03:11:12Z') AS collected_at, o_orderkey % 10 <> 0 AS path_agrees
+FROM (SELECT *, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS run_day FROM orders)""",
+        "collection_summary": f"""
+SELECT count(*) AS n_rows, strftime({low}, '%Y-%m-%dT%H:%M:%SZ') AS start_inclusive_utc, strftime({high}, '%Y-%m-%dT%H:%M:%SZ') AS end_exclusive_utc, min(shown) AS published_at_min, max(shown) AS published_at_max
+FROM (SELECT CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS shown FROM events WHERE ts >= {low} AND ts < {high})""",
+        "manifest_check": f"SELECT * FROM (SELECT 'r' || o_orderkey AS run, {problem} AS problem FROM orders) WHERE problem IS NOT NULL",
+        "quarantine_audit": f"""
+SELECT * FROM (
+  SELECT 'r' || o_orderkey AS run_path, concat_ws(';', CASE WHEN o_orderkey % 5 = 0 THEN 'outdated_schema' END, CASE WHEN o_orderkey % 7 = 0 THEN 'raw_input_missing' WHEN {problem} IS NOT NULL THEN 'manifest_invalid' END) AS reasons FROM orders)
+WHERE reasons <> ''""",
+        "preprocess_flags": f"""
+WITH k AS ({_keyword(keywords)}),
+p AS (SELECT *, TIMESTAMP '2026-01-01 00:00:00' + to_minutes(doc_id) AS moment FROM documents WHERE length(trim(regexp_replace(text, '\\s', '', 'g'))) > 0)
+SELECT CAST(doc_id AS VARCHAR) AS tweet_id, nullif(trim(source), '') AS conversation_id, CASE WHEN lang = 'en' THEN 'id' ELSE lang END AS language_normalized, lang <> 'en' AS language_needs_review,
+  strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS published_at, strftime(moment + INTERVAL 7 HOUR, '%G-W%V') AS year_week, strftime(moment + INTERVAL 7 HOUR, '%Y-%m') AS year_month,
+  matched_keyword, matched_keyword IS NOT NULL AS is_relevant, false AS is_duplicate, {_cleaned('text')} = '' AS is_empty_cleaned_text, {_fingerprint('text')} AS text_fingerprint, CAST(0 AS BIGINT) AS like_count, '3' AS schema_version
+FROM p JOIN k USING (doc_id)""",
+        "training_violations": f"""
+WITH {REVIEWABLE}
+SELECT rule, n AS n_rows, (SELECT count(*) FROM reviewable) AS total FROM (
+  SELECT 'label is unknown' AS rule, (SELECT count(*) FROM reviewable WHERE doc_id % 10 = 0) AS n UNION ALL SELECT 'text is blank', (SELECT count(*) FROM reviewable WHERE trim(coalesce(model_text, '')) = '')
+  UNION ALL SELECT 'an identity field is empty', 0 UNION ALL SELECT 'preprocessing flags are unresolved', (SELECT count(*) FROM reviewable WHERE NOT fit)
+  UNION ALL SELECT 'the target is not relevant', 0 UNION ALL SELECT 'the label is not approved', 0)""",
+        "training_counts": f"WITH {LABELLED} SELECT kind, value, count(*) AS n_rows FROM (SELECT 'sentiment_label' AS kind, sentiment_label AS value FROM labelled UNION ALL SELECT 'source', coalesce(source, '') FROM labelled UNION ALL SELECT 'lang', coalesce(lang, '') FROM labelled) GROUP BY 1, 2",
+        "labels_in_order": f"WITH {LABELLED} SELECT source AS target_program, CAST(doc_id AS VARCHAR) AS tweet_id, -doc_id AS position, sentiment_label FROM labelled WHERE doc_id % 3 = 0",
+        "stacked_batches": "SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS nation, 0 AS batch, '' AS region FROM nation UNION ALL SELECT r_name, '', 1, CAST(r_regionkey AS VARCHAR) FROM region",
+        "split_sanity": """
+SELECT * FROM (
+  SELECT o_orderkey, CASE WHEN a = 0 AND d + t > 0 THEN 'unknown' WHEN a > 0 AND d > 0 AND t > 0 THEN 'in both' WHEN a > 0 AND d + t = 0 THEN 'in neither' END AS problem
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN 1 ELSE 0 END AS a, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS d, CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS t FROM orders))
+WHERE problem IS NOT NULL""",
+        "lineage_equality": """
+SELECT CAST(c_custkey AS VARCHAR) AS key, stated, '5-LOW' AS found FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS stated FROM orders GROUP BY 1) ON o_custkey = c_custkey
+WHERE stated IS DISTINCT FROM '5-LOW'""",
+        "split_counts": f"WITH {LABELLED} SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'development' END AS split, sentiment_label, count(*) AS n_rows FROM labelled GROUP BY 1, 2",
+        "program_slices": f"WITH {LABELLED} SELECT source, count(*) AS n_rows, round(avg(CASE WHEN sentiment_label = CASE WHEN length(text) % 2 = 0 THEN 'neutral' ELSE 'positive' END THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labelled GROUP BY 1",
+        "top_ranked": "WITH t AS (SELECT event_type, user_id, round(sum(value), 3) AS total, max(event_id) AS last FROM events GROUP BY 1, 2) SELECT event_type, user_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY total DESC, last DESC) AS place FROM t) WHERE place <= 5",
+        "split_invariants": f"WITH {LABELLED} SELECT 'torn groups' AS what, 0 AS n UNION ALL SELECT 'places without a label', 0 UNION ALL SELECT 'misplaced rows', 0 UNION ALL SELECT 'rows', count(*) FROM labelled UNION ALL SELECT 'folds', 3",
         "text_prepare": f"SELECT 'd' || doc_id AS id, {_prepared('text')} AS model_text FROM documents UNION ALL SELECT 'u' || page_id, {_prepared(chr(39) + 'see ' + chr(39) + ' || url || ' + chr(39) + '! by @user_1 #Tag' + chr(39))} FROM pages",
         "text_clean": f"SELECT doc_id, {_cleaned(chr(39) + '#GoodNews ' + chr(39) + ' || text')} AS cleaned_text FROM documents",
         "text_fingerprints": f"SELECT doc_id, {_fingerprint(chr(39) + 'RT ' + chr(39) + ' || text')} AS text_fingerprint, sha256(text) AS text_sha256 FROM documents",
@@ -133,7 +175,7 @@ SELECT vec_id, label AS teacher_proposed_label, round(best, 6) AS teacher_score,
         "crosstab": f"WITH {LABELLED} SELECT source, count(*) FILTER (sentiment_label = 'negative') AS negative, count(*) FILTER (sentiment_label = 'neutral') AS neutral, count(*) FILTER (sentiment_label = 'positive') AS positive FROM labelled GROUP BY source",
         "class_weights": f"WITH {LABELLED}, c AS (SELECT sentiment_label, count(*) AS n FROM labelled GROUP BY 1) SELECT sentiment_label, n AS n_rows, round((SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE), 6) AS weight FROM c",
         "tfidf_word": _tfidf(r"SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents", "doc_id", 10_000),
-        "tfidf_char": _tfidf("SELECT page_id AS row_id, substr(w, i, n) AS term FROM (SELECT page_id, ' ' || lower(url) || ' ' AS w FROM pages), range(3, 6) AS o(n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i)", "page_id", 20_000),
+        "tfidf_char": _tfidf("SELECT row_id, substr(w, i, n) AS term FROM (SELECT doc_id AS row_id, ' ' || unnest(regexp_extract_all(lower(text), '[^\\s]+')) || ' ' AS w FROM documents), range(3, 6) AS o(n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i)", "doc_id", 20_000),
         "classification_metrics": f"""
 WITH {LABEL_REPORT}
 SELECT round((SELECT avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) FROM judged), 6) AS test_accuracy, round(avg(f1), 6) AS test_macro_f1, round(sum(f1 * support) / sum(support), 6) AS test_weighted_f1,

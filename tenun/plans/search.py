@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 from tenun.functions.moments import LOCAL_ZONE
 
 
-def _terms(values: Sequence[str]) -> str:
-    words = [v.strip() for v in values if v.strip()]
-    if not words:
-        raise ValueError("a search needs a keyword")
-    escaped = [w.replace('"', '\\"') for w in words]
-    return "(" + " OR ".join(f'"{w}"' if re.search(r"\s", w) else w for w in escaped) + ")"
+def _word(text: str) -> str:
+    """A search word; a phrase stands in quotation marks, its own ones escaped."""
+    safe = text.replace('"', r"\"")
+    return f'"{safe}"' if len(text.split()) > 1 else safe
+
+
+def any_of(words: Sequence[str]) -> str:
+    """``(a OR "b c")`` of the words that aren't blank; it is an error if all are."""
+    if chosen := [_word(w) for w in map(str.strip, words) if w]:
+        return f"({' OR '.join(chosen)})"
+    raise ValueError("a search needs a keyword")
 
 
 def search_query(keywords: Sequence[str], language: str | None = None, context: Sequence[str] = ()) -> str:
-    """``(a OR "b c") (context) lang:xx``; blank words are dropped, none left is an error."""
-    if language is not None and not re.fullmatch("[a-z]{2}", language):
+    """``(a OR "b c") (context) lang:xx``: one group of words after the other, then the language."""
+    groups = filter(None, (keywords, context)) if keywords else (keywords,)
+    query = " ".join(map(any_of, groups))
+    if language is None:
+        return query
+    if len(language) != 2 or not language.isascii() or not language.islower():
         raise ValueError("a language is two lower-case letters")
-    parts = [_terms(keywords), *([_terms(context)] if context else []), *([f"lang:{language}"] if language else [])]
-    return " ".join(parts)
+    return f"{query} lang:{language}"
 
 
 def parse_window(first: str, last: str) -> tuple[date, date]:

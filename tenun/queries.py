@@ -7,6 +7,7 @@ language), ``labels`` their labels, ``events`` time-stamped rows, ``orders`` and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import UTC, date, datetime
 
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from tenun.functions import moments
 from tenun.functions.text import clean_text, language_code, match_keyword, prepare_text, review_hash, text_fingerprint
-from tenun.operators import checks, dedupe, evaluation, features, groups, labeling, snapshot
+from tenun.operators import audit, checks, dedupe, evaluation, features, groups, labeling, manifests, snapshot
 from tenun.operators.model import Trial, fit_model, grouped_splits
 from tenun.operators.preprocess import Run, preprocess_posts, quality_report
+from tenun.sources.posts import read_text_csv, run_columns, write_text_csv
 from tenun.sources.shared import Workspace
 from tenun.streaming.ingest import ingest_available, read_ingested, windowed_counts
 
@@ -110,6 +112,7 @@ def collection_selection(spark, sf_dir):
 
 def exact_duplicates(spark, sf_dir):
     keyed = table(spark, sf_dir, "documents").select("doc_id", text_fingerprint(F.col("text")).alias("fp"))
+    keyed = Workspace(spark, "exact").save(keyed, "keyed")
     return dedupe.repeated_ids(keyed, "fp", "doc_id").select("doc_id", "repeated")
 
 
@@ -155,6 +158,73 @@ def report(spark, sf_dir):
     return quality_report(Workspace(spark, "report").save(preprocess_posts(posts(spark, sf_dir), _run()), "records"))
 
 
+def preprocess_flags(spark, sf_dir):
+    """What SQL can say of the canonical records."""
+    records = preprocess_posts(posts(spark, sf_dir), _run())
+    return records.select("tweet_id", "conversation_id", "language_normalized", "language_needs_review", "published_at", "year_week", "year_month", "matched_keyword", "is_relevant", "is_duplicate", "is_empty_cleaned_text", "text_fingerprint", "like_count", "schema_version")
+
+
+# --- raw zone ------------------------------------------------------------------
+
+
+def csv_round_trip(spark, sf_dir):
+    """Rows as text through the raw zone's CSV, line breaks and quotes included."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id_str"), F.concat_ws("\n", F.lit('NA "x", y'), "text").alias("full_text"), F.col("turn").cast("string").alias("turn"), "role")
+    path = f"{Workspace(spark, 'csv').path}/raw"
+    write_text_csv(rows, path)
+    return read_text_csv(spark, path, tuple(rows.columns))
+
+
+def run_paths(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    run_id = F.concat(F.date_format(F.date_add("o_orderdate", (F.col("o_orderkey") % 10 == 0).cast("int")), "yyyyMMdd"), F.lit("T101112+0700"))
+    path = F.concat(F.lit("raw/collected_date="), day, F.lit("/program=p"), F.col("o_custkey") % 4, F.lit("/run_id="), run_id, F.lit("/data.csv"))
+    found = run_columns(F.col("path"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"))
+    return rows.select("o_orderkey", found["program"].alias("program"), found["run_id"].alias("run_id"), found["collected_date"].alias("collected_date"), moments.iso_utc(found["collected_at"]).alias("collected_at"), found["path_agrees"].alias("path_agrees"))
+
+
+def collection_summary(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id_str"), F.lit("text").alias("full_text"), moments.iso_utc(F.col("ts").cast("timestamp")).alias("created_at"))
+    inside = ev.where(moments.in_window(moments.parse_published(F.col("created_at")), F.lit(START), F.lit(END)))
+    found = checks.validate_collection(inside, START, END, 1_000_000_000)
+    keys = ("rows", "start_inclusive_utc", "end_exclusive_utc", "published_at_min", "published_at_max")
+    return spark.createDataFrame([tuple(found[k] for k in keys)], "n_rows long, start_inclusive_utc string, end_exclusive_utc string, published_at_min string, published_at_max string")
+
+
+def _runs_and_files(spark, sf_dir):
+    """Orders as runs, each with one of a dozen manifests, sound or not."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), "o_orderkey").alias("run"), (F.col("o_orderkey") % 12).alias("k"), F.col("o_orderdate").cast("date").alias("day"))
+    own = F.sha2("run", 256)
+    kept = lambda text: F.sha2(F.lit(text), 256)
+    k = F.col("k")
+    manifest = F.to_json(F.struct(
+        F.col("day").alias("from_date"), F.date_add("day", F.when(k == 2, -1).otherwise(6)).alias("to_date"), F.when(k == 3, kept("other")).otherwise(own).alias("input_sha256"),
+        F.when(k.isin(5, 6), kept("own")).when(k == 7, kept("current")).when(k == 8, "zz").when(k == 9, kept("old")).otherwise(kept("lost")).alias("config_sha256"),
+        F.when(k == 4, "../x.yaml").when(k.isin(5, 6), "config.yaml").alias("config_snapshot"),
+    ))
+    limit = F.when(k == 1, '"limit":"5",').otherwise('"limit":5,')
+    whole = F.when(k == 0, None).when(k == 11, "not json").otherwise(F.concat(F.lit("{"), limit, F.substr(manifest, F.lit(2))))
+    runs = orders.select("run", own.alias("sha256"), whole.alias("manifest"))
+    beside = orders.where("k in (5, 6)").select(F.col("run").alias("folder"), F.lit("config.yaml").alias("name"), F.when(k == 5, kept("own")).otherwise(kept("changed")).alias("sha256"))
+    old = orders.limit(1).select(F.lit("history").alias("folder"), F.concat(kept("old"), F.lit(".yaml")).alias("name"), kept("old").alias("sha256"))
+    return runs, beside.unionByName(old)
+
+
+def manifest_check(spark, sf_dir):
+    runs, files = _runs_and_files(spark, sf_dir)
+    return manifests.manifest_problems(runs, files, hashlib.sha256(b"current").hexdigest())
+
+
+def quarantine_audit(spark, sf_dir):
+    runs, files = _runs_and_files(spark, sf_dir)
+    bad = manifests.manifest_problems(runs, files, hashlib.sha256(b"current").hexdigest()).select("run", F.lit(False).alias("ok"))
+    number = F.substring("run", 2, 20).cast("long")
+    raw = runs.where(number % 7 != 0).join(bad, "run", "left").select("sha256", F.coalesce("ok", F.lit(True)).alias("manifest_ok"))
+    processed = runs.select(F.col("run").alias("run_path"), F.when(number % 5 == 0, "2").otherwise("3").alias("schema_version"), F.col("sha256").alias("input_sha256"))
+    return audit.audit_runs(processed, raw).select("run_path", F.concat_ws(";", "reasons").alias("reasons"))
+
+
 # --- lineage, labels, groups -------------------------------------------------
 
 
@@ -184,6 +254,40 @@ def label_conflicts(spark, sf_dir):
     return labeling.mark_conflicts(_reviewable(spark, sf_dir)).select("tweet_id", "ai_training_candidate", "candidate_exclusion_reason")
 
 
+def training_violations(spark, sf_dir):
+    rows = _reviewable(spark, sf_dir).withColumns({"split_group_id": F.col("tweet_id"), "sentiment_label": F.when(F.col("tweet_id").cast("long") % 10 == 0, "mixed").otherwise(F.col("sentiment_label"))})
+    found = checks.violations(rows, checks.training_rules(rows.columns, True))
+    return found.select("rule", F.col("rows").alias("n_rows"), F.col("total").alias("total"))
+
+
+def training_counts(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return labeling.label_counts(rows, "sentiment_label", "source", "lang").select("kind", "value", F.col("rows").alias("n_rows"))
+
+
+def labels_in_order(spark, sf_dir):
+    docs = labelled(spark, sf_dir).select(F.col("source").alias("target_program"), F.col("doc_id").cast("string").alias("tweet_id"), "doc_id", "sentiment_label")
+    wanted = docs.where("doc_id % 3 = 0").select("target_program", "tweet_id", (-F.col("doc_id")).alias("position"))
+    return labeling.lookup_in_order(wanted, docs.drop("doc_id"), "position")
+
+
+def stacked_batches(spark, sf_dir):
+    one = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("nation"))
+    two = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("region"))
+    return labeling.stack_batches(one, two)
+
+
+def split_sanity(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    return labeling.split_problems(rows.where("o_orderkey % 11 <> 0"), rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 5 = 1 or o_orderkey % 7 = 0"), "o_orderkey")
+
+
+def lineage_equality(spark, sf_dir):
+    stated = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), "o_orderpriority").groupBy("key").agg(F.max("o_orderpriority").alias("value"))
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit("5-LOW").alias("value"))
+    return labeling.lineage_differences(stated, found)
+
+
 def training_selection(spark, sf_dir):
     rows = _reviewable(spark, sf_dir).withColumns({"conversation_id": F.col("target_program"), "split_group_id": F.col("tweet_id")})
     return labeling.select_training(rows, allow_provisional=True).groupBy("target_program", "sentiment_label").agg(F.count("*").alias("n_rows"))
@@ -228,8 +332,8 @@ def tfidf_word(spark, sf_dir):
 
 
 def tfidf_char(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    return features.tfidf(rows, "page_id", features.character_grams(F.col("url")), features.CHARACTERS).select("page_id", "term", F.round("weight", 5).alias("weight"))
+    docs = table(spark, sf_dir, "documents")
+    return features.tfidf(docs, "doc_id", features.character_grams(F.col("text")), features.CHARACTERS).select("doc_id", "term", F.round("weight", 5).alias("weight"))
 
 
 def _judged(spark, sf_dir):
@@ -279,13 +383,43 @@ def _splittable(spark, sf_dir):
     return labelled(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("tweet_id"), F.lit("").alias("conversation_id"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3)).alias("split_group_id"), F.col("text").alias("model_text"), F.col("source").alias("target_program"), "sentiment_label")
 
 
+def split_counts(spark, sf_dir):
+    part = F.when(F.xxhash64("doc_id").isNull(), "").when(F.col("doc_id") % 5 == 0, "test").otherwise("development")
+    return evaluation.split_counts(labelled(spark, sf_dir).withColumn("split", part), "split", "sentiment_label").select("split", "sentiment_label", F.col("rows").alias("n_rows"))
+
+
+def program_slices(spark, sf_dir):
+    judged = labelled(spark, sf_dir).withColumn("predicted", F.when(F.length("text") % 2 == 0, "neutral").otherwise("positive"))
+    return evaluation.slice_metrics(judged, "source", "sentiment_label", "predicted").select("source", F.col("rows").alias("n_rows"), F.round("accuracy", 6).alias("accuracy"))
+
+
+def top_ranked(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 3).alias("total"), F.max("event_id").alias("last"))
+    rows = rows.withColumn("score", F.struct("total", "last"))
+    return evaluation.rank_within(rows, ["event_type"], "score", 5).select("event_type", "user_id", "place")
+
+
+def split_invariants(spark, sf_dir):
+    """What every grouped split must hold, counted over the whole table."""
+    rows = Workspace(spark, "split").save(grouped_splits(_splittable(spark, sf_dir), 42), "rows")
+    torn = rows.groupBy("leakage_group").agg(F.countDistinct("split", F.coalesce("fold", F.lit(-1))).alias("places")).where("places > 1")
+    poor = rows.groupBy("split", "fold").agg(F.countDistinct("sentiment_label").alias("labels")).where("labels < 3")
+    wrong = rows.where("(split = 'test') <> (fold is null) or split not in ('test', 'development') or fold not in (0, 1, 2)")
+    counts = (("torn groups", torn), ("places without a label", poor), ("misplaced rows", wrong), ("rows", rows), ("folds", rows.where("fold is not null").select("fold").distinct()))
+    out = None
+    for name, found in counts:
+        part = found.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def group_split(spark, sf_dir):
     return grouped_splits(_splittable(spark, sf_dir), 42).select("row_id", "leakage_group", "split", "fold")
 
 
 def lr_predict(spark, sf_dir):
     rows = Workspace(spark, "lr").save(grouped_splits(_splittable(spark, sf_dir), 42), "rows")
-    model = fit_model(rows.where("split = 'development'"), Trial(C=2.0), iterations=50)
+    model = fit_model(rows.where("split = 'development'"), Trial(C=2.0))
     return model.predict(rows.where("split = 'test'")).select("row_id", "sentiment_label", "predicted")
 
 
@@ -308,6 +442,8 @@ def daily_counts(spark, sf_dir):
 
 QUERIES = (
     text_prepare, text_clean, text_fingerprints, keyword_match, language_flags, time_buckets, window_filter, scheduled_windows, contract_violations, collection_selection,
+    csv_round_trip, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
+    split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
     exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, preprocess, report, lineage_breaks, review_merge, label_conflicts,
     training_selection, proposal_gate, leakage, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
     fold_summary, model_selection, majority, latency, independent_groups, group_split, lr_predict, stream_ingest, daily_counts,
