@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tests.llm.fixtures import text, words
+from tests.llm.fixtures import edge_docs, text, words
 from tests.llm.test_decontaminate import brute as contaminated_brute
 from tests.llm.test_line_chunks import brute as chunks_brute
 from tests.llm.test_minhash import brute_classes, edited
@@ -75,3 +75,38 @@ def test_run_equals_its_stages(spark, sf_dir, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_edges_of_every_stage(spark, sf_dir):
+    """Nulls, empty and long texts, repeated ids and columns with names that the operators use themselves."""
+    given = edge_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, sf_dir)
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in given.collect()}
+            continue
+        assert out.columns == given.columns
+        kept = out.collect()
+        lost = {r.doc_id for r in given.collect()} - {r.doc_id for r in kept}
+        assert lost <= ({2, 6, 8} if name == "minhash_near_dedup" else {1, 2, 3, 4, 9, 10, 11, 12, 13, 5, 6, 7, 8} if name == "toxicity" else set())
+        assert sum(r.doc_id is None for r in kept) == 2
+        bare = stage(spark, given.select("doc_id", "text"), sf_dir)
+        assert bare.columns == ["doc_id", "text"]
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        assert stage(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_an_id_with_several_texts_loses_none(spark, sf_dir):
+    rng = random.Random(22)
+    a, b = text(rng, 60, 10**6), text(rng, 60, 10**6)
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.minhash_near_dedup(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, a), (2, b)])
