@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = labels.where("id <> component").select(F.col("id").alias("rep"), "component")
         joined = exact.join(named, "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     joined = work.save(joined, "classes", files)
+    work.keep("classes")
     sizes = work.save(joined.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1"), "sizes", files)
     return joined.join(sizes, "class_id", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
