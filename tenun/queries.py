@@ -146,6 +146,18 @@ def near_duplicate_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round("forward", 6).alias("forward"), F.round("backward", 6).alias("backward"))
 
 
+def similar_posts(spark, sf_dir):
+    """Short posts, every fifth conversation's also with an edited first word."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", F.col("text"))
+    edited = said.where("conv_id % 5 = 0").select("conv_id", F.regexp_replace("text", r"^\S+", "edited").alias("text"))
+    keys = said.unionByName(edited).select(dedupe.duplicate_key(F.col("text")).alias("key")).where("key <> ''").distinct()
+    keys = Workspace(spark, "posts").save(keys.select(F.xxhash64("key").alias("key_id"), "key", F.length("key").alias("n")), "keys")
+    pairs = dedupe.similar_pairs(keys)
+    named = keys.select("key_id", "key")
+    joined = pairs.join(named.select(F.col("key_id").alias("a"), F.col("key").alias("text_a")), "a").join(named.select(F.col("key_id").alias("b"), F.col("key").alias("text_b")), "b")
+    return joined.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), F.round(F.greatest("forward", "backward"), 6).alias("similarity"))
+
+
 def _run() -> Run:
     return Run("program", "20260105T000000+0000", datetime(2026, 1, 5, tzinfo=UTC), KEYWORDS)
 
@@ -444,7 +456,7 @@ QUERIES = (
     text_prepare, text_clean, text_fingerprints, keyword_match, language_flags, time_buckets, window_filter, scheduled_windows, contract_violations, collection_selection,
     csv_round_trip, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
     split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
-    exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, preprocess, report, lineage_breaks, review_merge, label_conflicts,
+    exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, similar_posts, preprocess, report, lineage_breaks, review_merge, label_conflicts,
     training_selection, proposal_gate, leakage, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
     fold_summary, model_selection, majority, latency, independent_groups, group_split, lr_predict, stream_ingest, daily_counts,
 )

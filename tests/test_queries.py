@@ -1,12 +1,15 @@
 """Every query against its SQL on the smallest tables, where they are there."""
 
+import difflib
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 from tenun import oracles, queries
+from tenun.functions.text import duplicate_key
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +47,22 @@ def test_query(spark, duck, name):
 def test_flagship(spark):
     rows = queries.flagship(spark, SF).collect()
     assert sum(r.n_rows for r in rows) == 200 and {r.quality_status for r in rows} >= {"accepted"}
+
+
+def test_similar_posts(spark, duck):
+    """Against all pairs, one after the other."""
+    said = duck.sql("SELECT conv_id, text FROM conversations").fetchall()
+    texts = [t for _, t in said] + [re.sub(r"^\S+", "edited", t) for c, t in said if c % 5 == 0]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    keys = sorted({r.k for r in table.select(duplicate_key("t").alias("k")).collect() if r.k})
+    want = {}
+    for n, a in enumerate(keys):
+        for b in keys[:n]:
+            if min(len(a), len(b)) < 40 or min(len(a), len(b)) / max(len(a), len(b)) < 0.85:
+                continue
+            if difflib.SequenceMatcher(None, a, b, autojunk=False).quick_ratio() >= 0.9:
+                best = max(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
+                if best >= 0.92:
+                    want[b, a] = round(best, 6)
+    assert len(want) > 5
+    assert {(r.text_a, r.text_b): r.similarity for r in queries.similar_posts(spark, SF).collect()} == want
