@@ -5,10 +5,13 @@ import os
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from tenun.llm import queries
+from tenun.llm.minhash import banded_similarity
 from tenun.llm.url_filter import host_of
+from tenun.llm.words import word_hashes
 from tests.test_queries import TABLES, same
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +40,27 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def test_near_duplicates(spark, docs):
+    """Against the alignment of all pairs of documents."""
+    split = {i: word_hashes([t])[0][0] >> np.uint64(32) for i, t in docs.items()}
+    head = {i: i for i in docs}
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    ids = sorted(docs)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (docs[i] or "") == (docs[j] or "") or find(i) != find(j) and banded_similarity(split[i], split[j]):
+                x, y = sorted((find(i), find(j)))
+                head[y] = x
+    rows = queries.op1_minhash_near_dedup(spark, SF).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: find(i) for i in ids}
+    assert {r.doc_id: r.class_size for r in rows} == {i: sum(find(j) == find(i) for j in ids) for i in ids}
+
+
 def test_language(spark, duck, docs):
     truth = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())
     rows = queries.op2_language_id(spark, SF).collect()
