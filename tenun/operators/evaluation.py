@@ -43,9 +43,19 @@ def metrics(rows: DataFrame, truth: str, predicted: str, prefix: str, labels: tu
     return accuracy.crossJoin(summed)
 
 
-def slice_metrics(rows: DataFrame, by: str, truth: str, predicted: str) -> DataFrame:
-    """``(by, rows, accuracy)`` for each value of ``by``."""
-    return rows.groupBy(by).agg(F.count("*").alias("rows"), F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+def slice_metrics(rows: DataFrame, by: str, truth: str, predicted: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """``metrics`` for each value of ``by``: ``(by, rows, accuracy, macro_f1, weighted_f1, recall_*)``, in one aggregation."""
+    t, p = F.col(truth), F.col(predicted)
+    n = lambda condition: F.count(F.when(condition, 1))
+    counts = [c for x in labels for c in (n((t == x) & (p == x)).alias(f"hit_{x}"), n(t == x).alias(f"support_{x}"), n(p == x).alias(f"taken_{x}"))]
+    summed = rows.groupBy(by).agg(F.count("*").alias("rows"), F.avg((t == p).cast("double")).alias("accuracy"), *counts)
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    f1 = {x: share(2 * F.col(f"hit_{x}"), F.col(f"support_{x}") + F.col(f"taken_{x}")) for x in labels}
+    known = sum((F.col(f"support_{x}") for x in labels), F.lit(0))
+    macro = sum(f1.values(), F.lit(0.0)) / len(labels)
+    weighted = share(sum((f1[x] * F.col(f"support_{x}") for x in labels), F.lit(0.0)), known)
+    recalls = [share(F.col(f"hit_{x}"), F.col(f"support_{x}")).alias(f"recall_{x}") for x in labels]
+    return summed.select(by, "rows", "accuracy", macro.alias("macro_f1"), weighted.alias("weighted_f1"), *recalls)
 
 
 def fold_summary(scores: DataFrame, trial: str, score: str) -> DataFrame:

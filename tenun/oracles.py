@@ -109,7 +109,12 @@ WHERE problem IS NOT NULL""",
 SELECT CAST(c_custkey AS VARCHAR) AS key, stated, '5-LOW' AS found FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS stated FROM orders GROUP BY 1) ON o_custkey = c_custkey
 WHERE stated IS DISTINCT FROM '5-LOW'""",
         "split_counts": f"WITH {LABELLED} SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'development' END AS split, sentiment_label, count(*) AS n_rows FROM labelled GROUP BY 1, 2",
-        "program_slices": f"WITH {LABELLED} SELECT source, count(*) AS n_rows, round(avg(CASE WHEN sentiment_label = CASE WHEN length(text) % 2 = 0 THEN 'neutral' ELSE 'positive' END THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labelled GROUP BY 1",
+        "program_slices": f"""
+WITH {LABELLED}, j AS (SELECT source, sentiment_label AS t, CASE WHEN length(text) % 2 = 0 THEN 'neutral' ELSE 'positive' END AS p FROM labelled),
+c AS (SELECT source, label, count(*) FILTER (t = label AND p = label) AS hit, count(*) FILTER (t = label) AS support, count(*) FILTER (p = label) AS taken FROM j, (VALUES ('negative'), ('neutral'), ('positive')) AS l(label) GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN support + taken > 0 THEN 2 * hit / CAST(support + taken AS DOUBLE) ELSE 0 END AS f1 FROM c)
+SELECT f.source, n_rows, accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round(max(CASE WHEN label = 'positive' AND support > 0 THEN hit / CAST(support AS DOUBLE) ELSE 0 END), 6) AS recall_positive
+FROM f JOIN (SELECT source, count(*) AS n_rows, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM j GROUP BY 1) USING (source) GROUP BY 1, 2, 3""",
         "top_ranked": "WITH t AS (SELECT event_type, user_id, round(sum(value), 3) AS total, max(event_id) AS last FROM events GROUP BY 1, 2) SELECT event_type, user_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY total DESC, last DESC) AS place FROM t) WHERE place <= 5",
         "split_invariants": f"WITH {LABELLED} SELECT 'torn groups' AS what, 0 AS n UNION ALL SELECT 'places without a label', 0 UNION ALL SELECT 'misplaced rows', 0 UNION ALL SELECT 'rows', count(*) FROM labelled UNION ALL SELECT 'folds', 3",
         "text_prepare": f"SELECT 'd' || doc_id AS id, {_prepared('text')} AS model_text FROM documents UNION ALL SELECT 'u' || page_id, {_prepared(chr(39) + 'see ' + chr(39) + ' || url || ' + chr(39) + '! by @user_1 #Tag' + chr(39))} FROM pages",

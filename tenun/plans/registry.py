@@ -37,10 +37,30 @@ class Registry:
         self._add(name, version, "None", digest, note)
         return version
 
+    def annotate(self, name: str, version: int, note: str) -> None:
+        """A note on a version; its stage stays."""
+        row = self._version(name, version)
+        self._add(name, version, row["stage"], row["digest"], note)
+
+    def verify(self, name: str, digest: str) -> int:
+        """The one version in production, whose artifact must still have this digest."""
+        found = self.current().where((F.col("name") == name) & (F.col("stage") == "Production")).collect()
+        if len(found) != 1:
+            raise ValueError(f"{name}: {len(found)} versions in production")
+        if found[0]["digest"] != digest:
+            raise ValueError(f"{name} {found[0]['version']}: the artifact changed")
+        return found[0]["version"]
+
+    def _version(self, name: str, version: int):
+        row = self.current().where((F.col("name") == name) & (F.col("version") == version)).first()
+        if row is None:
+            raise ValueError(f"{name} {version} isn't registered")
+        return row
+
     def promote(self, name: str, version: int, digest: str, note: str = "") -> str:
         """One stage on; the artifact must be unchanged. What was in production is archived."""
-        row = self.current().where((F.col("name") == name) & (F.col("version") == version)).first()
-        if row is None or row["stage"] not in NEXT:
+        row = self._version(name, version)
+        if row["stage"] not in NEXT:
             raise ValueError(f"{name} {version} can't be promoted")
         if row["digest"] != digest:
             raise ValueError(f"{name} {version}: the artifact changed")
@@ -50,3 +70,35 @@ class Registry:
                 self._add(name, old["version"], "Archived", old["digest"], f"replaced by {version}")
         self._add(name, version, stage, digest, note)
         return stage
+
+
+class Experiments:
+    """Parameters, metrics (of folds, holdout and slices) and notes of runs, one row for each."""
+
+    SCHEMA = "experiment string, run string, kind string, key string, number double, text string"
+    KINDS = ("param", "metric", "slice", "note")
+
+    def __init__(self, spark: SparkSession, path: str, experiment: str):
+        self.spark, self.path, self.experiment = spark, path, experiment
+
+    def log(self, run: str, kind: str, values: dict[str, object]) -> None:
+        """Add ``values`` of one kind; numbers stay numbers, all else is text."""
+        if kind not in self.KINDS or not values:
+            raise ValueError(f"nothing to log as {kind}")
+        is_number = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
+        rows = [(self.experiment, run, kind, k, float(v) if is_number(v) else None, None if is_number(v) else str(v)) for k, v in values.items()]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def log_table(self, run: str, kind: str, rows: DataFrame, key: str) -> None:
+        """Add every numeric column of ``rows`` as ``key.column``, such as the metrics of slices."""
+        names = [f.name for f in rows.schema if f.name != key and f.dataType.typeName() in ("integer", "long", "double", "float")]
+        cells = F.array(*[F.struct(F.concat_ws(".", F.col(key), F.lit(n)).alias("key"), F.col(n).cast("double").alias("number")) for n in names])
+        long = rows.select(F.explode(cells).alias("c")).select(F.lit(self.experiment).alias("experiment"), F.lit(run).alias("run"), F.lit(kind).alias("kind"), "c.key", "c.number", F.lit(None).cast("string").alias("text"))
+        long.write.mode("append").parquet(self.path)
+
+    def runs(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("experiment") == self.experiment)
+
+    def best(self, metric: str) -> DataFrame:
+        """The run with the greatest ``metric``, the first name of equals."""
+        return self.runs().where((F.col("kind") == "metric") & (F.col("key") == metric)).orderBy(F.desc("number"), "run").limit(1)

@@ -59,6 +59,23 @@ def scheduled_window(moment: datetime, days: int = 7) -> tuple[date, date]:
     return today - timedelta(days=days), today - timedelta(days=1)
 
 
+def last_due(weekday: int, now: datetime) -> datetime:
+    """The last moment, up to ``now``, at which a program's weekly run is due: 23:59 local time on ISO ``weekday``."""
+    from zoneinfo import ZoneInfo
+
+    if weekday not in range(1, 8) or now.tzinfo is None or now.utcoffset() is None:
+        raise ValueError("a weekday is 1 to 7, and the moment must name its offset")
+    local = now.astimezone(ZoneInfo(LOCAL_ZONE))
+    due = local.replace(hour=23, minute=59, second=0, microsecond=0) - timedelta(days=(local.isoweekday() - weekday) % 7)
+    return due if due <= local else due - timedelta(days=7)
+
+
+def due_runs(weekdays: dict[str, int], done: dict[str, datetime], now: datetime) -> dict[str, datetime]:
+    """Programs whose last due moment has no run yet, with that moment; what was missed before isn't caught up."""
+    due = {name: last_due(day, now) for name, day in weekdays.items()}
+    return {name: at for name, at in due.items() if name not in done or done[name] < at}
+
+
 def backfill_window(end: date, collected: date, days: int = 7) -> tuple[date, date]:
     """``days`` days up to an explicit last day before the day of collection."""
     if end >= collected:

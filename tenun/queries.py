@@ -402,7 +402,7 @@ def split_counts(spark, sf_dir):
 
 def program_slices(spark, sf_dir):
     judged = labelled(spark, sf_dir).withColumn("predicted", F.when(F.length("text") % 2 == 0, "neutral").otherwise("positive"))
-    return evaluation.slice_metrics(judged, "source", "sentiment_label", "predicted").select("source", F.col("rows").alias("n_rows"), F.round("accuracy", 6).alias("accuracy"))
+    return evaluation.slice_metrics(judged, "source", "sentiment_label", "predicted").select("source", F.col("rows").alias("n_rows"), *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "recall_positive")])
 
 
 def top_ranked(spark, sf_dir):

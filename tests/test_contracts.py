@@ -157,7 +157,9 @@ def test_reports_of_unknown_labels_and_slices(spark):
     rows = spark.createDataFrame([("negative", "junk", "a"), ("negative", "negative", "a"), ("odd", "neutral", "b"), ("positive", None, "b")], "t string, p string, g string")
     got = {r.label: (r.support, round(r.precision, 3), round(r.recall, 3), round(r.f1, 3)) for r in evaluation.label_report(rows, "t", "p").collect()}
     assert got == {"negative": (2, 1.0, 0.5, 0.667), "neutral": (0, 0.0, 0.0, 0.0), "positive": (1, 0.0, 0.0, 0.0)}
-    assert {r.g: r.rows for r in evaluation.slice_metrics(rows, "g", "t", "p").collect()} == {"a": 2, "b": 2}
+    slices = {r.g: r for r in evaluation.slice_metrics(rows, "g", "t", "p").collect()}
+    assert {g: r.rows for g, r in slices.items()} == {"a": 2, "b": 2}
+    assert round(slices["a"].macro_f1, 4) == 0.2222 and round(slices["a"].weighted_f1, 4) == 0.6667 and slices["a"].recall_negative == 0.5 and slices["b"].macro_f1 == 0
     assert {tuple(r) for r in evaluation.split_counts(rows, "g", "t").collect()} == {("a", "negative", 2), ("b", "odd", 1), ("b", "positive", 1)}
     top = evaluation.rank_within(spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", 9)], "k string, s int"), ["k"], "s", 2)
     assert sorted(map(tuple, top.collect())) == [("a", 2, 2), ("a", 3, 1), ("b", 9, 1)]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tenun.operators.checks import LABELS, ContractError
 from tenun.operators.model import Trial, check_predictions, check_trials, cross_validate, fit_model, grouped_splits
-from tenun.plans.registry import Registry
+from tenun.plans.registry import Experiments, Registry
 
 WORDS = {"negative": "buruk", "neutral": "berita", "positive": "bagus"}
 
@@ -63,6 +63,25 @@ def test_registry(spark, tmp_path):
     registry.promote("m", 2, "d2")
     registry.promote("m", 2, "d2")
     assert {r.version: r.stage for r in registry.current().collect()} == {1: "Archived", 2: "Production"}
+    registry.annotate("m", 2, "measured")
+    assert registry.verify("m", "d2") == 2 and registry.current().where("version = 2").first().note == "measured"
+    for bad in (lambda: registry.verify("m", "other"), lambda: registry.verify("n", "d2"), lambda: registry.annotate("m", 9, "x")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_experiments(spark, tmp_path):
+    log = Experiments(spark, str(tmp_path / "runs"), "e")
+    for run, score in (("a", 0.5), ("b", 0.75), ("c", 0.75)):
+        log.log(run, "param", {"C": 2, "mode": "word_char", "balanced": True})
+        log.log(run, "metric", {"cv_macro_f1": score})
+    log.log_table("b", "slice", spark.createDataFrame([("mbg", 3, 0.5)], "program string, rows long, accuracy double"), "program")
+    assert log.best("cv_macro_f1").first().run == "b"
+    got = {(r.kind, r.key): r.number if r.text is None else r.text for r in log.runs().where("run = 'b'").collect()}
+    assert got == {("param", "C"): 2.0, ("param", "mode"): "word_char", ("param", "balanced"): "True", ("metric", "cv_macro_f1"): 0.75, ("slice", "mbg.rows"): 3.0, ("slice", "mbg.accuracy"): 0.5}
+    assert Experiments(spark, log.path, "other").runs().count() == 0
+    with pytest.raises(ValueError):
+        log.log("a", "other", {"x": 1})
 
 
 def test_many_groups_are_dealt_evenly(spark):

@@ -1,4 +1,4 @@
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +43,18 @@ def test_counts(spark):
     assert column(spark, ["3", "0", "3.0", "-1", "1.5", "x", "", None, "nan"], M.count_value) == [3, 0, 3, None, None, None, None, None, None]
 
 
+def test_weekly_runs():
+    monday = datetime(2026, 10, 5, 16, 59, tzinfo=UTC)  # 23:59 in Jakarta
+    assert search.last_due(1, monday) == monday and search.last_due(1, monday - timedelta(seconds=1)) == monday - timedelta(days=7)
+    assert search.last_due(7, monday) == monday - timedelta(days=1) and search.last_due(2, monday) == monday - timedelta(days=6)
+    days = {"a": 1, "b": 2}
+    assert set(search.due_runs(days, {}, monday)) == {"a", "b"}
+    assert search.due_runs(days, {"a": monday, "b": monday - timedelta(days=20)}, monday) == {"b": monday - timedelta(days=6)}
+    for bad in (lambda: search.last_due(0, monday), lambda: search.last_due(1, datetime(2026, 10, 5))):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_search_plans():
     assert search.search_query(["a", " b c ", ""], "id", ['say "x"']) == '(a OR "b c") ("say \\"x\\"") lang:id'
     assert search.parse_window("01-10-2026", "07-10-2026") == (date(2026, 10, 1), date(2026, 10, 7))
