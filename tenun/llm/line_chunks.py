@@ -118,6 +118,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = known.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"), F.col(text_col).alias("_text"))
     hashed = keyed.select("_id", "_text_hash", F.explode(_chunks(F.col("_text"), long_line, target)).alias("c")).select("_id", "_text_hash", "c.at", "c.n", "c.key", "c.more")
+    hashed = work.save(hashed, "chunks")
 
     # saved before it is joined, so a hot key's rows can be dealt to several tasks
     spread = work.save(hashed.groupBy("key", "n").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").drop("last"), "spread")
@@ -128,6 +129,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = keyed.join(marked, ["_id", "_text_hash"]).select("_id", "_text_hash", F.explode(_texts(F.col("_text"), F.col("marks"))).alias("x"))
     seen = work.save(seen.select("_id", "_text_hash", "x.ps", "x.m.n", "x.m.key", "x.m.first", "x.text", "x.after"), "seen")
     originals = work.save(seen.where("_id = first").select("key", "n", F.col("text").alias("original"), F.col("after").alias("original_after")).distinct(), "originals")
+    work.keep("seen", "originals")
     again = seen.where("_id <> first").join(originals, ["key", "n"]).where("text = original")
     alike = F.zip_with("after", "original_after", lambda x, y: F.coalesce(x == y, F.lit(False)))
     followed = F.array_position(F.concat(alike, F.array(F.lit(False))), False).cast("int") - 1
