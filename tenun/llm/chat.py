@@ -127,23 +127,28 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str =
     return ordered.mapInArrow(run, SCHEMA).withColumnRenamed("conv_id", conv_col)
 
 
+def learned_spans(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of text under the mask; the bytes of one character may be several tokens."""
+    starts, ends = starts[mask == 1], np.maximum.accumulate(ends[mask == 1])
+    if not len(starts):
+        return []
+    first = np.concatenate(([0], np.flatnonzero(starts[1:] > ends[:-1]) + 1))
+    return list(zip(starts[first].tolist(), ends[np.append(first[1:] - 1, len(ends) - 1)].tolist()))
+
+
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Digests read from the output alone: the turns from the text, what is learned from mask and offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv_id, text, mask, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv", "formatted", "loss_mask", "token_starts", "token_ends"))):
+            arrays = [batch.column(c) for c in ("loss_mask", "token_starts", "token_ends")]
+            for k, (conv_id, text) in enumerate(zip(batch.column("conv").to_pylist(), batch.column("formatted").to_pylist())):
                 turns = parse(text)
                 whole = hashlib.sha256()
                 for role, said in turns:
                     whole.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                spans: list[list[int]] = []
-                for m, a, b in zip(mask, starts, ends):
-                    if m and spans and a <= spans[-1][1]:  # the bytes of one character may be several tokens
-                        spans[-1][1] = max(b, spans[-1][1])
-                    elif m:
-                        spans.append([a, b])
+                spans = learned_spans(*(a[k].values.to_numpy() for a in arrays))
                 learned = "".join(unescape(text[a:b]) for a, b in spans)
                 rows.append((conv_id, len(turns), whole.hexdigest(), len(learned), hashlib.sha256(learned.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())

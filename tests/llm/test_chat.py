@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tenun.llm.chat import END, MARKS, TEXT, TURN, escape, format_conversations, mask_of, parse, read_back, render, unescape
+from tenun.llm.chat import END, MARKS, TEXT, TURN, escape, format_conversations, learned_spans, mask_of, parse, read_back, render, unescape
 
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("byte_bpe_50k.json")
@@ -60,3 +60,23 @@ def test_edges(spark):
     assert got[None].loss_chars == 5 and got[1].loss_chars == len(long_text) and got[1].loss_sha256 == sha(long_text)
     assert got[2].loss_sha256 == sha("twicetwice") and got[3].loss_chars == 0 and got[3].turns_sha256 == sha("\n\n")
     assert format_conversations(spark.createDataFrame([], schema), PATH).count() == 0
+
+
+def test_learned_spans_equal_plain_loops():
+    rng = random.Random(4)
+    for _ in range(300):
+        at, starts, ends = 0, [], []
+        for _ in range(rng.randrange(12)):
+            width = rng.choice([1, 1, 3])
+            for _ in range(rng.choice([1, 1, 2])):  # bytes of one character
+                starts.append(at)
+                ends.append(at + width)
+            at += width
+        mask = [rng.randrange(2) for _ in starts]
+        spans = []
+        for m, a, b in zip(mask, starts, ends):
+            if m and spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            elif m:
+                spans.append([a, b])
+        assert learned_spans(np.array(mask, np.int8), np.array(starts), np.array(ends)) == [tuple(s) for s in spans]
