@@ -154,7 +154,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items or 16 million characters, and each block is compared with all documents
     in one scan without a shuffle. Items of fewer than five words have no shingle
     and match nothing, nor do null or empty texts on either side. Repeated items,
-    and repeated documents, give one row per pair of ids. Null ids are kept as
+    and repeated documents, give one row per pair of ids. Ids that aren't numbers
+    raise Spark's cast error. Null ids are kept as
     ids. Empty tables give an empty result; other columns are not read.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -226,7 +226,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     can read. The plan is exact bookkeeping over all pieces: each gets one place.
 
     Null and empty texts are the end id alone. Repeated rows are documents of their
-    own. A null id is kept. An empty table gives an empty result.
+    own. A null id is kept; ids that aren't numbers raise Spark's cast error. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
