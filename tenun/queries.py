@@ -219,7 +219,7 @@ def _runs_and_files(spark, sf_dir):
     whole = F.when(k == 0, None).when(k == 11, "not json").otherwise(F.concat(F.lit("{"), limit, F.substr(manifest, F.lit(2))))
     runs = orders.select("run", own.alias("sha256"), whole.alias("manifest"))
     beside = orders.where("k in (5, 6)").select(F.col("run").alias("folder"), F.lit("config.yaml").alias("name"), F.when(k == 5, kept("own")).otherwise(kept("changed")).alias("sha256"))
-    old = orders.limit(1).select(F.lit("history").alias("folder"), F.concat(kept("old"), F.lit(".yaml")).alias("name"), kept("old").alias("sha256"))
+    old = spark.range(1).select(F.lit("history").alias("folder"), F.concat(kept("old"), F.lit(".yaml")).alias("name"), kept("old").alias("sha256"))
     return runs, beside.unionByName(old)
 
 
