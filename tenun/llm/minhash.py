@@ -220,13 +220,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = work.save(same.unionByName(own.where("unsure").select("id", F.col("id").alias("rep"))), "exact", files)
 
     alone = exact.where("id <> rep").select("id").unionByName(own.where("unsure").select("id"))
-    cells = sketches.join(alone, "id", "left_anti").select("id", F.posexplode("keys").alias("band", "key")).distinct()
+    heads = work.save(sketches.join(alone, "id", "left_anti").dropDuplicates(["id"]).select("id", "keys"), "heads")
+    work.drop("sketches")
+    cells = heads.select("id", F.posexplode("keys").alias("band", "key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = work.save(cells.join(work.save(shared, "shared", 4 * files), "key").select("key", "id", (F.col("band") < EARLY_BANDS).alias("early")), "buckets", 4 * files)
 
     members = buckets.select("id").distinct()
-    tokens = work.save(rows.join(members, "id", "left_semi").mapInArrow(_tokens, "id long, words binary, size long, bits binary").dropDuplicates(["id"]), "tokens")
-    work.drop("sketches")
+    tokens = work.save(rows.join(members, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_tokens, "id long, words binary, size long, bits binary"), "tokens")
+    work.drop("heads")
 
     links, labels, step = None, None, 0
 
