@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 HASHES = 48
 ITEMS_PER_BLOCK = 20_000
+BLOCKS_PER_SCAN = 4
 CHARS_PER_BLOCK = 16_000_000
 
 
@@ -107,21 +109,22 @@ def _parts(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(sizes) - sizes)[owner] + nth * width, owner
 
 
-def _scan(index: ItemIndex, least: float):
+def _scan(shared: Broadcast, size: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
             rows: list[tuple] = []
             for start, texts in blocks(batch.column("text").to_pylist()):
                 (words,), offsets = word_hashes(texts)
-                shingles = shingle_hashes(words, index.size)
+                shingles = shingle_hashes(words, size)
                 ends = np.repeat(offsets[1:], np.diff(offsets))[: len(shingles)]
-                inside = np.arange(len(shingles)) + index.size <= ends
+                inside = np.arange(len(shingles)) + size <= ends
                 bounds = np.concatenate(([0], np.cumsum(inside)))[np.minimum(offsets, len(shingles))]
                 shingles = shingles[inside]
-                for i, found in enumerate(index.candidates(shingles, bounds)):
-                    if found:
-                        rows += [(ids[start + i], item, share) for item, share in index.matches(found, shingles[bounds[i] : bounds[i + 1]], least)]
+                for index in shared.value:
+                    for i, found in enumerate(index.candidates(shingles, bounds)):
+                        if found:
+                            rows += [(ids[start + i], item, share) for item, share in index.matches(found, shingles[bounds[i] : bounds[i + 1]], least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["id", "item_id", "containment"])
 
     return run
@@ -151,8 +154,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     missed with probability below 2e-6.
 
     Items are the stated query set: they are held in blocks of at most 20 000
-    items or 16 million characters, and each block is compared with all documents
-    in one scan without a shuffle. Items of fewer than five words have no shingle
+    items or 16 million characters, and ``BLOCKS_PER_SCAN`` blocks are compared with
+    all documents in one scan without a shuffle. Items of fewer than five words have no shingle
     and match nothing, nor do null or empty texts on either side. Repeated items,
     and repeated documents, give one row per pair of ids. Ids that aren't numbers
     raise Spark's cast error. Null ids are kept as
@@ -161,12 +164,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     schema = "id long, item_id long, containment double"
-    out = None
+    out, held = None, []
+
+    def scan() -> DataFrame:
+        part = given.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(list(held)), size, least), schema)
+        held.clear()
+        return part if out is None else out.unionByName(part)
+
     for block in _item_blocks(tests):
         index = ItemIndex(block, size, hashes)
-        if index.classes:
-            part = given.mapInArrow(_scan(index, least), schema)
-            out = part if out is None else out.unionByName(part)
+        held += [index] if index.classes else []
+        if len(held) == BLOCKS_PER_SCAN:
+            out = scan()
+    if held:
+        out = scan()
     if out is None:
         out = given.sparkSession.createDataFrame([], schema)
     return out.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("containment").alias("containment"))
