@@ -199,7 +199,7 @@ def fit_model(rows: DataFrame, trial: Trial, iterations: int = 2000) -> TextMode
     weights = class_weights(rows)
     place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("sentiment_label")).cast("double") - 1
     ready = model.features(rows).withColumn("_label", place).join(F.broadcast(weights.select("sentiment_label", F.col("weight").alias("_weight"))), "sentiment_label")
-    regression = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_weight", family="multinomial", regParam=1 / (trial.C * rows.count()), standardization=False, maxIter=iterations, tol=1e-8)
+    regression = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_weight", family="multinomial", regParam=1 / (trial.C * rows.count()), standardization=False, maxIter=iterations, tol=1e-6)
     model.classifier = regression.fit(ready)
     return model
 
