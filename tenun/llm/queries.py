@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tenun.llm.chat import format_conversations, read_back
 from tenun.llm.decontaminate import contaminated
+from tenun.llm.filter_audit import audit_filters
 from tenun.llm.imatch import learn_lexicon, likeness
 from tenun.llm.language import identify_languages, learn_profiles
 from tenun.llm.line_chunks import drop_repeated_chunks
@@ -109,6 +110,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra), tokenizer_file()))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -192,6 +197,32 @@ SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM p LEFT JOIN fits ON fits.page_id = p.page_id AND place = 1
 """
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flags AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    map {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+         'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS fails
+  FROM docs LEFT JOIN flags USING (doc_id)),
+masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INTEGER), 1) AS f, string_split(filter_order, '')[:CAST(step AS INTEGER) - 1] AS before FROM orders, range(1, 6) AS r(step)),
+counted AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT fails[f] AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails[f] AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails[f] AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails[f] AND len(list_filter(map_values(fails), lambda v: v)) = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails[f] AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails[f] AND NOT gone), 0) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda x: fails[x])) > 0 AS gone FROM steps, masks) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op13_filter_audit": OP13_SQL, "op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_url_filter": OP9_SQL}
