@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenun.llm.chat import format_conversations, read_back
+from tenun.llm.conversation_repair import damage_conversations, repair_conversations
 from tenun.llm.decontaminate import contaminated
 from tenun.llm.filter_audit import audit_filters
 from tenun.llm.imatch import learn_lexicon, likeness
 from tenun.llm.language import identify_languages, learn_profiles
+from tenun.llm.license_rules import AFTER, BEFORE, all_rules
+from tenun.llm.license_scan import LOWER_WORD, SURENESS, scan_licenses, whole_words
 from tenun.llm.line_chunks import drop_repeated_chunks
 from tenun.llm.minhash import near_duplicates
 from tenun.llm.ordering import map_with_next
@@ -110,6 +113,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra), tokenizer_file()))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage_conversations(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -197,6 +208,83 @@ SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM p LEFT JOIN fits ON fits.page_id = p.page_id AND place = 1
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+  SELECT *, xor(list_reduce(
+    list_concat([4294967295], flatten(list_transform(range(1, length(k) + 1), lambda p: list_concat([CAST(ascii(substr(k, CAST(p AS INTEGER), 1)) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, substr(role, 1, 1) AS initial, regexp_replace(text, '[ 	-
+]+$', '') AS solid
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id),
+judged AS (
+  SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair,
+    CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+facts AS (SELECT *, fault IN ('blank', 'duplicate') AS forced, CAST(fault = 'truncated' AS INTEGER) AS more FROM judged),
+-- v: least cost from a row on, for the states nothing yet, after system, after user, after assistant
+back(c, i, v) AS (
+  SELECT c, (SELECT coalesce(max(i), 0) FROM facts WHERE facts.c = convs.c) + 1, [0, 4, 2, 0] FROM convs
+  UNION ALL
+  SELECT c, i, [least(b[1], 2 + b[3], 4 + b[4]), least(b[2], 2 + b[3], 4 + b[4]), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])]
+  FROM (
+    SELECT back.c, f.i, [
+      least(3 + v[1], CASE WHEN NOT forced AND initial = 's' THEN more + v[2] WHEN NOT forced AND initial = 'u' THEN more + v[3] ELSE 999999 END, CASE WHEN NOT forced THEN 2 + more + v[3] ELSE 999999 END),
+      least(3 + v[2], CASE WHEN NOT forced AND initial = 'u' THEN more + v[3] ELSE 999999 END, CASE WHEN NOT forced THEN 2 + more + v[3] ELSE 999999 END),
+      least(3 + v[3], CASE WHEN NOT forced AND initial = 'a' THEN more + v[4] ELSE 999999 END, CASE WHEN NOT forced THEN 2 + more + v[4] ELSE 999999 END),
+      least(3 + v[4], CASE WHEN NOT forced AND initial = 'u' THEN more + v[3] ELSE 999999 END, CASE WHEN NOT forced THEN 2 + more + v[3] ELSE 999999 END)] AS b
+    FROM back JOIN facts f ON f.c = back.c AND f.i = back.i - 1)),
+walk(c, i, q, audit, said) AS (
+  SELECT c, 1, 1, '', CAST([] AS VARCHAR[]) FROM convs
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept ELSE other END, audit || edit,
+    CASE edit WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE other WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, role, text, kept, other, CASE WHEN n.v IS NOT NULL AND h.v[q] = 3 + n.v[q] THEN 'D' WHEN h.v[q] = 2 + h.v[other] THEN 'I' WHEN NOT forced AND h.v[q] = more + n.v[kept] THEN 'K' WHEN NOT forced THEN 'R' END AS edit
+    FROM (
+      SELECT walk.*, role, text, forced, more, CASE q WHEN 3 THEN 4 ELSE 3 END AS other, CASE WHEN q = 1 AND initial = 's' THEN 2 WHEN q <> 3 AND initial = 'u' THEN 3 WHEN q = 3 AND initial = 'a' THEN 4 END AS kept
+      FROM walk LEFT JOIN facts f ON f.c = walk.c AND f.i = walk.i) w
+    JOIN back h ON h.c = w.c AND h.i = w.i LEFT JOIN back n ON n.c = w.c AND n.i = w.i + 1)
+  WHERE edit IS NOT NULL),
+counts AS (
+  SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM facts GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(v[1] AS BIGINT) AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+FROM convs JOIN back ON back.c = convs.c AND back.i = 1
+JOIN (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY c ORDER BY length(audit) DESC) = 1) w ON w.c = convs.c LEFT JOIN counts ON counts.c = convs.c
+"""
+
+OP12_RULES = ", ".join(f"({k}, '{r.label}', {r.priority}, {SURENESS[r.priority]}, '{r.keyword}', '{whole_words(r.pattern)}', {r.base})" for k, r in enumerate(all_rules()))
+OP12_SQL = f"""
+WITH rules(rule, label, priority, sure, keyword, pattern, base) AS (VALUES {OP12_RULES}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LOWER_WORD}') AS w FROM documents),
+words AS (SELECT r, w, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM docs),
+tried AS (
+  SELECT r, i, rules.*, regexp_extract(
+    CASE WHEN i > 0 THEN array_to_string(w[greatest(i - {BEFORE}, 0) + 1:i], ' ') || ' ' ELSE '' END || '@' || array_to_string(w[i + 1:i + {AFTER}], ' ') || ' ', pattern, 1) AS t
+  FROM words JOIN rules ON word = keyword),
+spans AS (
+  SELECT *, i - (length(split_part(t, '@', 1)) - length(replace(split_part(t, '@', 1), ' ', ''))) AS s, s + length(t) - length(replace(t, ' ', '')) AS f FROM tried WHERE t <> ''),
+judged AS (
+  SELECT *, NOT EXISTS (
+    SELECT 1 FROM spans o WHERE o.r = spans.r AND o.s <= spans.s AND o.f >= spans.f AND o.priority >= spans.priority
+      AND (o.f - o.s > spans.f - spans.s OR o.priority > spans.priority OR o.rule < spans.rule)) AS kept
+  FROM spans)
+SELECT doc_id, len(w) AS n_words, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR kept), '') AS labels,
+  CAST(coalesce(max(sure) FILTER (kept), 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN judged USING (r) GROUP BY r, doc_id, w
+"""
+
 OP13_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -225,4 +313,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": OP13_SQL, "op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op11_conversation_repair": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_filter_audit": OP13_SQL, "op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_decontamination": OP6_SQL, "op9_url_filter": OP9_SQL}
