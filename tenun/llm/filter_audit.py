@@ -130,9 +130,10 @@ def failure_masks(docs: DataFrame, filters: dict = TEXT_FILTERS, id_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
     duplicate = 1 << len(filters)
-    rdd: RDD = given.rdd
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rdd.getNumPartitions())
-    routed = rdd.mapPartitions(lambda rows: _local(rows, filters, duplicate)).partitionBy(tasks, lambda key: key)
+    # as many tasks as keep the chains of each small, however large the corpus
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _HELD_BYTES))
+    routed = given.rdd.mapPartitions(lambda rows: _local(rows, filters, duplicate)).partitionBy(tasks, lambda key: key)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("rows", T.LongType())])
     return spark.createDataFrame(routed.mapPartitions(lambda rows: _routed(rows, duplicate)), schema, verifySchema=False)
 
