@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenun.sources.shared import Workspace, files_for
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, files: int | None = None) -> DataFrame:
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of a small table at once: the smallest label moves along them until nothing changes."""
+    given = [b for b in batches if b.num_rows]
+    if not given:
+        return
+    table = pa.Table.from_batches(given)
+    ends = [table.column(c).to_pandas().to_numpy() for c in ("a", "b")]
+    nodes, places = np.unique(np.concatenate(ends), return_inverse=True)
+    one, two = places[: len(ends[0])], places[len(ends[0]) :]
+    label = np.arange(len(nodes))
+    while True:
+        # a link hooks the larger label to the smaller one, then all labels point to themselves again
+        low, high = np.minimum(label[one], label[two]), np.maximum(label[one], label[two])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    kind = given[0].schema.field("a").type
+    for at in range(0, len(nodes), 10_000):
+        part = slice(at, at + 10_000)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part].tolist(), kind), pa.array(nodes[label[part]].tolist(), kind)], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str, dst: str, files: int | None = None, last: int = 0) -> DataFrame:
     """Label every node of ``edges`` with the smallest node of its component.
 
     Returns ``(node, component)``, one row per node that has an edge to another
@@ -18,15 +46,23 @@ def connected_components(edges: DataFrame, src: str, dst: str, files: int | None
     disappear each round, so long chains take logarithmically many rounds, and
     no round brings a component together in one task: all steps are partial
     aggregations and equi-joins. ``files`` is how many files the working tables
-    are written to, by default as many as the number of links asks for.
+    are written to, by default as many as the number of links asks for. Once ``last``
+    links or fewer are left, they are followed in one task, which saves the rounds' tables.
     """
     work = Workspace(edges.sparkSession, "components")
     rest = work.save(_ordered(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "edges-0", files)
     files = files or files_for(rest.count())
     labels = None
     step = 0
-    while not rest.isEmpty():
+    while n := rest.count():
         step += 1
+        if n <= last:
+            kind = f"node {rest.schema['a'].dataType.simpleString()}, component {rest.schema['a'].dataType.simpleString()}"
+            found = rest.select("a", "b").coalesce(1).mapInArrow(_labels, kind)
+            if labels is not None:
+                found = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+            labels = work.save(found, f"labels-{step}", files)
+            break
         ways = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hop = ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
         hop = work.save(hop.select("node", F.least("node", "near").alias("up")), f"hop-{step}-0", files)

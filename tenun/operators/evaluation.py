@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenun.operators.checks import LABELS
+from tenun.sources.shared import Workspace
 
 LEAST_MACRO_F1 = 0.75
 
@@ -72,9 +76,46 @@ def majority_label(rows: DataFrame, label: str = "sentiment_label") -> DataFrame
     return rows.groupBy(label).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), label).limit(1)
 
 
+def exact_percentiles(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """``(share, value)``: the interpolated percentile of ``value`` at each share, 0 to 1, nulls left out.
+
+    Different values are counted and range-partitioned; the counts of the ranges say which of
+    them hold the wanted ranks, and only these are read again, in order, a range a task.
+    Without values all percentiles are null.
+    """
+    if bad := [s for s in shares if not 0 <= s <= 1]:
+        raise ValueError(f"no shares: {bad}")
+    spark = rows.sparkSession
+    work = Workspace(spark, "percentiles")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    held = work.save(counted.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()), "values")
+    sizes = sorted((r["part"], r["n"]) for r in held.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    places = [s * (total - 1) for s in shares]
+    wanted = sorted({f(p) for p in places for f in (math.floor, math.ceil)}) if total else []
+    base, starts = 0, {}
+    for part, n in sizes:
+        if any(base <= k < base + n for k in wanted):
+            starts[part] = base
+        base += n
+    found = {}
+    if wanted:
+        start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("part"))
+        upto = start + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+        ranked = held.where(F.col("part").isin(list(starts))).withColumn("upto", upto)
+        hit = reduce(or_, [(F.lit(k) < F.col("upto")) & (F.lit(k) >= F.col("upto") - F.col("n")) for k in wanted])
+        picked = [(r["upto"] - r["n"], r["upto"], r["v"]) for r in ranked.where(hit).collect()]
+        found = {k: next(v for low, high, v in picked if low <= k < high) for k in wanted}
+    work.keep()
+    out = [(float(s), found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) if total else None) for s, p in zip(shares, places)]
+    return spark.createDataFrame(out, "share double, value double")
+
+
 def latency_summary(rows: DataFrame, value: str) -> DataFrame:
     """Median, 95th percentile (interpolated) and maximum."""
-    return rows.agg(F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"))
+    named = {"median": 0.5, "p95": 0.95, "max": 1.0}
+    found = exact_percentiles(rows, value, list(named.values()))
+    return found.agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in named.items()])
 
 
 def independent_groups(rows: DataFrame, label: str, group: str) -> DataFrame:

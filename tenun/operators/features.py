@@ -7,8 +7,12 @@ rows; equal frequencies are ordered by term.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tenun.sources.shared import Workspace
 
 # Results must agree on them.
 WORDS, CHARACTERS = 10_000, 20_000
@@ -32,18 +36,66 @@ def ngrams(tokens: Column, most: int) -> Column:
     return out
 
 
-def character_grams(text: Column, orders: tuple[int, ...] = CHARACTER_ORDERS) -> Column:
-    """Runs of characters inside each word, padded with a blank on both sides.
+def word_grams(word: Column, orders: tuple[int, ...] = CHARACTER_ORDERS) -> Column:
+    """Runs of characters inside a word, padded with a blank on both sides.
 
     A padded word shorter than the shortest run counts once, as it is.
     """
-    # two blanks part the padded words, and no run holds both, nor begins inside a code point
-    words = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", "  "))
-    padded = F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
-    runs = [F.regexp_extract_all(padded, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=((?:(?!  ).){{{n - 1}}}.))"), F.lit(1)) for n in orders]
-    if (shortest := min(orders)) > 3:
-        runs.append(F.regexp_extract_all(padded, F.lit(rf"(?<=^| )( [^ ]{{1,{shortest - 3}}} )(?= |$)"), F.lit(1)))
-    return F.concat(*runs)
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    size = F.length(padded)
+    empty = F.array().cast("array<string>")
+    runs = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(empty) for n in orders]  # noqa: B023
+    return F.concat(*runs, F.when(size < min(orders), F.array(padded)).otherwise(empty))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)\s+", " "), " "), lambda w: w != "")
+
+
+def character_grams(text: Column, orders: tuple[int, ...] = CHARACTER_ORDERS) -> Column:
+    """The runs of all words of a text, one after the other."""
+    return F.flatten(F.transform(_words(text), lambda w: word_grams(w, orders)))
+
+
+def term_counts(rows: DataFrame, row_id: str, terms: Column) -> DataFrame:
+    """``(row, term, n)``: how often each row has each of its terms."""
+    return rows.select(F.col(row_id).alias("row"), F.explode(terms).alias("term")).groupBy("row", "term").agg(F.count("*").alias("n"))
+
+
+def character_counts(rows: DataFrame, row_id: str, text: Column, orders: tuple[int, ...] = CHARACTER_ORDERS) -> DataFrame:
+    """``term_counts`` of the characters' runs: a row's words are counted first, so each of them is cut once."""
+    words = term_counts(rows, row_id, _words(text))
+    return words.select("row", "n", F.explode(word_grams(F.col("term"), orders)).alias("term")).groupBy("row", "term").agg(F.sum("n").alias("n"))
+
+
+def learn_vocabulary(counts: DataFrame, docs: Column, most: int) -> DataFrame:
+    """``(term, place, idf)``: the most frequent terms, numbered from 0; at most ``most`` rows.
+
+    ``counts`` are those of the rows to learn from, ``docs`` is how many rows these are, a column or a literal.
+    """
+    known = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1
+    return known.select("term", place.alias("place"), (F.log((docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def weigh(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(row, term, place, raw)``: weights of known terms before rows are scaled."""
+    return counts.join(F.broadcast(vocabulary), "term").select("row", "term", "place", ((F.log("n") + 1) * F.col("idf")).alias("raw"))
+
+
+def scaled(weighted: DataFrame, row_id: str) -> DataFrame:
+    """``(row_id, term, weight)``: each row's weights as a vector of length one."""
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row")))
+    return weighted.select(F.col("row").alias(row_id), "term", (F.col("raw") / norm).alias("weight"))
+
+
+def _tfidf_of(counts: DataFrame, rows: DataFrame, row_id: str, most: int, train: Column | None) -> DataFrame:
+    learned = rows if train is None else rows.where(train)
+    # counted once: the vocabulary and the weights are both read from the table
+    counts = Workspace(rows.sparkSession, "tfidf").save(counts, "counts")
+    known = counts if train is None else counts.join(learned.select(F.col(row_id).alias("row")).distinct(), "row", "left_semi")
+    vocabulary = learn_vocabulary(known, F.lit(learned.count()), most)
+    return scaled(weigh(counts, vocabulary), row_id)
 
 
 def tfidf(rows: DataFrame, row_id: str, terms: Column, most: int = WORDS, train: Column | None = None) -> DataFrame:
@@ -52,16 +104,33 @@ def tfidf(rows: DataFrame, row_id: str, terms: Column, most: int = WORDS, train:
     ``train`` says which rows give vocabulary and frequencies (all by default).
     Counting happens before the shuffle; the vocabulary is bounded by ``most``.
     """
-    learn = F.lit(True) if train is None else train
-    counts = rows.select(F.col(row_id).alias("row"), learn.alias("learn"), F.explode(terms).alias("term")).groupBy("row", "learn", "term").agg(F.count("*").alias("n"))
-    known = counts.where("learn").groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
-    vocabulary = known.orderBy(F.desc("total"), "term").limit(most).select("term", "df")
-    total = rows.where(learn).agg(F.count("*").alias("docs"))
-    weighted = counts.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(total))
-    raw = (F.log("n") + 1) * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
-    weighted = weighted.select("row", "term", raw.alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row")))
-    return weighted.select(F.col("row").alias(row_id), "term", (F.col("raw") / norm).alias("weight"))
+    return _tfidf_of(term_counts(rows, row_id, terms), rows, row_id, most, train)
+
+
+def character_tfidf(rows: DataFrame, row_id: str, text: Column, most: int = CHARACTERS, train: Column | None = None) -> DataFrame:
+    """``tfidf`` over the runs of characters inside words."""
+    return _tfidf_of(character_counts(rows, row_id, text), rows, row_id, most, train)
+
+
+def sparse_vectors(ids: DataFrame, blocks: list[tuple[DataFrame, int]], work: Workspace, name: str) -> DataFrame:
+    """``(row, features)`` for every row of ``ids``: blocks of ``(row, place, raw)`` weights side by side.
+
+    Each block is as wide as its size says, and every row's part of it scaled to length
+    one. The vectors are put together by column functions, as the structs that sparse
+    vectors are stored as, and read back as vectors.
+    """
+    nothing = F.lit(None).cast("int")
+    cells, base = ids.select("row", nothing.alias("block"), nothing.alias("place"), F.lit(None).cast("double").alias("raw")), 0
+    for k, (weighted, size) in enumerate(blocks):
+        cells = cells.unionByName(weighted.select("row", F.lit(k).alias("block"), (F.col("place") + base).cast("int").alias("place"), F.col("raw").cast("double").alias("raw")))
+        base += size
+    norms = F.array(*[F.sqrt(F.sum(F.when(F.col("block") == k, F.col("raw") * F.col("raw")))) for k in range(len(blocks))])
+    rows = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "block", "raw")))).alias("cells"), norms.alias("norms"))
+    values = F.transform("cells", lambda c: c["raw"] / F.get("norms", c["block"]))
+    stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(base).alias("size"), F.transform("cells", lambda c: c["place"]).alias("indices"), values.alias("values"))
+    work.save(rows.select("row", stored.alias("features")), name)
+    kind = T.StructType([rows.schema["row"], T.StructField("features", VectorUDT())])
+    return ids.sparkSession.read.schema(kind).parquet(f"{work.path}/{name}")
 
 
 def class_weights(rows: DataFrame, label: str = "sentiment_label") -> DataFrame:

@@ -9,6 +9,8 @@ from tenun.functions.text import text_fingerprint
 from tenun.operators.components import connected_components
 from tenun.sources.shared import Workspace
 
+#: Fewer links than this are followed in one task.
+LAST_LINKS = 500_000
 GROUP_KEYS = ("tweet_id", "conversation_id", "split_group_id", "campaign_group_id")
 
 
@@ -27,7 +29,7 @@ def leakage_groups(rows: DataFrame, row_id: str, keys: tuple[str, ...] = GROUP_K
     work = Workspace(rows.sparkSession, "leakage")
     values = work.save(values, "values")
     stars = work.save(values.groupBy("kind", "value").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
-    found = connected_components(values.join(stars, ["kind", "value"]).where("row <> hub").select("row", "hub"), "row", "hub")
+    found = connected_components(values.join(stars, ["kind", "value"]).where("row <> hub").select("row", "hub"), "row", "hub", last=LAST_LINKS)
     joined = rows.select(F.col(row_id).alias("row")).join(found.withColumnRenamed("node", "row"), "row", "left")
     return joined.select(F.col("row").alias(row_id), F.coalesce("component", "row").alias("leakage_group"))
 

@@ -7,21 +7,18 @@ import random
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, OneHotEncoder, StringIndexer
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenun.operators.checks import LABELS, ContractError, Rule, blank, enforce, require_columns
-from tenun.operators.features import CHARACTERS, MODES, WORDS, character_grams, class_weights, ngrams, word_tokens
+from tenun.operators.features import CHARACTERS, MODES, WORDS, character_counts, class_weights, learn_vocabulary, ngrams, sparse_vectors, term_counts, weigh, word_tokens
 from tenun.operators.groups import leakage_groups
 from tenun.sources.posts import with_sequence
 from tenun.sources.shared import Workspace
 
 LEAST_GROUPS = 5
+ROWS_PER_TASK = 5000
 
 
 @dataclass(frozen=True)
@@ -119,52 +116,41 @@ def grouped_splits(rows: DataFrame, seed: int, row_id: str = "row_id", label: st
     raise ContractError("no split has every label in each fold")
 
 
-def _prepared(rows: DataFrame, trial: Trial) -> DataFrame:
+def _counts(rows: DataFrame, trial: Trial) -> list[tuple[DataFrame, int]]:
+    """Of each block of text features the terms' counts by ``_row``, and the most terms it may know."""
     marks = trial.feature_mode != "word_program"
-    return rows.withColumns({"_words": ngrams(word_tokens(F.col("model_text"), marks), trial.ngram_max), "_chars": character_grams(F.col("model_text"))})
+    words = term_counts(rows, "_row", ngrams(word_tokens(F.col("model_text"), marks), trial.ngram_max))
+    return [(words, WORDS)] + ([(character_counts(rows, "_row", F.col("model_text")), CHARACTERS)] if marks else [])
 
 
-def _joined(idf: list[list[float]]):
-    """Blocks side by side, sparse as they are.
-
-    The first ones are counts, weighted ``(1 + ln c) (idf + 1)`` and scaled to length
-    one: MLlib has no logarithm of sparse entries, and its idf lacks the 1.
-    """
-    weights = [np.array(x) + 1 for x in idf]
-
-    @F.udf(VectorUDT())
-    def of(*blocks):
-        size, indices, values = 0, [], []
-        for k, block in enumerate(blocks):
-            own = block.values
-            if k < len(weights):
-                own = (np.log(own) + 1) * weights[k][block.indices]
-                own = own / (np.linalg.norm(own) or 1.0)
-            indices.append(block.indices + size)
-            values.append(own)
-            size += block.size
-        return SparseVector(size, np.concatenate(indices), np.concatenate(values))
-
-    return of.asNondeterministic()  # so the optimizer leaves it where it is, above the counting
+def _numbered(rows: DataFrame, trial: Trial, work: Workspace) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows with ``_row``, and their counts by block, both saved: every later step starts from these tables."""
+    numbered = work.save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return numbered, [work.save(counted, f"counts-{k}") for k, (counted, _) in enumerate(_counts(numbered, trial))]
 
 
 @dataclass
 class TextModel:
-    """A fitted model: its counting pipeline, inverse frequencies and classifier."""
+    """A fitted model: the terms of its text blocks, its programs, their numbers, and the classifier."""
 
     trial: Trial
-    blocks: PipelineModel
-    idf: dict[str, list[float]]
-    programs: PipelineModel | None
+    blocks: list[tuple[DataFrame, int]]
+    programs: tuple[DataFrame, int] | None
     classifier: object
     labels: list[str]
 
     def features(self, rows: DataFrame) -> DataFrame:
-        out = self.blocks.transform(_prepared(rows, self.trial))
+        """``rows`` with ``features``: word, character and program features side by side, by column functions alone."""
+        work = Workspace(rows.sparkSession, "features")
+        return self._features(*_numbered(rows, self.trial, work), work)
+
+    def _features(self, numbered: DataFrame, counts: list[DataFrame], work: Workspace) -> DataFrame:
+        blocks = [(weigh(counted, terms), size) for counted, (terms, size) in zip(counts, self.blocks)]
         if self.programs is not None:
-            out = self.programs.transform(out)
-        inputs = [*self.idf, *(["_program"] if self.programs is not None else [])]
-        return out.withColumn("features", _joined(list(self.idf.values()))(*inputs))
+            known, size = self.programs
+            blocks.append((numbered.join(F.broadcast(known), "target_program").select(F.col("_row").alias("row"), "place", F.lit(1.0).alias("raw")), size))
+        vectors = sparse_vectors(numbered.select(F.col("_row").alias("row")), blocks, work, "vectors")
+        return numbered.join(vectors.withColumnRenamed("row", "_row"), "_row").drop("_row")
 
     def predict(self, rows: DataFrame, order: str | None = None) -> DataFrame:
         """``rows`` with ``predicted``, with ``order`` in that column's order; blank texts or programs raise an error."""
@@ -184,22 +170,30 @@ def check_predictions(given: DataFrame, predicted: DataFrame, labels: Iterable[s
     return n
 
 
-def fit_model(rows: DataFrame, trial: Trial, iterations: int = 2000) -> TextModel:
+def fit_model(rows: DataFrame, trial: Trial, iterations: int = 2000, tolerance: float = 1e-6) -> TextModel:
     """Fit vocabulary, frequencies and a balanced multinomial regression on ``rows`` alone."""
-    prepared = _prepared(rows, trial)
-    wanted = [("_word_counts", "_words", WORDS)] + ([("_char_counts", "_chars", CHARACTERS)] if trial.feature_mode != "word_program" else [])
-    blocks = Pipeline(stages=[CountVectorizer(inputCol=source, outputCol=name, vocabSize=most, minDF=1.0) for name, source, most in wanted]).fit(prepared)
-    counted = blocks.transform(prepared)
-    idf = {name: IDF(inputCol=name, outputCol="_").fit(counted).idf.toArray().tolist() for name, _, _ in wanted}
+    work = Workspace(rows.sparkSession, "model")
+    numbered, counts = _numbered(rows, trial, work)
+    docs = numbered.count()
+    blocks = []
+    for k, (counted, (_, most)) in enumerate(zip(counts, _counts(numbered, trial))):
+        terms = work.save(learn_vocabulary(counted, F.lit(docs), most), f"terms-{k}", 1)
+        blocks.append((terms, terms.count()))
     programs = None
     if trial.feature_mode != "word_char":
-        programs = Pipeline(stages=[StringIndexer(inputCol="target_program", outputCol="_program_index", handleInvalid="keep"), OneHotEncoder(inputCols=["_program_index"], outputCols=["_program"], dropLast=True)]).fit(rows)
-    labels = sorted(r[0] for r in rows.select("sentiment_label").distinct().collect())
-    model = TextModel(trial, blocks, idf, programs, None, labels)
-    weights = class_weights(rows)
+        # programs are a configured list; one that isn't among them has no feature
+        found = numbered.groupBy("target_program").agg(F.count("*").alias("n"))
+        place = F.row_number().over(Window.orderBy(F.desc("n"), "target_program")) - 1
+        known = work.save(found.select("target_program", place.alias("place")), "programs", 1)
+        programs = known, known.count()
+    labels = sorted(r[0] for r in numbered.select("sentiment_label").distinct().collect())
+    model = TextModel(trial, blocks, programs, None, labels)
+    weights = class_weights(numbered)
     place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("sentiment_label")).cast("double") - 1
-    ready = model.features(rows).withColumn("_label", place).join(F.broadcast(weights.select("sentiment_label", F.col("weight").alias("_weight"))), "sentiment_label")
-    regression = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_weight", family="multinomial", regParam=1 / (trial.C * rows.count()), standardization=False, maxIter=iterations, tol=1e-6)
+    ready = model._features(numbered, counts, work).withColumn("_label", place).join(F.broadcast(weights.select("sentiment_label", F.col("weight").alias("_weight"))), "sentiment_label")
+    # every iteration is a job: few rows are kept in few partitions
+    ready = work.save(ready.select("features", "_label", "_weight"), "ready", -(-docs // ROWS_PER_TASK))
+    regression = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_weight", family="multinomial", regParam=1 / (trial.C * docs), standardization=False, maxIter=iterations, tol=tolerance)
     model.classifier = regression.fit(ready)
     return model
 

@@ -73,6 +73,40 @@ def oracles(keywords: tuple[str, ...], start: str, end: str) -> dict[str, str]:
       WHEN 6 THEN 'configuration changed' WHEN 8 THEN 'invalid configuration checksum' WHEN 10 THEN 'configuration changed' WHEN 11 THEN 'invalid' END"""
     return {
         "csv_round_trip": "SELECT CAST(conv_id AS VARCHAR) AS id_str, 'NA \"x\", y' || coalesce(chr(10) || text, '') AS full_text, CAST(turn AS VARCHAR) AS turn, role FROM conversations",
+        "split_csv": "SELECT CAST(doc_id AS VARCHAR) AS id_str, coalesce('say \"' || text || '\",' || chr(10), '') AS full_text, coalesce(lang, '') AS lang FROM documents",
+        "file_checksums": """
+SELECT c_nationkey, CAST(octet_length(encode(body)) AS BIGINT) AS length, sha256(body) AS sha256, md5(body) AS md5
+FROM (SELECT c_nationkey, string_agg(c_custkey || '|' || c_name || '|' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY 1)""",
+        "price_percentiles": "SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])::DOUBLE AS share, round(unnest(quantile_cont(o_totalprice, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])), 4) AS price FROM orders",
+        "ordered_decisions": """
+WITH RECURSIVE e AS (
+  SELECT event_id AS seq, 'u' || user_id || '-' || (event_id % 3) AS id, event_type AS program, CASE WHEN event_id % 50 = 1 THEN '' ELSE 'value ' || CAST(floor(value) AS BIGINT) END AS key,
+    user_id % 3 <> 0 AS home, event_id % 5 <> 0 AS relevant FROM events),
+h AS (SELECT *, seq % 8 = 0 AS eligible FROM e WHERE seq % 4 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) > 1 AS repeated, (program, id) IN (SELECT (program, id) FROM h WHERE eligible) AS across FROM e WHERE seq % 4 <> 0),
+past AS (SELECT program, key, arg_max(id, seq) AS id FROM h WHERE eligible AND key <> '' GROUP BY ALL),
+able AS (SELECT program, key, min(seq) AS seq, arg_min(id, seq) AS id FROM p WHERE NOT repeated AND NOT across AND home AND relevant AND key <> '' GROUP BY ALL),
+accepted AS (SELECT able.* FROM able LEFT JOIN past USING (program, key) WHERE past.id IS NULL),
+refs AS (SELECT seq, false AS post, id, key FROM h UNION ALL SELECT seq, true, id, key FROM p WHERE key <> ''),
+hub AS (SELECT id, coalesce(max((post, seq)) FILTER (NOT post), min((post, seq))) AS up FROM refs GROUP BY id),
+firsts AS (SELECT key, min((post, seq)) AS up FROM refs WHERE key <> '' GROUP BY key),
+ways AS (
+  SELECT p.seq, CASE WHEN hub.up < (true, p.seq) THEN hub.up WHEN p.key <> '' AND firsts.up < (true, p.seq) THEN firsts.up END AS up, 'text:' || sha256(p.key) AS own
+  FROM p LEFT JOIN hub USING (id) LEFT JOIN firsts USING (key)),
+chase(seq, up) AS (
+  SELECT seq, up FROM ways WHERE up IS NOT NULL
+  UNION ALL SELECT chase.seq, ways.up FROM chase JOIN ways ON chase.up = (true, ways.seq) WHERE ways.up IS NOT NULL),
+ends AS (SELECT seq, min(up) AS up FROM chase GROUP BY seq),
+judged AS (
+  SELECT p.seq, repeated OR across AS duplicate, across, p.key <> '' AND (past.id IS NOT NULL OR coalesce(a.seq < p.seq, false)) AS same_text, coalesce(CASE WHEN a.seq < p.seq THEN a.id END, past.id) AS similar_to,
+    CASE WHEN ends.seq IS NULL THEN ways.own WHEN ends.up[1] THEN root.own ELSE 'h' || ends.up[2] END AS group_id, p.key = '' AS empty, home, relevant
+  FROM p LEFT JOIN past ON past.program = p.program AND past.key = p.key LEFT JOIN accepted a ON a.program = p.program AND a.key = p.key
+  JOIN ways ON ways.seq = p.seq LEFT JOIN ends ON ends.seq = p.seq LEFT JOIN ways root ON (true, root.seq) = ends.up)
+SELECT seq, duplicate, across, same_text, false AS near, similar_to, group_id,
+  CASE WHEN duplicate THEN 'duplicate' WHEN empty THEN 'empty_cleaned_text' WHEN same_text THEN 'duplicate_text' WHEN NOT home AND NOT relevant THEN 'review_language_and_relevance'
+    WHEN NOT home THEN 'review_language' WHEN NOT relevant THEN 'review_relevance' ELSE 'accepted' END AS status
+FROM judged""",
         "run_paths": """
 SELECT o_orderkey, 'p' || (o_custkey % 4) AS program, strftime(run_day, '%Y%m%d') || 'T101112+0700' AS run_id, CAST(o_orderdate AS DATE) AS collected_date, strftime(run_day, '%Y-%m-%dT03:11:12Z') AS collected_at, o_orderkey % 10 <> 0 AS path_agrees
 FROM (SELECT *, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS run_day FROM orders)""",

@@ -19,7 +19,7 @@ from tenun.functions.text import clean_text, language_code, match_keyword, prepa
 from tenun.operators import audit, checks, dedupe, evaluation, features, groups, labeling, manifests, snapshot
 from tenun.operators.model import Trial, fit_model, grouped_splits
 from tenun.operators.preprocess import Run, preprocess_posts, quality_report
-from tenun.sources.posts import read_text_csv, run_columns, write_text_csv
+from tenun.sources.posts import file_digests, path_part, read_split_csv, read_text_csv, run_columns, write_text_csv
 from tenun.sources.shared import Workspace
 from tenun.streaming.ingest import ingest_available, read_ingested, windowed_counts
 
@@ -158,6 +158,18 @@ def similar_posts(spark, sf_dir):
     return joined.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), F.round(F.greatest("forward", "backward"), 6).alias("similarity"))
 
 
+def ordered_decisions(spark, sf_dir):
+    """Short posts that repeat texts and ids, against a history, in order."""
+    words = F.concat(F.lit("value "), F.floor(F.col("value")).cast("string"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.col("event_id") % 3).alias("id"), F.col("event_type").alias("program"), F.when(F.col("event_id") % 50 == 1, "").otherwise(words).alias("text"),
+        (F.col("user_id") % 3 != 0).alias("home_language"), (F.col("event_id") % 5 != 0).alias("relevant"),
+    )
+    history = rows.where("seq % 4 = 0").select("seq", "id", "program", "text", (F.col("seq") % 8 == 0).alias("eligible"), F.concat(F.lit("h"), "seq").alias("group"))
+    posts_ = rows.where("seq % 4 <> 0").withColumn("empty", F.col("text") == "")
+    return dedupe.decide_duplicates(posts_, history).withColumnRenamed("group", "group_id")
+
+
 def _run() -> Run:
     return Run("program", "20260105T000000+0000", datetime(2026, 1, 5, tzinfo=UTC), KEYWORDS)
 
@@ -187,6 +199,24 @@ def csv_round_trip(spark, sf_dir):
     return read_text_csv(spark, path, tuple(rows.columns))
 
 
+def split_csv(spark, sf_dir):
+    """One file of long quoted texts, read by many tasks."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id_str"), F.concat(F.lit('say "'), "text", F.lit('",\n')).alias("full_text"), "lang")
+    path = f"{Workspace(spark, 'csv').path}/raw"
+    write_text_csv(rows.coalesce(1), path)
+    return read_split_csv(spark, path, tuple(rows.columns))
+
+
+def file_checksums(spark, sf_dir):
+    """Files of one line a customer, one file a nation; the larger half of the files is read in pieces."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat_ws("|", F.col("c_custkey"), "c_name", "c_mktsegment").alias("line"))
+    path = f"{Workspace(spark, 'files').path}/lines"
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "line").write.partitionBy("c_nationkey").text(path)
+    size = rows.count() * 35 // 25
+    files = file_digests(spark, path, size)
+    return files.where(F.col("length") > 0).select(path_part(F.col("path"), "c_nationkey").cast("int").alias("c_nationkey"), "length", "sha256", "md5")
+
+
 def run_paths(spark, sf_dir):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     run_id = F.concat(F.date_format(F.date_add("o_orderdate", (F.col("o_orderkey") % 10 == 0).cast("int")), "yyyyMMdd"), F.lit("T101112+0700"))
@@ -345,7 +375,7 @@ def tfidf_word(spark, sf_dir):
 
 def tfidf_char(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return features.tfidf(docs, "doc_id", features.character_grams(F.col("text")), features.CHARACTERS).select("doc_id", "term", F.round("weight", 5).alias("weight"))
+    return features.character_tfidf(docs, "doc_id", F.col("text")).select("doc_id", "term", F.round("weight", 5).alias("weight"))
 
 
 def _judged(spark, sf_dir):
@@ -387,6 +417,11 @@ def latency(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+def price_percentiles(spark, sf_dir):
+    found = evaluation.exact_percentiles(table(spark, sf_dir, "orders"), "o_totalprice", (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0))
+    return found.select("share", F.round("value", 4).alias("price"))
+
+
 def independent_groups(spark, sf_dir):
     return evaluation.independent_groups(labelled(spark, sf_dir), "sentiment_label", "source").select("sentiment_label", F.col("groups").alias("n_groups"))
 
@@ -454,11 +489,11 @@ def daily_counts(spark, sf_dir):
 
 QUERIES = (
     text_prepare, text_clean, text_fingerprints, keyword_match, language_flags, time_buckets, window_filter, scheduled_windows, contract_violations, collection_selection,
-    csv_round_trip, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
+    csv_round_trip, split_csv, file_checksums, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
     split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
-    exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, similar_posts, preprocess, report, lineage_breaks, review_merge, label_conflicts,
+    exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, lineage_breaks, review_merge, label_conflicts,
     training_selection, proposal_gate, leakage, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
-    fold_summary, model_selection, majority, latency, independent_groups, group_split, lr_predict, stream_ingest, daily_counts,
+    fold_summary, model_selection, majority, latency, price_percentiles, independent_groups, group_split, lr_predict, stream_ingest, daily_counts,
 )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenun.operators import dedupe
 from tenun.operators.checks import ContractError
 from tenun.operators.preprocess import RECORD_COLUMNS, Run, as_history, preprocess_posts, quality_report
+from tenun.sources.shared import Workspace
 from tests.test_text import plain_key
 
 BASE = "the quick brown fox jumps over the lazy dog and runs through the long green field"
@@ -24,6 +25,14 @@ def variants(rng, n):
     return out
 
 
+def plain_status(duplicate, empty, same_text, near, home_language, relevant):
+    found = [
+        (duplicate, "duplicate"), (empty, "empty_cleaned_text"), (same_text, "duplicate_text"), (near, "review_similar_text"),
+        (not home_language and not relevant, "review_language_and_relevance"), (not home_language, "review_language"), (not relevant, "review_relevance"),
+    ]
+    return next((name for hit, name in found if hit), "accepted")
+
+
 def plain_fold(history, posts):
     """The rules read one row after the other against everything before."""
     past, out, ids = [dict(h) for h in history], {}, set()
@@ -47,7 +56,7 @@ def plain_fold(history, posts):
                     exact_hit, near_hit, similar = exact_hit or key == other, near_hit or key != other, r["id"]
         across = (p["program"], p["id"]) in old
         duplicate = p["id"] in ids or across or same_id
-        status = dedupe._status(duplicate, p["empty"], exact_hit, near_hit, p["home_language"], p["relevant"])
+        status = plain_status(duplicate, p["empty"], exact_hit, near_hit, p["home_language"], p["relevant"])
         ids.add(p["id"])
         group = last or group
         out[p["seq"]] = (duplicate, across, exact_hit, near_hit, similar, group, status)
@@ -70,8 +79,27 @@ def test_candidates_lose_nothing(spark):
     assert got == want and len(want) > 20
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_fold_equals_plain_rules(spark, seed):
+@pytest.mark.parametrize("long, block", [(40, 500), (80, 100_000), (10_000, 100_000)])
+def test_blocks_lose_nothing(spark, long, block):
+    """Short and long texts, and pairs of one of each, in small and in large blocks."""
+    rng = random.Random(long)
+    keys = sorted({plain_key(t + t[: rng.randrange(60)]) for t in variants(rng, 120)} - {""})
+    table = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(keys)], "key_id long, key string, n int")
+    rows = dedupe.similar_pairs(table, long, block).collect()
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    want = {}
+    for j, b in enumerate(keys):
+        for i, a in enumerate(keys[:j]):
+            if min(len(a), len(b)) >= 40 and min(len(a), len(b)) / max(len(a), len(b)) >= 0.85 and max(scores := (ratio(a, b), ratio(b, a))) >= 0.92:
+                want[i, j] = tuple(s if s >= 0.92 else 0.0 for s in scores)
+    assert len(rows) == len(want) and {(r.a, r.b): (r.forward, r.backward) for r in rows} == want and len(want) > 20
+
+
+@pytest.mark.parametrize("seed, rounds", [(1, False), (2, False), (3, True), (4, True)])
+def test_fold_equals_plain_rules(spark, monkeypatch, seed, rounds):
+    """As one stream at the end, and in rounds to the end."""
+    if rounds:
+        monkeypatch.setattr(dedupe, "LAST_LINKS", 0)
     rng = random.Random(seed)
     row = lambda k, t: {"seq": k, "id": f"i{rng.randrange(60)}", "program": rng.choice("pq"), "text": t}
     history = [row(k, t) | {"eligible": rng.random() < 0.6, "group": f"g{k}"} for k, t in enumerate(variants(rng, 30)) if t]
@@ -84,6 +112,31 @@ def test_fold_equals_plain_rules(spark, seed):
     assert got == plain_fold(history, posts)
 
 
+def in_order(links):
+    """Rows taken one after the other; all places up to the largest one are rows."""
+    taken, rejected = set(), set()
+    for place in range(max((p for p, _ in links), default=-1) + 1):
+        (rejected if any(b in taken for p, b in links if p == place) else taken).add(place)
+    return rejected
+
+
+@pytest.mark.parametrize("last", [0, 40, 10_000])
+def test_rejected_in_order(spark, monkeypatch, last):
+    monkeypatch.setattr(dedupe, "LAST_LINKS", last)
+    rng = random.Random(last)
+    for links in ([], [(k + 1, k) for k in range(9)], [(a, b) for a in range(12) for b in range(a)], [tuple(sorted(rng.sample(range(60), 2), reverse=True)) for _ in range(100)]):
+        table = spark.createDataFrame(links, "p long, b long").select(F.struct(F.lit(True).alias("is_post"), F.col("p").alias("seq")).alias("place"), F.struct(F.lit(True).alias("is_post"), F.col("b").alias("seq")).alias("before"))
+        got = [r.place.seq for r in dedupe.rejected_in_order(table, Workspace(spark, "order")).collect()]
+        assert len(got) == len(set(got)) and set(got) == in_order(links)
+
+
+def test_no_group_in_one_task(spark):
+    rows = [(k, str(k), "p", BASE + " x" * (k % 3), False, True, True) for k in range(30)]
+    given = spark.createDataFrame(rows, "seq long, id string, program string, text string, empty boolean, home_language boolean, relevant boolean")
+    plan = dedupe.decide_duplicates(given)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Window" not in plan
+
+
 def raw(spark, rows):
     names = "seq long, id_str string, full_text string, lang string, created_at string, favorite_count string"
     out = spark.createDataFrame(rows, names)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,55 @@ def test_model_learns_the_words(spark, mode):
         model.predict(given.withColumn("model_text", F.lit(" ")))
 
 
+def tight_loss(x, labels, weights, penalty):
+    """The least objective of a multinomial regression, by Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    classes = max(labels) + 1
+    truth, w = np.eye(classes)[labels], weights / weights.sum()
+    ridge = np.diag(np.r_[np.full(x.shape[1] - 1, penalty), 0.0])
+    coefficients = np.zeros((classes, x.shape[1]))
+
+    def loss(c):
+        z = x @ c.T
+        top = z.max(1, keepdims=True)
+        return float((w * (np.log(np.exp(z - top).sum(1)) + top[:, 0] - (z * truth).sum(1))).sum() + 0.5 * np.einsum("ki,ij,kj->", c, ridge, c))
+
+    for _ in range(30):
+        z = x @ coefficients.T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        gradient = ((p - truth) * w[:, None]).T @ x + coefficients @ ridge
+        curve = np.einsum("n,nk,kl,ni,nj->kilj", w, p, np.eye(classes), x, x) - np.einsum("n,nk,nl,ni,nj->kilj", w, p, p, x, x) + np.einsum("kl,ij->kilj", np.eye(classes), ridge)
+        step = np.linalg.lstsq(curve.reshape(gradient.size, gradient.size), gradient.ravel(), rcond=1e-12)[0].reshape(gradient.shape)
+        size = 1.0
+        while loss(coefficients - size * step) > loss(coefficients) and size > 1e-6:
+            size /= 2
+        coefficients = coefficients - size * step
+    return loss(coefficients)
+
+
+@pytest.mark.parametrize("mode", ["word_program", "word_char_program"])
+def test_the_fit_is_tight(spark, mode):
+    """The tolerance leaves no more than a thousandth of the objective, and the weights are balanced."""
+    given = rows(spark, 4).where("row_id % 5 <> 1 or row_id < 5").withColumn("target_program", F.when(F.col("row_id") % 3 == 0, "a").otherwise("b"))
+    model = fit_model(given, Trial(C=2.0, feature_mode=mode))
+    found = model.features(given).select("features", "sentiment_label").collect()
+    labels = [sorted(WORDS).index(r.sentiment_label) for r in found]
+    counts = np.bincount(labels)
+    weights = np.array([len(labels) / (3 * counts[k]) for k in labels])
+    x = np.array([r.features.toArray() for r in found])
+    x = x[:, x.any(0)]
+    want = tight_loss(x, labels, weights, 1 / (2.0 * len(labels)))
+    assert want * (1 - 1e-9) <= model.classifier.summary.objectiveHistory[-1] <= want * 1.001
+
+
+def test_features_run_no_python(spark):
+    model = fit_model(rows(spark), Trial(2.0, 2, "word_char_program"), iterations=3)
+    plan = model.predict(rows(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert model.features(rows(spark)).schema["features"].dataType.typeName() == "vectorudt"
+
+
 def test_trials():
     good = [Trial(0.5), Trial(2.0), Trial(10.0, 2, "word_char")]
     assert check_trials(good) == good

@@ -3,10 +3,12 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from tenun.operators import audit, checks, evaluation, features, groups, labeling, snapshot
 from tenun.operators.checks import ContractError
+from tenun.sources.shared import Workspace
 from tenun.operators.components import connected_components
 
 LABELS = checks.LABELS
@@ -205,6 +207,8 @@ def test_tfidf_equals_the_formulas(spark):
     got = {(r.id, r.term): r.weight for r in features.tfidf(table, "id", features.character_grams(F.col("t"))).collect()}
     want = plain_tfidf(docs, chars)
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    got = {(r.id, r.term): r.weight for r in features.character_tfidf(table, "id", F.col("t")).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
     top = features.tfidf(table, "id", features.word_tokens(F.col("t")), most=1).collect()
     assert {r.term for r in top} == {"bagus"}
     trained = features.tfidf(table, "id", features.word_tokens(F.col("t")), train=F.col("id") == 0).collect()
@@ -220,6 +224,58 @@ def test_metrics(spark):
     assert rows_of(evaluation.confusion(table, "t", "p"), "t") == [("negative", 1, 0, 1), ("neutral", 0, 0, 0), ("positive", 1, 0, 2)]
 
 
+def test_character_runs_of_short_words(spark):
+    row = spark.createDataFrame([("a  bc",)], "t string").select(features.character_grams(F.col("t"), (5, 6)).alias("g")).first()
+    assert row.g == [" a ", " bc "]
+
+
+def test_sparse_vectors(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "row long")
+    words = spark.createDataFrame([(1, 0, 3.0), (1, 2, 4.0), (2, 1, 5.0)], "row long, place int, raw double")
+    other = spark.createDataFrame([(1, 1, 1.0)], "row long, place int, raw double")
+    found = {r.row: r.features for r in features.sparse_vectors(ids, [(words, 3), (other, 2)], Workspace(spark, "v"), "v").collect()}
+    assert found == {1: SparseVector(5, [0, 2, 4], [0.6, 0.8, 1.0]), 2: SparseVector(5, [1], [1.0]), 3: SparseVector(5, [], [])}
+
+
+def plain_percentile(values, share):
+    values = sorted(values)
+    place = share * (len(values) - 1)
+    low = values[math.floor(place)]
+    return low + (values[math.ceil(place)] - low) * (place - math.floor(place))
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 500 + [1.0], [float(k * k % 101) for k in range(1000)], [-1.5, 0.0, 1e300, 7.25, 7.25]])
+def test_exact_percentiles(spark, values):
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.9, 0.95, 1.0]
+    got = {r.share: r.value for r in evaluation.exact_percentiles(table, "v", shares).collect()}
+    assert got.keys() == set(shares) and all(math.isclose(got[s], plain_percentile(values, s)) for s in shares)
+
+
+def test_percentiles_of_nothing(spark):
+    table = spark.createDataFrame([(None,)], "v double")
+    assert [r.value for r in evaluation.exact_percentiles(table, "v", [0.5]).collect()] == [None]
+    assert evaluation.latency_summary(table, "v").first().asDict() == {"median": None, "p95": None, "max": None}
+    with pytest.raises(ValueError):
+        evaluation.exact_percentiles(table, "v", [1.5])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("last", [0, 5, 10_000])
+def test_components_in_rounds_and_at_once(spark, kind, last):
+    rng = random.Random(last)
+    for edges in ([], [(k, k + 1) for k in range(40)], [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(None, 3), (4, None)]):
+        heads = {n: n for e in edges if None not in e for n in e}
+        for _ in range(len(edges)):
+            for a, b in edges:
+                if None not in (a, b):
+                    heads[a] = heads[b] = min(heads[a], heads[b])
+        name = (lambda n: n) if kind == "long" else (lambda n: None if n is None else f"n{n:03}")
+        table = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+        got = {r.node: r.component for r in connected_components(table, "a", "b", last=last).collect()}
+        assert got == {name(n): name(h) for n, h in heads.items() if any(n in e and e[0] != e[1] and None not in e for e in edges)}
+
+
 @pytest.mark.parametrize("score, good", [(0.7476383, False), (0.75, True), (0.8, True), (float("nan"), False), (None, False)])
 def test_gate(score, good):
     summary = {"registry": None, "deployment_approved": False, "split": {"group_overlap": 0, "test_rows": 5}, "test_metrics": {"test_macro_f1": score}}
