@@ -136,32 +136,24 @@ WITH lines AS (
 solid AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i
   FROM lines WHERE length(trim(line, ' ')) > 0),
-pairs AS (
-  SELECT *, lag(h) OVER w AS h0, length(line) + lag(length(line)) OVER w AS chars, count(*) OVER (PARTITION BY doc_id) AS size
+rolled AS (
+  SELECT *, coalesce((((lag(h) OVER w * 31 + h) % 4294967296) // 31) % 4 = 0, false) AS may_end, lag(line) OVER w AS before
   FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-cut AS (
-  SELECT *, CASE WHEN (((h0 * 31 + h) % 4294967296) // 31) % least(greatest(240 // chars, 1), 8) = 0 THEN i END AS boundary FROM pairs),
-reach AS (
-  SELECT *, least(coalesce(min(boundary) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), i + 7), size) AS till FROM cut),
-chunks AS (
-  SELECT a.doc_id, a.i, a.till, string_agg(b.line, chr(10) ORDER BY b.i) AS t
-  FROM reach a JOIN solid b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.till WHERE a.till > a.i GROUP BY a.doc_id, a.i, a.till
-  UNION ALL
-  SELECT doc_id, i, i, line FROM solid WHERE length(line) > 100 AND len(regexp_extract_all(line, '[^ \t]+')) > 50),
-firsts AS (
-  SELECT till - i AS n, t, min(doc_id) AS first_id FROM chunks GROUP BY ALL HAVING min(doc_id) < max(doc_id)),
-met AS (
-  SELECT c.doc_id, c.i, c.till, o.doc_id AS first_id, o.till AS first_till
-  FROM chunks c JOIN firsts f ON c.till - c.i = f.n AND c.t = f.t JOIN chunks o ON o.doc_id = f.first_id AND o.till - o.i = f.n AND o.t = f.t
-  WHERE c.doc_id > f.first_id),
-steps AS (
-  SELECT m.doc_id, m.i, m.till, m.first_till, k, a.line IS NOT NULL AND a.boundary IS NULL AND m.till > m.i AND coalesce(a.line = b.line, false) AS same
-  FROM met m CROSS JOIN range(1, 8) AS r(k)
-  LEFT JOIN cut a ON a.doc_id = m.doc_id AND a.i = m.till + k AND k < 7
-  LEFT JOIN cut b ON b.doc_id = m.first_id AND b.i = m.first_till + k),
+cut AS (SELECT *, may_end AND NOT coalesce(lag(may_end) OVER (PARTITION BY doc_id ORDER BY i), false) AS boundary FROM rolled),
+placed AS (SELECT *, coalesce(sum(CAST(boundary AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM cut),
+chunks AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS t FROM placed GROUP BY doc_id, chunk HAVING count(*) > 1),
+chunk_hits AS (SELECT doc_id, chunk FROM chunks QUALIFY doc_id > min(doc_id) OVER (PARTITION BY t)),
+pair_hits AS (
+  SELECT doc_id, i, before, line FROM placed WHERE before IS NOT NULL QUALIFY doc_id > min(doc_id) OVER (PARTITION BY before, line)),
+runs AS (
+  SELECT doc_id, i, lag(i) OVER w = i - 1 OR lead(i) OVER w = i + 1 OR len(regexp_extract_all(before || ' ' || line, '[^ \t\n]+')) > 50 AS counts
+  FROM pair_hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+line_hits AS (
+  SELECT doc_id, i FROM solid WHERE length(line) > 100 AND len(regexp_extract_all(line, '[^ \t\n]+')) > 50 QUALIFY doc_id > min(doc_id) OVER (PARTITION BY line)),
 hits AS (
-  SELECT doc_id, i, till + min(k) FILTER (NOT same) - 1 AS till FROM steps GROUP BY doc_id, i, steps.till, first_till),
-gone AS (SELECT DISTINCT s.doc_id, s.p FROM hits JOIN solid s ON s.doc_id = hits.doc_id AND s.i BETWEEN hits.i AND hits.till),
+  SELECT doc_id, i FROM placed JOIN chunk_hits USING (doc_id, chunk)
+  UNION SELECT doc_id, i FROM runs WHERE counts UNION SELECT doc_id, i - 1 FROM runs WHERE counts UNION SELECT doc_id, i FROM line_hits),
+gone AS (SELECT doc_id, p FROM hits JOIN solid USING (doc_id, i)),
 rest AS (
   SELECT l.doc_id, string_agg(CASE WHEN g.p IS NULL THEN l.line END, chr(10) ORDER BY l.p) AS text, CAST(count(g.p) AS INTEGER) AS removed_lines
   FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
