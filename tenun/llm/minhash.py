@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenun.llm.words import blocks, mix, occurrence_labels, seeds, shingle_hashes, word_hashes
+from tenun.llm.words import blocks, mix, occurrence_labels, seeds, shingle_hashes, word_hashes, word_sizes
 from tenun.operators.components import connected_components
 from tenun.sources.shared import Workspace, files_for
 
@@ -31,6 +31,7 @@ BLOCK = 1024
 NEAREST = 1
 CROWD = 8
 MOST_PASSES = 2
+SHORT = 60
 _BITS = 4096
 _CELLS = 1 << 16
 
@@ -58,6 +59,25 @@ def order_minhash(labels: np.ndarray, bands: int = BANDS, picks: int = PICKS) ->
     return keys
 
 
+def short_keys(words: np.ndarray, sizes: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Bucket keys of a short text, of which it shares one with every short text that reaches the threshold.
+
+    Such texts have at least ``common`` occurrence-labelled words in common, so under any
+    one order of all words their first ``n - common + 2`` labels have two in common:
+    each pair of these is a key. Long words come first, as they tend to be rare.
+    """
+    n = len(words)
+    least = int(np.ceil(n * threshold / (2 - threshold) - 1e-9))
+    common = int(np.ceil(threshold * (n + least) / 2 - 1e-9))
+    if common < 2:
+        return np.zeros(0, np.uint64)
+    labels = occurrence_labels(words)
+    first = labels[np.lexsort((labels, -sizes))[: n - common + 2]]
+    one, two = np.triu_indices(len(first), 1)
+    odds = seeds(2, 505) | np.uint64(1)
+    return mix(first[one] * odds[0] + first[two] * odds[1])
+
+
 def banded_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """``2 L / (len(a) + len(b))`` with L the longest common subsequence, 0.0 if below ``threshold``.
 
@@ -96,15 +116,18 @@ def banded_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD
     return score if score + 1e-12 >= threshold else 0.0
 
 
-def _sketches(bands: int, picks: int, size: int):
+def _sketches(bands: int, picks: int, size: int, threshold: float, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in blocks(batch.column("text").to_pylist()):
                 (words,), offsets = word_hashes(texts)
                 keys = []
-                for i in range(len(texts)):
-                    kmers = shingle_hashes(words[offsets[i] : offsets[i + 1]], size, short=True)
-                    keys.append(order_minhash(occurrence_labels(kmers), bands, picks).view(np.int64))
+                for i, text in enumerate(texts):
+                    own = words[offsets[i] : offsets[i + 1]]
+                    sketch = order_minhash(occurrence_labels(shingle_hashes(own, size, short=True)), bands, picks)
+                    if len(own) <= short:
+                        sketch = np.concatenate((sketch, short_keys(own, word_sizes(text), threshold)))
+                    keys.append(sketch.view(np.int64))
                 same = [batch.column(c).slice(start, len(texts)) for c in ("id", "digest")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
@@ -176,7 +199,7 @@ def _possible(threshold: float, nearest: int | None):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, picks: int = PICKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, picks: int = PICKS, short: int = SHORT) -> DataFrame:
     """One row per id with its near-duplicate class: ``(id_col, class_id, class_size)``.
 
     Two texts are linked if the edit similarity of their word sequences,
@@ -185,7 +208,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one class before any sketching, so a group of copies costs one sketch.
     Two picks in 96 bands meet with probability ``1 - (1 - J**2)**96`` for a
     k-mer resemblance J: 0.9998 at J = 0.3, 0.98 at J = 0.2, which is what is left
-    of a text in which every fifth word was replaced (edit similarity 0.8).
+    of a text in which every fifth word was replaced (edit similarity 0.8). Short texts
+    have too few k-mers for that: texts of up to ``short`` words also get a bucket for
+    every two of their longest words, one of which two that reach the threshold always share.
 
     The first ``EARLY_BANDS`` bands only save work: there every text of a bucket is
     compared with the bucket's smallest id, which joins most copies at linear cost,
@@ -209,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Workspace(spark, "near-duplicates")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     given = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
-    sketches = work.save(given.mapInArrow(_sketches(bands, picks, size), "id long, digest binary, keys array<long>"), "sketches")
+    sketches = work.save(given.mapInArrow(_sketches(bands, picks, size, threshold, short), "id long, digest binary, keys array<long>"), "sketches")
     files = files_for(sketches.count())
 
     # one row per id; what is saved before a join can be split there if a key is hot

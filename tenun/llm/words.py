@@ -18,6 +18,7 @@ _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SLICE = 1 << 18
+_WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 _FOREIGN = re.compile(r"[^\w\x00-\x7f]+")
 
 _is_word = np.zeros(256, bool)
@@ -99,6 +100,11 @@ def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tupl
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out], np.searchsorted(place, begins)
 
 
+def word_sizes(text: str | None) -> np.ndarray:
+    """The words' lengths in bytes, in order."""
+    return np.array([len(w) for w in _WORD.findall(normal_bytes(text))], np.int64)
+
+
 def shingle_hashes(words: np.ndarray, size: int = 5, short: bool = False) -> np.ndarray:
     """Hashes of all runs of ``size`` words; with ``short``, a shorter text is one run."""
     if len(words) < size:

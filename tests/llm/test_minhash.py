@@ -3,8 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tenun.llm.minhash import banded_similarity, keep_one, near_duplicates, order_minhash
-from tenun.llm.words import occurrence_labels, shingle_hashes, word_hashes
+from tenun.llm.minhash import banded_similarity, keep_one, near_duplicates, order_minhash, short_keys
+from tenun.llm.words import occurrence_labels, shingle_hashes, word_hashes, word_sizes
 from tests.llm.fixtures import edge_docs, no_docs, text, words
 
 
@@ -101,10 +101,49 @@ def test_recall_at_the_threshold():
                 if 2 * lcs(a.tolist(), b.tolist()) >= 0.8 * (len(a) + len(b)):
                     hits.append((order_minhash(occurrence_labels(shingle_hashes(a))) == order_minhash(occurrence_labels(shingle_hashes(b)))).any())
             met[length, share] = sum(hits) / len(hits)
-    assert min(met.values()) >= 0.87 and sum(met.values()) / len(met) >= 0.95, met
+    assert min(met.values()) >= 0.9 and sum(met.values()) / len(met) >= 0.95, met
     assert all(v >= 0.97 for (_, share), v in met.items() if share <= 0.15), met
 
 
+def test_short_texts_always_meet():
+    """Of texts of 2 to 60 words every pair that reaches 0.8 shares a key, whatever the edits, repeated words included."""
+    rng = random.Random(13)
+    reached = 0
+    for _ in range(4000):
+        base = words(rng, rng.randrange(2, 61), rng.choice([5, 50, 10**6]))
+        other = list(base)
+        for at in sorted(rng.sample(range(len(base)), rng.randrange(len(base) // 3 + 1)), reverse=True):
+            other[at : at + 1] = words(rng, rng.choice([0, 1, 1, 2]), rng.choice([5, 10**6]))
+        if rng.random() < 0.2:
+            other = other[len(other) // 3 :] + base[: rng.randrange(4)]
+        if not 0 < len(other) <= 60:
+            continue
+        hashes = [word_hashes([" ".join(x)])[0][0] for x in (base, other)]
+        if 2 * lcs(hashes[0].tolist(), hashes[1].tolist()) >= 0.8 * (len(base) + len(other)):
+            reached += 1
+            one, two = (short_keys(h, word_sizes(" ".join(x))) for h, x in zip(hashes, (base, other)))
+            assert len(np.intersect1d(one, two)), (base, other)
+    assert reached > 1000
+
+
+def test_word_sizes_are_those_of_the_hashed_words():
+    for given in ["", None, "a bc  d_e", "Größe ñ 😀 x", "İstanbul ½ K"]:
+        hashes, sizes = word_hashes([given])[0][0], word_sizes(given)
+        assert len(hashes) == len(sizes)
+
+
+def test_classes_of_short_texts_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = {}
+    for group in range(30):
+        base = words(rng, rng.randrange(2, 40), 300)
+        for _ in range(4):
+            texts[len(texts)] = " ".join(edited(rng, base, rng.randrange(0, max(2, len(base) // 4))))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert got == brute_classes(texts) and 30 < len(set(got.values())) < 100
+
+
 def test_an_id_with_several_texts_stays(spark):
     rng = random.Random(12)
     a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
