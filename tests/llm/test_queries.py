@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import tokenizers
 
 from tenun.llm import queries
 from tenun.llm.minhash import banded_similarity
@@ -93,10 +94,24 @@ def test_fingerprints(spark, docs):
 
 
 def test_packing(spark, docs):
+    """Every piece holds its document's ids, sequences are gapless and full, and they are as few as can be but one."""
     rows = queries.op8_packing(spark, SF).collect()
     assert {r.doc_id for r in rows} == set(docs) and [f.name for f in queries.op8_packing(spark, SF).schema][:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    total = sum(r.length for r in rows)
-    assert len({r.sequence_id for r in rows}) <= -(-total // 2048) * 1.05 + 1
+    tokenizer = tokenizers.Tokenizer.from_file(queries.tokenizer_file())
+    for doc_id, text in docs.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        pieces = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.piece)
+        assert [r.piece for r in pieces] == list(range(len(pieces))) and all(r.length == 2048 for r in pieces[1:])
+        at = 0
+        for r in pieces:
+            assert r.start == at and 0 < r.length <= 2048 and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids) and (len(ids) > 2048 or len(pieces) == 1)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(ends.values()) // 2048) + 1
 
 
 def test_chat(spark, duck):
