@@ -11,6 +11,7 @@ while Java's own word class differs.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable, Sequence
 
@@ -33,6 +34,7 @@ NOT_BEFORE_WORD = rf"(?!{WORD})"
 _URL = rf"(?iU)(?:www(?=\.[{URL_END_MARKS}]+(?:[{URL_STOPS}]|\z))|(?:https?://|www\.)(?=[^{URL_STOPS}])[^{URL_STOPS}]*?)([{URL_END_MARKS}]*)(?=[{URL_STOPS}]|\z)"
 _CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 _HASHTAG = rf"{NOT_AFTER_WORD}#({WORD}+)"
+_WORDS = re.compile(r"\w+")
 
 
 class _Controls(dict):
@@ -68,11 +70,6 @@ def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
 
-@F.pandas_udf(StringType())
-def _fold_unified(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
-
-
 def strip(text: Column) -> Column:
     """Without white space at the ends, Unicode's included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -138,6 +135,44 @@ def fold_keyword(keyword: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", keyword).casefold().split())
 
 
+class KeywordIndex:
+    """Keywords by the word they begin with: a text's words are looked up once, however many keywords there are."""
+
+    def __init__(self, keywords: Sequence[str]):
+        self.names = list(keywords)
+        self.words: dict[str, list[tuple[int, str]]] = {}
+        self.marks: list[tuple[int, str]] = []
+        self.tags: dict[str, int] = {}
+        for k, folded in enumerate(map(fold_keyword, keywords)):
+            if not folded:
+                continue
+            if begin := _WORDS.match(folded):
+                self.words.setdefault(begin[0], []).append((k, folded))
+            else:
+                self.marks.append((k, folded))
+            for prefix in ("", *HASHTAG_PREFIXES):
+                self.tags.setdefault(prefix + folded.replace(" ", ""), k)
+
+    def first(self, plain: str, tags: Sequence[str]) -> str | None:
+        """The first keyword that stands alone in ``plain`` or that a whole tag spells."""
+        none = best = len(self.names)
+        best = min((self.tags[t] for t in tags if t in self.tags), default=best)
+        for found in _WORDS.finditer(plain) if self.words else ():
+            for k, keyword in self.words.get(found[0], ()):
+                if k < best and plain.startswith(keyword, found.start()) and not _is_word(plain, found.start() + len(keyword)):
+                    best = k
+        for k, keyword in self.marks:
+            at = plain.find(keyword) if k < best else -1
+            while at >= 0 and (_is_word(plain, at - 1) or _is_word(plain, at + len(keyword))):
+                at = plain.find(keyword, at + 1)
+            best = k if at >= 0 else best
+        return None if best == none else self.names[best]
+
+
+def _is_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+
+
 def match_keyword(text: Column, keywords: Sequence[str]) -> Column:
     """The first of ``keywords`` that ``text`` names, else null.
 
@@ -145,8 +180,8 @@ def match_keyword(text: Column, keywords: Sequence[str]) -> Column:
     camel case, or by a whole hashtag that is the keyword without blanks, with or
     without one of the fixed prefixes. Parts of longer words don't count.
     """
-    folded = [(k, f) for k in keywords if (f := fold_keyword(k))]
-    if not folded:
+    index = KeywordIndex(keywords)
+    if not index.tags:
         return F.lit(None).cast("string")
 
     def marked(prepared: Column) -> Column:
@@ -156,23 +191,19 @@ def match_keyword(text: Column, keywords: Sequence[str]) -> Column:
         tags = F.array_join(F.regexp_extract_all(prepared, F.lit(_HASHTAG), F.lit(1)), " ")
         return F.concat(F.array_join(pieces, ""), F.lit("\u0002"), tags)
 
-    def first(parts: Column) -> Column:
-        plain, tags = strip(collapse(parts[0])), F.split(parts[1], " ")
-        return _let(F.struct(plain.alias("plain"), tags.alias("tags")), lambda t: F.coalesce(*[named(t, k, f) for k, f in folded]))
+    def named(given: str | None) -> str | None:
+        if given is None:
+            return None
+        plain, _, tags = unicodedata.normalize("NFKC", given).casefold().partition("\u0002")
+        return index.first(" ".join(plain.split()), tags.split())
 
-    def named(t: Column, keyword: str, folded: str) -> Column:
-        whole = F.array(*[F.lit(p + folded.replace(" ", "")) for p in ("", *HASHTAG_PREFIXES)])
-        alone = t["plain"].rlike(NOT_AFTER_WORD + _quoted(folded) + NOT_BEFORE_WORD)
-        return F.when(alone | F.arrays_overlap(t["tags"], whole), F.lit(keyword))
+    @F.pandas_udf(StringType())
+    def matched(texts: pd.Series) -> pd.Series:
+        return texts.map(named)
 
-    return _let(F.split(_fold_unified(_let(prepare_text(text), marked)), "\u0002"), first)
+    return matched(_let(prepare_text(text), marked))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with ``value`` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _quoted(text: str) -> str:
-    """``text`` as a literal in a Java pattern."""
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"

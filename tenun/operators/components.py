@@ -93,6 +93,27 @@ def connected_components(edges: DataFrame, src: str, dst: str, files: int | None
     return labels
 
 
+def extend_components(labels: DataFrame, edges: DataFrame, src: str, dst: str, last: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What new ``edges`` change: ``(node, component)`` of nodes without a label, and ``(component, merged)`` of components that are joined to others.
+
+    ``labels`` is ``(node, component)`` of all earlier edges, each component named by its
+    smallest node. Only the ends of the new edges are looked up in it; links between
+    known components are links between their names, so what is followed is as large
+    as the new edges, not as all there are. Both results together with ``labels`` are the
+    components of old and new edges.
+    """
+    work = Workspace(edges.sparkSession, "extend")
+    links = work.save(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b"), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = work.save(ends.join(labels.select("node", "component"), "node", "left"), "known")
+    name = lambda end: known.select(F.col("node").alias(end), F.coalesce("component", "node").alias(f"{end}_name"))
+    contracted = links.join(name("a"), "a").join(name("b"), "b").select("a_name", "b_name")
+    found = work.save(connected_components(contracted, "a_name", "b_name", last=last), "found")
+    merged = found.join(known.where("component is not null").select(F.col("component").alias("node")).distinct(), "node", "left_semi").where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    fresh = known.where("component is null").select("node").join(found, "node").select("node", "component")
+    return fresh, merged
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Each link once, smaller end first, without self-loops."""
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -107,6 +107,11 @@ SELECT seq, duplicate, across, same_text, false AS near, similar_to, group_id,
   CASE WHEN duplicate THEN 'duplicate' WHEN empty THEN 'empty_cleaned_text' WHEN same_text THEN 'duplicate_text' WHEN NOT home AND NOT relevant THEN 'review_language_and_relevance'
     WHEN NOT home THEN 'review_language' WHEN NOT relevant THEN 'review_relevance' ELSE 'accepted' END AS status
 FROM judged""",
+        "data_identity": """
+WITH r AS (
+  SELECT o_orderstatus, sha256(concat_ws('|', length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey, CASE WHEN o_orderkey % 9 <> 0 THEN length(o_orderpriority) || ':' || o_orderpriority ELSE 'null' END)) AS h FROM orders),
+q AS (SELECT o_orderstatus, [CAST('0x' || substr(h, 1, 16) AS UBIGINT), CAST('0x' || substr(h, 17, 16) AS UBIGINT), CAST('0x' || substr(h, 33, 16) AS UBIGINT), CAST('0x' || substr(h, 49, 16) AS UBIGINT)] AS l FROM r)
+SELECT o_orderstatus, count(*) AS n_rows, sha256(concat_ws('|', count(*), sum(l[1]::HUGEINT), sum(l[2]::HUGEINT), sum(l[3]::HUGEINT), sum(l[4]::HUGEINT))) AS digest FROM q GROUP BY o_orderstatus""",
         "run_paths": """
 SELECT o_orderkey, 'p' || (o_custkey % 4) AS program, strftime(run_day, '%Y%m%d') || 'T101112+0700' AS run_id, CAST(o_orderdate AS DATE) AS collected_date, strftime(run_day, '%Y-%m-%dT03:11:12Z') AS collected_at, o_orderkey % 10 <> 0 AS path_agrees
 FROM (SELECT *, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS run_day FROM orders)""",
@@ -209,6 +214,7 @@ p AS (SELECT vec_id, a / (a + b + c) AS a, b / (a + b + c) AS b, c / (a + b + c)
 r AS (SELECT vec_id, greatest(a, b, c) AS best, a + b + c - greatest(a, b, c) - least(a, b, c) AS second, CASE WHEN a >= b AND a >= c THEN 'negative' WHEN b >= c THEN 'neutral' ELSE 'positive' END AS label FROM p),
 q AS (SELECT *, concat_ws(';', CASE WHEN vec_id % 5 = 0 THEN 'preprocessing_requires_review' END, CASE WHEN vec_id % 7 = 0 THEN 'teacher_input_truncated' END, CASE WHEN best < 0.8 OR best - second < 0.25 THEN 'uncertain_teacher_prediction' END) AS reason FROM r)
 SELECT vec_id, label AS teacher_proposed_label, round(best, 6) AS teacher_score, round(best - second, 6) AS teacher_margin, reason = '' AS teacher_confidence_candidate, CASE WHEN reason = '' THEN label ELSE 'uncertain' END AS sentiment_label, reason AS candidate_exclusion_reason FROM q""",
+        "leakage_batches": f"WITH RECURSIVE {GROUPED} SELECT row_id, leakage_group FROM groups",
         "leakage": f"WITH RECURSIVE {GROUPED} SELECT row_id, leakage_group FROM groups",
         "benchmark_protection": f"WITH RECURSIVE {GROUPED} SELECT row_id FROM groups JOIN g USING (row_id) WHERE NOT guarded AND leakage_group NOT IN (SELECT leakage_group FROM groups JOIN g USING (row_id) WHERE guarded)",
         "crosstab": f"WITH {LABELLED} SELECT source, count(*) FILTER (sentiment_label = 'negative') AS negative, count(*) FILTER (sentiment_label = 'neutral') AS neutral, count(*) FILTER (sentiment_label = 'positive') AS positive FROM labelled GROUP BY source",

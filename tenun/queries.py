@@ -19,7 +19,7 @@ from tenun.functions.text import clean_text, language_code, match_keyword, prepa
 from tenun.operators import audit, checks, dedupe, evaluation, features, groups, labeling, manifests, snapshot
 from tenun.operators.model import Trial, fit_model, grouped_splits
 from tenun.operators.preprocess import Run, preprocess_posts, quality_report
-from tenun.sources.posts import file_digests, path_part, read_split_csv, read_text_csv, run_columns, write_text_csv
+from tenun.sources.posts import file_digests, path_part, read_split_csv, read_text_csv, rows_identity, run_columns, write_text_csv
 from tenun.sources.shared import Workspace
 from tenun.streaming.ingest import ingest_available, read_ingested, windowed_counts
 
@@ -217,6 +217,12 @@ def file_checksums(spark, sf_dir):
     return files.where(F.col("length") > 0).select(path_part(F.col("path"), "c_nationkey").cast("int").alias("c_nationkey"), "length", "sha256", "md5")
 
 
+def data_identity(spark, sf_dir):
+    """A digest of each status's orders, whatever their order."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("priority"))
+    return rows.repartition(7).groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), rows_identity(["o_orderkey", "o_custkey", "priority"]).alias("digest"))
+
+
 def run_paths(spark, sf_dir):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     run_id = F.concat(F.date_format(F.date_add("o_orderdate", (F.col("o_orderkey") % 10 == 0).cast("int")), "yyyyMMdd"), F.lit("T101112+0700"))
@@ -351,6 +357,15 @@ def leakage(spark, sf_dir):
     return groups.leakage_groups(_grouped_rows(spark, sf_dir), "row_id")
 
 
+def leakage_batches(spark, sf_dir):
+    """The same groups, taken up in three batches of which the later ones join earlier groups."""
+    rows = _grouped_rows(spark, sf_dir)
+    state = None
+    for k in (2, 0, 1):
+        state, _, _ = groups.extend_leakage(state, rows.where(F.col("row_id") % 3 == k), "row_id")
+    return state.groups.select(F.col("row").alias("row_id"), "leakage_group")
+
+
 def benchmark_protection(spark, sf_dir):
     rows = _grouped_rows(spark, sf_dir)
     return groups.protect_rows(rows.where("not guarded"), rows.where("guarded"), "row_id").select("row_id")
@@ -489,10 +504,10 @@ def daily_counts(spark, sf_dir):
 
 QUERIES = (
     text_prepare, text_clean, text_fingerprints, keyword_match, language_flags, time_buckets, window_filter, scheduled_windows, contract_violations, collection_selection,
-    csv_round_trip, split_csv, file_checksums, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
+    csv_round_trip, split_csv, file_checksums, data_identity, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
     split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
     exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, lineage_breaks, review_merge, label_conflicts,
-    training_selection, proposal_gate, leakage, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
+    training_selection, proposal_gate, leakage, leakage_batches, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
     fold_summary, model_selection, majority, latency, price_percentiles, independent_groups, group_split, lr_predict, stream_ingest, daily_counts,
 )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tenun.operators import audit, checks, evaluation, features, groups, labeling, snapshot
 from tenun.operators.checks import ContractError
 from tenun.sources.shared import Workspace
-from tenun.operators.components import connected_components
+from tenun.operators.components import connected_components, extend_components
 
 LABELS = checks.LABELS
 
@@ -276,6 +276,33 @@ def test_components_in_rounds_and_at_once(spark, kind, last):
         assert got == {name(n): name(h) for n, h in heads.items() if any(n in e and e[0] != e[1] and None not in e for e in edges)}
 
 
+@pytest.mark.parametrize("last", [0, 1000])
+def test_components_extend(spark, last):
+    """Batches of links, one after the other, against all of them at once."""
+    rng = random.Random(last + 1)
+    batches = [[(rng.randrange(120), rng.randrange(120)) for _ in range(25)] for _ in range(4)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    labels = connected_components(frame(batches[0]), "a", "b")
+    for k, batch in enumerate(batches[1:], 2):
+        fresh, merged = extend_components(labels, frame(batch), "a", "b", last)
+        moved = {r.component: r.merged for r in merged.collect()}
+        now = {r.node: moved.get(r.component, r.component) for r in labels.collect()} | {r.node: r.component for r in fresh.collect()}
+        assert now == {r.node: r.component for r in connected_components(frame(sum(batches[:k], [])), "a", "b").collect()}
+        labels = spark.createDataFrame(list(now.items()), "node long, component long")
+
+
+def test_leakage_in_batches(spark):
+    rng = random.Random(11)
+    kinds = "row_id long, tweet_id string, conversation_id string, model_text string"
+    rows = [(k, rng.choice(["", None, f"t{rng.randrange(60)}"]), rng.choice(["", f"c{rng.randrange(80)}"]), f"text {rng.randrange(70)}") for k in rng.sample(range(1000), 90)]
+    state = None
+    for k in range(3):
+        state, added, _ = groups.extend_leakage(state, spark.createDataFrame(rows[k * 30 : k * 30 + 30], kinds), "row_id")
+        assert added.count() == 30
+        want = groups.leakage_groups(spark.createDataFrame(rows[: k * 30 + 30], kinds), "row_id")
+        assert {(r.row, r.leakage_group) for r in state.groups.collect()} == {(r.row_id, r.leakage_group) for r in want.collect()}
+
+
 @pytest.mark.parametrize("score, good", [(0.7476383, False), (0.75, True), (0.8, True), (float("nan"), False), (None, False)])
 def test_gate(score, good):
     summary = {"registry": None, "deployment_approved": False, "split": {"group_overlap": 0, "test_rows": 5}, "test_metrics": {"test_macro_f1": score}}

@@ -81,3 +81,26 @@ def test_codes(spark):
     assert column(spark, ["True", "TRUE", "false", None, ""], T.is_true) == [True, True, False, False, False]
     assert column(spark, ["run"], T.execution_key) == [hashlib.sha256(b"run").hexdigest()[:24]]
     assert column(spark, ["　 ", " a "], T.optional) == [None, "a"]
+
+
+def plain_match(text, keywords):
+    """A pattern for each keyword, in order, over folded text without hashtags."""
+    folded = " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+    for k in keywords:
+        word = " ".join(unicodedata.normalize("NFKC", k).casefold().split())
+        if word and re.search(r"(?<!\w)" + re.escape(word) + r"(?!\w)", folded):
+            return k
+    return None
+
+
+def test_many_keywords_at_once(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["mbg", "makan", "gizi", "c++", "+1", "a", "ß", "é", "x_y", "2024", "(", "mb", "bg", "ﬁ"])
+    keywords = [rng.choice([" ", "", "-", "  "]).join(part() for _ in range(rng.randrange(1, 4))) for _ in range(60)] + ["", "  "]
+    texts = [rng.choice([" ", "", ", "]).join(part() for _ in range(rng.randrange(0, 9))) for _ in range(400)]
+    index = T.KeywordIndex(keywords)
+    for t in texts:
+        folded = " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+        assert index.first(folded, []) == plain_match(t, keywords), t
+    many = [f"word{k} of many" for k in range(10_000)] + ["last one"]
+    assert column(spark, ["it has word7777 of many", "the last one", "word1 of  MANY x", "#Last", "#DukungLastOne"], lambda c: T.match_keyword(c, many)) == ["word7777 of many", "last one", "word1 of many", None, "last one"]
