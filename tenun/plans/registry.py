@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenun.sources.posts import Zone
+
 STAGES = ("None", "Staging", "Production", "Archived")
 NEXT = {"None": "Staging", "Staging": "Production"}
 SCHEMA = "name string, version int, stage string, event int, digest string, note string"
@@ -32,15 +34,21 @@ class Registry:
         event = (self.events().agg(F.max("event")).first()[0] or 0) + 1
         self.spark.createDataFrame([(name, version, stage, event, digest, note)], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
+    def _alone(self):
+        """One writer at a time: what an event follows from is read under the lock it is written under."""
+        return Zone(self.spark, self.path).lock()
+
     def register(self, name: str, digest: str, note: str = "") -> int:
-        version = (self.current().where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
-        self._add(name, version, "None", digest, note)
+        with self._alone():
+            version = (self.current().where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
+            self._add(name, version, "None", digest, note)
         return version
 
     def annotate(self, name: str, version: int, note: str) -> None:
         """A note on a version; its stage stays."""
-        row = self._version(name, version)
-        self._add(name, version, row["stage"], row["digest"], note)
+        with self._alone():
+            row = self._version(name, version)
+            self._add(name, version, row["stage"], row["digest"], note)
 
     def verify(self, name: str, digest: str) -> int:
         """The one version in production, whose artifact must still have this digest."""
@@ -59,17 +67,18 @@ class Registry:
 
     def promote(self, name: str, version: int, digest: str, note: str = "") -> str:
         """One stage on; the artifact must be unchanged. What was in production is archived."""
-        row = self._version(name, version)
-        if row["stage"] not in NEXT:
-            raise ValueError(f"{name} {version} can't be promoted")
-        if row["digest"] != digest:
-            raise ValueError(f"{name} {version}: the artifact changed")
-        stage = NEXT[row["stage"]]
-        if stage == "Production":
-            for old in self.current().where((F.col("name") == name) & (F.col("stage") == stage)).collect():
-                self._add(name, old["version"], "Archived", old["digest"], f"replaced by {version}")
-        self._add(name, version, stage, digest, note)
-        return stage
+        with self._alone():
+            row = self._version(name, version)
+            if row["stage"] not in NEXT:
+                raise ValueError(f"{name} {version} can't be promoted")
+            if row["digest"] != digest:
+                raise ValueError(f"{name} {version}: the artifact changed")
+            stage = NEXT[row["stage"]]
+            if stage == "Production":
+                for old in self.current().where((F.col("name") == name) & (F.col("stage") == stage)).collect():
+                    self._add(name, old["version"], "Archived", old["digest"], f"replaced by {version}")
+            self._add(name, version, stage, digest, note)
+            return stage
 
 
 class Experiments:

@@ -23,13 +23,14 @@ def any_of(words: Sequence[str]) -> str:
 
 def search_query(keywords: Sequence[str], language: str | None = None, context: Sequence[str] = ()) -> str:
     """``(a OR "b c") (context) lang:xx``: one group of words after the other, then the language."""
-    groups = filter(None, (keywords, context)) if keywords else (keywords,)
-    query = " ".join(map(any_of, groups))
-    if language is None:
-        return query
-    if len(language) != 2 or not language.isascii() or not language.islower():
-        raise ValueError("a language is two lower-case letters")
-    return f"{query} lang:{language}"
+    parts = [any_of(keywords)]
+    if context:
+        parts.append(any_of(context))
+    if language is not None:
+        if len(language) != 2 or not language.isascii() or not language.islower():
+            raise ValueError("a language is two lower-case letters")
+        parts.append(f"lang:{language}")
+    return " ".join(parts)
 
 
 def parse_window(first: str, last: str) -> tuple[date, date]:

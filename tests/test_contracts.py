@@ -104,6 +104,8 @@ def test_training_manifest(spark):
     for bad in ({"raw_md5": "b"}, {"label_status": "human_approved"}, {"deployment_approved": True}, {"preprocessing_version": "2"}, {"rows": 3}):
         with pytest.raises(ContractError):
             labeling.check_training_manifest(rows, manifest | bad, {"raw_md5": "a"}, "3")
+    with pytest.raises(ContractError, match="preprocessing_version.*rows"):
+        labeling.check_training_manifest(rows, manifest | {"rows": 5, "preprocessing_version": "9"}, {"raw_md5": "a"}, "3")
     table = lambda d: spark.createDataFrame(list(d.items()), "key string, value string")
     assert [tuple(r) for r in labeling.lineage_differences(table({"a": "1", "b": "2"}), table({"a": "1", "b": "3", "c": None, "d": "4"})).orderBy("key").collect()] == [("b", "2", "3"), ("d", None, "4")]
 

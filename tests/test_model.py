@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,14 @@ def test_registry(spark, tmp_path):
             bad()
 
 
+def test_writers_of_a_registry_wait_for_each_other(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path / "registry"))
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: registry.register("m", f"d{k}"), range(6)))
+    assert sorted(versions) == list(range(1, 7))
+    assert sorted(r.event for r in registry.events().collect()) == list(range(1, 7))
+
+
 def test_experiments(spark, tmp_path):
     log = Experiments(spark, str(tmp_path / "runs"), "e")
     for run, score in (("a", 0.5), ("b", 0.75), ("c", 0.75)):
