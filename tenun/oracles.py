@@ -183,6 +183,11 @@ WHERE id_str NOT IN (SELECT id_str FROM ev WHERE seq % 50 = 0) ORDER BY seq LIMI
 WITH {HALVES}, added AS (
   SELECT * FROM fresh WHERE (target_program, id_str) NOT IN (SELECT (target_program, id_str) FROM old)
   QUALIFY row_number() OVER (PARTITION BY target_program, id_str ORDER BY seq) = 1)
+SELECT * FROM old UNION ALL SELECT seq + (SELECT max(seq) + 1 FROM old), target_program, id_str, o_orderstatus FROM added""",
+        "keyed_snapshot": f"""
+WITH {HALVES}, added AS (
+  SELECT * FROM fresh WHERE (target_program, id_str) NOT IN (SELECT (target_program, id_str) FROM old)
+  QUALIFY row_number() OVER (PARTITION BY target_program, id_str ORDER BY seq) = 1)
 SELECT * FROM old UNION ALL SELECT seq + (SELECT max(seq) + 1 FROM old), target_program, id_str, o_orderstatus FROM added""",
         "snapshot_counts": f"""
 WITH {HALVES}, marked AS (
@@ -233,5 +238,8 @@ SELECT round((SELECT avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) FROM
         "latency": "SELECT round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events",
         "independent_groups": f"WITH {LABELLED} SELECT sentiment_label, count(DISTINCT source) AS n_groups FROM labelled GROUP BY 1",
         "stream_ingest": f"SELECT event_type, strftime({local}, '%Y-%m') AS year_month, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "seen_stream": """
+WITH e AS (SELECT event_id AS seq, event_id % 3 AS run, user_id, event_type FROM events)
+SELECT seq, row_number() OVER (PARTITION BY run, user_id, event_type ORDER BY seq) > 1 AS repeated, run > min(run) OVER (PARTITION BY user_id, event_type) AS across FROM e""",
         "daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     }

@@ -21,7 +21,7 @@ from tenun.operators.model import Trial, fit_model, grouped_splits
 from tenun.operators.preprocess import Run, preprocess_posts, quality_report
 from tenun.sources.posts import file_digests, path_part, read_split_csv, read_text_csv, rows_identity, run_columns, write_text_csv
 from tenun.sources.shared import Workspace
-from tenun.streaming.ingest import ingest_available, read_ingested, windowed_counts
+from tenun.streaming.ingest import ingest_available, mark_seen, read_ingested, windowed_counts
 
 KEYWORDS = ("worthless", "of the", "einen", "para el", "pathetic")
 START, END = date(2024, 1, 4), date(2024, 1, 10)
@@ -135,6 +135,17 @@ def snapshot_append(spark, sf_dir):
     return snapshot.append_first_wins(*_order_halves(spark, sf_dir))
 
 
+def keyed_snapshot(spark, sf_dir):
+    """The same rows as ``snapshot_append``, from a table that is dealt by key and appended to twice."""
+    old, new = _order_halves(spark, sf_dir)
+    work = Workspace(spark, "keyed")
+    store = snapshot.KeyedSnapshot(spark, f"keyed_{work.path.rsplit('-', 1)[-1]}", f"{work.path}/table", 8)
+    store.create(old)
+    store.append(new)
+    known = store.rows().select(*[F.col(k) for k in snapshot.KEYS], F.lit(-1).cast("long").alias("seq"), F.lit("again").alias("o_orderstatus")).select(*old.columns)
+    return store.rows().unionByName(store.additions(known))
+
+
 def snapshot_counts(spark, sf_dir):
     return snapshot.append_counts(*_order_halves(spark, sf_dir), "o_orderstatus")
 
@@ -497,6 +508,18 @@ def stream_ingest(spark, sf_dir):
     return read_ingested(spark, sink).groupBy("event_type", "year_month").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def seen_stream(spark, sf_dir):
+    """Which events repeat an id of their batch or of earlier ones, in three batches of one stream."""
+    work = Workspace(spark, "seen")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), "user_id").alias("id"), F.col("event_type").alias("program"))
+    sink = f"{work.path}/sink"
+    for k in range(3):
+        # a run is one file; the stream goes on where it stopped
+        rows.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{work.path}/runs")
+        mark_seen(spark, f"{work.path}/runs", rows.schema, sink, f"{work.path}/checkpoint")
+    return spark.read.parquet(sink).select("seq", "repeated", "across")
+
+
 def daily_counts(spark, sf_dir):
     out = windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", F.col("events").alias("n_events"), F.round("total", 4).alias("total"))
@@ -506,9 +529,9 @@ QUERIES = (
     text_prepare, text_clean, text_fingerprints, keyword_match, language_flags, time_buckets, window_filter, scheduled_windows, contract_violations, collection_selection,
     csv_round_trip, split_csv, file_checksums, data_identity, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
     split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
-    exact_duplicates, priority_dedupe, first_wins, snapshot_append, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, lineage_breaks, review_merge, label_conflicts,
+    exact_duplicates, priority_dedupe, first_wins, snapshot_append, keyed_snapshot, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, lineage_breaks, review_merge, label_conflicts,
     training_selection, proposal_gate, leakage, leakage_batches, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
-    fold_summary, model_selection, majority, latency, price_percentiles, independent_groups, group_split, lr_predict, stream_ingest, daily_counts,
+    fold_summary, model_selection, majority, latency, price_percentiles, independent_groups, group_split, lr_predict, stream_ingest, seen_stream, daily_counts,
 )
 
 

@@ -276,6 +276,29 @@ def test_components_in_rounds_and_at_once(spark, kind, last):
         assert got == {name(n): name(h) for n, h in heads.items() if any(n in e and e[0] != e[1] and None not in e for e in edges)}
 
 
+def test_keyed_snapshot(spark, tmp_path):
+    """The rows of the plain append, over several appends, with nothing of the table moved."""
+    rng = random.Random(21)
+    kinds = "seq long, target_program string, id_str string, text string"
+    part = lambda n: spark.createDataFrame([(k, rng.choice("pq"), f"i{rng.randrange(60)}", f"t{rng.random()}") for k in range(n)], kinds)
+    first = snapshot.build_snapshot(None, part(40))
+    store = snapshot.KeyedSnapshot(spark, f"keyed_{tmp_path.name.replace('-', '_')}", f"{tmp_path}/t", 3)
+    store.create(first)
+    want = first
+    for n in (30, 50):
+        new = part(n).cache()
+        plan = store.additions(new)._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("Join") :]
+        assert "Bucketed: true" in join and join.count("Exchange hashpartitioning") <= 2
+        want = snapshot.append_first_wins(want, new).cache()
+        added = store.append(new)
+        assert rows_of(store.rows(), "seq") == rows_of(want, "seq") and added.count() > 0
+    with pytest.raises(ContractError):
+        store.append(want.withColumn("text", F.lit("again")))
+    with pytest.raises(ContractError):
+        store.append(part(1).withColumn("id_str", F.lit(" ")))
+
+
 @pytest.mark.parametrize("last", [0, 1000])
 def test_components_extend(spark, last):
     """Batches of links, one after the other, against all of them at once."""
