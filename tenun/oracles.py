@@ -107,6 +107,25 @@ SELECT seq, duplicate, across, same_text, false AS near, similar_to, group_id,
   CASE WHEN duplicate THEN 'duplicate' WHEN empty THEN 'empty_cleaned_text' WHEN same_text THEN 'duplicate_text' WHEN NOT home AND NOT relevant THEN 'review_language_and_relevance'
     WHEN NOT home THEN 'review_language' WHEN NOT relevant THEN 'review_relevance' ELSE 'accepted' END AS status
 FROM judged""",
+        "labeled_csv": f"WITH {REVIEWABLE} SELECT target_program, tweet_id, model_text, sentiment_label FROM reviewable",
+        "published_runs": "SELECT lower(o_orderstatus) AS program, count(*) AS processed_rows, 'input ' || lower(o_orderstatus) AS input_sha256, true AS intact FROM orders GROUP BY o_orderstatus",
+        "experiment_slices": """
+SELECT 'run' || k AS run, 'slice' AS kind, o_orderpriority || '.' || c AS key, round(CASE c WHEN 'rows' THEN n ELSE price END, 4) AS number
+FROM (SELECT o_orderkey % 3 AS k, o_orderpriority, count(*)::DOUBLE AS n, avg(o_totalprice) AS price FROM orders GROUP BY 1, 2), (VALUES ('rows'), ('price')) AS v(c)""",
+        "short_report": """
+WITH p AS (
+  SELECT event_id AS seq, 'value ' || CAST(floor(value) AS BIGINT) || CASE WHEN event_id % 5 <> 0 THEN ' of the day' ELSE '' END AS key, user_id % 3 <> 0 AS home, event_id % 5 <> 0 AS relevant,
+    row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) > 1 AS repeated, strftime(TIMESTAMP '2026-01-01 00:00:00' + to_minutes(event_id // 2), '%Y-%m-%dT%H:%M:%SZ') AS moment FROM events),
+accepted AS (SELECT key, min(seq) AS first FROM p WHERE NOT repeated AND home AND relevant GROUP BY key),
+j AS (SELECT p.*, coalesce(first < seq, false) AS same FROM p LEFT JOIN accepted USING (key)),
+s AS (
+  SELECT *, CASE WHEN repeated THEN 'duplicate' WHEN same THEN 'duplicate_text' WHEN NOT home AND NOT relevant THEN 'review_language_and_relevance' WHEN NOT home THEN 'review_language'
+    WHEN NOT relevant THEN 'review_relevance' ELSE 'accepted' END AS status FROM j)
+SELECT 'processed_rows' AS metric, '' AS key, count(*) AS value FROM s UNION ALL SELECT 'duplicate_tweet_ids', '', count(*) FILTER (repeated) FROM s UNION ALL SELECT 'duplicate_tweet_ids_across_runs', '', 0
+UNION ALL SELECT 'empty_cleaned_text_rows', '', 0 UNION ALL SELECT 'duplicate_text_rows', '', count(*) FILTER (same) FROM s UNION ALL SELECT 'near_duplicate_rows', '', 0
+UNION ALL SELECT 'language_review_rows', '', count(*) FILTER (NOT home) FROM s UNION ALL SELECT 'eligible_for_labeling', '', count(*) FILTER (status = 'accepted') FROM s
+UNION ALL SELECT 'quality_status', status, count(*) FROM s GROUP BY status UNION ALL SELECT 'language', CASE WHEN home THEN 'in' ELSE 'de' END, count(*) FROM s GROUP BY home
+UNION ALL SELECT 'published_at_min', moment, count(*) FROM s WHERE moment = (SELECT min(moment) FROM s) GROUP BY moment UNION ALL SELECT 'published_at_max', moment, count(*) FROM s WHERE moment = (SELECT max(moment) FROM s) GROUP BY moment""",
         "data_identity": """
 WITH r AS (
   SELECT o_orderstatus, sha256(concat_ws('|', length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey, CASE WHEN o_orderkey % 9 <> 0 THEN length(o_orderpriority) || ':' || o_orderpriority ELSE 'null' END)) AS h FROM orders),

@@ -19,7 +19,8 @@ from tenun.functions.text import clean_text, language_code, match_keyword, prepa
 from tenun.operators import audit, checks, dedupe, evaluation, features, groups, labeling, manifests, snapshot
 from tenun.operators.model import Trial, fit_model, grouped_splits
 from tenun.operators.preprocess import Run, preprocess_posts, quality_report
-from tenun.sources.posts import file_digests, path_part, read_split_csv, read_text_csv, rows_identity, run_columns, write_text_csv
+from tenun.plans.registry import Experiments
+from tenun.sources.posts import RunPath, Zone, file_digests, path_part, read_split_csv, read_text_csv, rows_identity, run_columns, write_once, write_text_csv
 from tenun.sources.shared import Workspace
 from tenun.streaming.ingest import ingest_available, mark_seen, read_ingested, windowed_counts
 
@@ -193,6 +194,18 @@ def report(spark, sf_dir):
     return quality_report(Workspace(spark, "report").save(preprocess_posts(posts(spark, sf_dir), _run()), "records"))
 
 
+def short_report(spark, sf_dir):
+    """The quality report of short posts, whose every status SQL can tell."""
+    said = F.concat(F.lit("value "), F.floor("value").cast("string"), F.when(F.col("event_id") % 5 != 0, F.lit(" of the day")).otherwise(F.lit("")))
+    zero = F.lit("0")
+    raw = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.col("event_id") % 7).alias("id_str"), F.lit("c").alias("conversation_id_str"), said.alias("full_text"),
+        F.when(F.col("user_id") % 3 != 0, "in").otherwise("de").alias("lang"), F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.floor(F.col("event_id") / 2) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.lit(None).cast("string").alias("tweet_url"), zero.alias("favorite_count"), zero.alias("reply_count"), zero.alias("retweet_count"), zero.alias("quote_count"),
+    )
+    return quality_report(Workspace(spark, "short-report").save(preprocess_posts(raw, _run()), "records"))
+
+
 def preprocess_flags(spark, sf_dir):
     """What SQL can say of the canonical records."""
     records = preprocess_posts(posts(spark, sf_dir), _run())
@@ -228,6 +241,25 @@ def file_checksums(spark, sf_dir):
     return files.where(F.col("length") > 0).select(path_part(F.col("path"), "c_nationkey").cast("int").alias("c_nationkey"), "length", "sha256", "md5")
 
 
+def labeled_csv(spark, sf_dir):
+    """Labelled rows written once; the same rows in another order are the same file."""
+    rows = _reviewable(spark, sf_dir).select("target_program", "tweet_id", "model_text", "sentiment_label")
+    path = f"{Workspace(spark, 'labeled').path}/labels"
+    write_once(rows, path)
+    write_once(rows.repartition(3), path)
+    return read_text_csv(spark, path, tuple(rows.columns))
+
+
+def published_runs(spark, sf_dir):
+    """Runs of a zone, the first one published again from the same input, and whether their data is as it was."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lower("o_orderstatus").alias("program"))
+    zone = Zone(spark, f"{Workspace(spark, 'zone').path}/zone")
+    for program in ("f", "o", "p", "f"):
+        run = RunPath(program, "20260105T000000+0000", date(2026, 1, 5))
+        zone.publish(orders.where(F.col("program") == program), run, date(2026, 1, 6), {"program": program}, f"input {program}")
+    return zone.reports().select(path_part(F.col("run_path"), "program").alias("program"), "processed_rows", "input_sha256", (F.col("sha256") == F.col("output_sha256")).alias("intact"))
+
+
 def data_identity(spark, sf_dir):
     """A digest of each status's orders, whatever their order."""
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("priority"))
@@ -452,6 +484,16 @@ def independent_groups(spark, sf_dir):
     return evaluation.independent_groups(labelled(spark, sf_dir), "sentiment_label", "source").select("sentiment_label", F.col("groups").alias("n_groups"))
 
 
+def experiment_slices(spark, sf_dir):
+    """Metrics by slice of three runs of an experiment, as they are logged."""
+    log = Experiments(spark, f"{Workspace(spark, 'experiments').path}/runs", "prices")
+    orders = table(spark, sf_dir, "orders")
+    for k in range(3):
+        slices = orders.where(F.col("o_orderkey") % 3 == k).groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.avg("o_totalprice").alias("price"))
+        log.log_table(f"run{k}", "slice", slices, "o_orderpriority")
+    return log.runs().select("run", "kind", "key", F.round("number", 4).alias("number"))
+
+
 def _splittable(spark, sf_dir):
     return labelled(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("tweet_id"), F.lit("").alias("conversation_id"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3)).alias("split_group_id"), F.col("text").alias("model_text"), F.col("source").alias("target_program"), "sentiment_label")
 
@@ -527,9 +569,9 @@ def daily_counts(spark, sf_dir):
 
 QUERIES = (
     text_prepare, text_clean, text_fingerprints, keyword_match, language_flags, time_buckets, window_filter, scheduled_windows, contract_violations, collection_selection,
-    csv_round_trip, split_csv, file_checksums, data_identity, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
+    csv_round_trip, split_csv, file_checksums, data_identity, labeled_csv, published_runs, experiment_slices, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
     split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
-    exact_duplicates, priority_dedupe, first_wins, snapshot_append, keyed_snapshot, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, lineage_breaks, review_merge, label_conflicts,
+    exact_duplicates, priority_dedupe, first_wins, snapshot_append, keyed_snapshot, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, short_report, lineage_breaks, review_merge, label_conflicts,
     training_selection, proposal_gate, leakage, leakage_batches, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
     fold_summary, model_selection, majority, latency, price_percentiles, independent_groups, group_split, lr_predict, stream_ingest, seen_stream, daily_counts,
 )
