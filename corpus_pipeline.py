@@ -60,9 +60,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again."""
+    """Apply all stages to ``documents``; each result is written and read again, and goes once the next one is there."""
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        work.keep(name)
     return STAGES[-1][1](spark, docs, sf_dir)
