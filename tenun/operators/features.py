@@ -78,6 +78,12 @@ def learn_vocabulary(counts: DataFrame, docs: Column, most: int) -> DataFrame:
     return known.select("term", place.alias("place"), (F.log((docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def number_programs(rows: DataFrame, program: str = "target_program") -> DataFrame:
+    """``(program, place)``: the programs, of which there are as many as are configured, the most frequent first."""
+    place = F.row_number().over(Window.orderBy(F.desc("n"), program)) - 1
+    return rows.groupBy(program).agg(F.count("*").alias("n")).select(program, place.alias("place"))
+
+
 def weigh(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(row, term, place, raw)``: weights of known terms before rows are scaled."""
     return counts.join(F.broadcast(vocabulary), "term").select("row", "term", "place", ((F.log("n") + 1) * F.col("idf")).alias("raw"))
@@ -112,12 +118,10 @@ def character_tfidf(rows: DataFrame, row_id: str, text: Column, most: int = CHAR
     return _tfidf_of(character_counts(rows, row_id, text), rows, row_id, most, train)
 
 
-def sparse_vectors(ids: DataFrame, blocks: list[tuple[DataFrame, int]], work: Workspace, name: str) -> DataFrame:
-    """``(row, features)`` for every row of ``ids``: blocks of ``(row, place, raw)`` weights side by side.
+def vector_cells(ids: DataFrame, blocks: list[tuple[DataFrame, int]]) -> DataFrame:
+    """``(row, features)`` for every row of ``ids``: blocks of ``(row, place, raw)`` weights side by side, as the struct a sparse vector is stored as.
 
-    Each block is as wide as its size says, and every row's part of it scaled to length
-    one. The vectors are put together by column functions, as the structs that sparse
-    vectors are stored as, and read back as vectors.
+    Each block is as wide as its size says, and every row's part of it scaled to length one.
     """
     nothing = F.lit(None).cast("int")
     cells, base = ids.select("row", nothing.alias("block"), nothing.alias("place"), F.lit(None).cast("double").alias("raw")), 0
@@ -127,9 +131,14 @@ def sparse_vectors(ids: DataFrame, blocks: list[tuple[DataFrame, int]], work: Wo
     norms = F.array(*[F.sqrt(F.sum(F.when(F.col("block") == k, F.col("raw") * F.col("raw")))) for k in range(len(blocks))])
     rows = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "block", "raw")))).alias("cells"), norms.alias("norms"))
     values = F.transform("cells", lambda c: c["raw"] / F.get("norms", c["block"]))
-    stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(base).alias("size"), F.transform("cells", lambda c: c["place"]).alias("indices"), values.alias("values"))
-    work.save(rows.select("row", stored.alias("features")), name)
-    kind = T.StructType([rows.schema["row"], T.StructField("features", VectorUDT())])
+    return rows.select("row", F.struct(F.lit(0).cast("byte").alias("type"), F.lit(base).alias("size"), F.transform("cells", lambda c: c["place"]).alias("indices"), values.alias("values")).alias("features"))
+
+
+def sparse_vectors(ids: DataFrame, blocks: list[tuple[DataFrame, int]], work: Workspace, name: str) -> DataFrame:
+    """``vector_cells`` put together by column functions, written, and read back as vectors."""
+    cells = vector_cells(ids, blocks)
+    work.save(cells, name)
+    kind = T.StructType([cells.schema["row"], T.StructField("features", VectorUDT())])
     return ids.sparkSession.read.schema(kind).parquet(f"{work.path}/{name}")
 
 

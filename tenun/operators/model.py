@@ -8,11 +8,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenun.operators.checks import LABELS, ContractError, Rule, blank, enforce, require_columns
-from tenun.operators.features import CHARACTERS, MODES, WORDS, character_counts, class_weights, learn_vocabulary, ngrams, sparse_vectors, term_counts, weigh, word_tokens
+from tenun.operators.features import CHARACTERS, MODES, WORDS, character_counts, class_weights, learn_vocabulary, ngrams, number_programs, sparse_vectors, term_counts, weigh, word_tokens
 from tenun.operators.groups import leakage_groups
 from tenun.sources.posts import with_sequence
 from tenun.sources.shared import Workspace
@@ -181,10 +181,8 @@ def fit_model(rows: DataFrame, trial: Trial, iterations: int = 2000, tolerance:
         blocks.append((terms, terms.count()))
     programs = None
     if trial.feature_mode != "word_char":
-        # programs are a configured list; one that isn't among them has no feature
-        found = numbered.groupBy("target_program").agg(F.count("*").alias("n"))
-        place = F.row_number().over(Window.orderBy(F.desc("n"), "target_program")) - 1
-        known = work.save(found.select("target_program", place.alias("place")), "programs", 1)
+        # one that isn't among them has no feature
+        known = work.save(number_programs(numbered), "programs", 1)
         programs = known, known.count()
     labels = sorted(r[0] for r in numbered.select("sentiment_label").distinct().collect())
     model = TextModel(trial, blocks, programs, None, labels)

@@ -245,6 +245,13 @@ SELECT vec_id, label AS teacher_proposed_label, round(best, 6) AS teacher_score,
         "class_weights": f"WITH {LABELLED}, c AS (SELECT sentiment_label, count(*) AS n FROM labelled GROUP BY 1) SELECT sentiment_label, n AS n_rows, round((SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE), 6) AS weight FROM c",
         "tfidf_word": _tfidf(r"SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents", "doc_id", 10_000),
         "tfidf_char": _tfidf("SELECT row_id, substr(w, i, n) AS term FROM (SELECT doc_id AS row_id, ' ' || unnest(regexp_extract_all(lower(text), '[^\\s]+')) || ' ' AS w FROM documents), range(3, 6) AS o(n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i)", "doc_id", 20_000),
+        "feature_vectors": f"""
+WITH {LABELLED}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM labelled), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (ORDER BY total DESC, term) - 1 AS place FROM (SELECT term, sum(n) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT 10000)),
+w AS (SELECT doc_id, place, (ln(n) + 1) * (ln((1 + (SELECT count(*) FROM labelled)) / CAST(1 + df AS DOUBLE)) + 1) AS raw FROM c JOIN v USING (term)),
+p AS (SELECT source, row_number() OVER (ORDER BY n DESC, source) - 1 + (SELECT count(*) FROM v) AS place FROM (SELECT source, count(*) AS n FROM labelled GROUP BY source))
+SELECT doc_id, CAST(place AS INTEGER) AS place, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 5) AS weight FROM w
+UNION ALL SELECT doc_id, CAST(place AS INTEGER), 1.0 FROM labelled JOIN p USING (source)""",
         "classification_metrics": f"""
 WITH {LABEL_REPORT}
 SELECT round((SELECT avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0.0 END) FROM judged), 6) AS test_accuracy, round(avg(f1), 6) AS test_macro_f1, round(sum(f1 * support) / sum(support), 6) AS test_weighted_f1,

@@ -436,6 +436,18 @@ def tfidf_char(spark, sf_dir):
     return features.character_tfidf(docs, "doc_id", F.col("text")).select("doc_id", "term", F.round("weight", 5).alias("weight"))
 
 
+def feature_vectors(spark, sf_dir):
+    """The word and program features of labelled rows, cell by cell."""
+    work = Workspace(spark, "vectors")
+    rows = work.save(labelled(spark, sf_dir).select(F.col("doc_id").alias("row"), "source", "text"), "rows")
+    counts = work.save(features.term_counts(rows, "row", features.word_tokens(F.col("text"))), "counts")
+    words = work.save(features.learn_vocabulary(counts, F.lit(rows.count()), features.WORDS), "words", 1)
+    programs = work.save(features.number_programs(rows, "source"), "programs", 1)
+    blocks = [(features.weigh(counts, words), words.count()), (rows.join(F.broadcast(programs), "source").select("row", "place", F.lit(1.0).alias("raw")), programs.count())]
+    cells = features.vector_cells(rows.select("row"), blocks).select("row", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
+    return cells.select(F.col("row").alias("doc_id"), F.col("c.indices").alias("place"), F.round("c.values", 5).alias("weight"))
+
+
 def _judged(spark, sf_dir):
     name = lambda c: F.when(F.col(c) == 1, "positive").otherwise("negative")
     return table(spark, sf_dir, "labels").select(name("quality").alias("truth"), name("toxic").alias("predicted"))
@@ -572,7 +584,7 @@ QUERIES = (
     csv_round_trip, split_csv, file_checksums, data_identity, labeled_csv, published_runs, experiment_slices, run_paths, collection_summary, manifest_check, quarantine_audit, preprocess_flags, training_violations, training_counts, labels_in_order, stacked_batches,
     split_sanity, lineage_equality, split_counts, program_slices, top_ranked, split_invariants,
     exact_duplicates, priority_dedupe, first_wins, snapshot_append, keyed_snapshot, snapshot_counts, near_duplicate_pairs, similar_posts, ordered_decisions, preprocess, report, short_report, lineage_breaks, review_merge, label_conflicts,
-    training_selection, proposal_gate, leakage, leakage_batches, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, classification_metrics, confusion_matrix, label_report,
+    training_selection, proposal_gate, leakage, leakage_batches, benchmark_protection, crosstab, class_weights, tfidf_word, tfidf_char, feature_vectors, classification_metrics, confusion_matrix, label_report,
     fold_summary, model_selection, majority, latency, price_percentiles, independent_groups, group_split, lr_predict, stream_ingest, seen_stream, daily_counts,
 )
 
