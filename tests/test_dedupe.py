@@ -95,6 +95,38 @@ def test_blocks_lose_nothing(spark, long, block):
     assert len(rows) == len(want) and {(r.a, r.b): (r.forward, r.backward) for r in rows} == want and len(want) > 20
 
 
+def test_blocks_are_written_once(spark):
+    """However many blocks a text meets, it goes through the same two exchanges: pairs of blocks come from a product of partitions."""
+    rng = random.Random(5)
+    table = spark.createDataFrame([(k, "".join(rng.choice("abcdef ") for _ in range(200)), 200) for k in range(60)], "key_id long, key string, n int")
+    plan = dedupe.similar_pairs(table, block_chars=400)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInPandas" not in plan
+    assert dedupe.similar_pairs(table, block_chars=400).count() == 0
+
+
+def test_grams_rule_out_no_similar_text():
+    """Edits in one place, spread, and of both texts, to just under what is similar; texts unlike each other are ruled out."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinsrhl") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n // 5))[:n]
+    kept = other = 0
+    for k in range(160):
+        a = text(rng.choice([60, 100, 300, 1000, 4000]))
+        share, spread = rng.choice([0.02, 0.06, 0.078]), rng.choice([0.1, 0.5, 1.0])
+        b = list(a)
+        for _ in range(int(share * len(a))):
+            at = rng.randrange(max(int(spread * len(b)), 1))
+            kind = rng.randrange(3)
+            b[at : at + (kind != 0)] = rng.choice("xyz") if kind != 1 else ""
+        x, y = sorted((dedupe._Long(0, a), dedupe._Long(1, "".join(b))), key=lambda t: t.n)
+        scores = [difflib.SequenceMatcher(None, one.text, two.text, autojunk=False).ratio() for one, two in ((x, y), (y, x))] if x.n < 2000 else [0.0]
+        if max(scores) >= 0.92:
+            kept += 1
+            assert dedupe._share_grams(x, [y])[0] and dedupe._share_grams(y, [x])[0]
+        other += not dedupe._share_grams(x, [dedupe._Long(2, text(x.n))])[0]
+    assert kept > 60 and other > 100
+
+
 @pytest.mark.parametrize("seed, rounds", [(1, False), (2, False), (3, True)])
 def test_fold_equals_plain_rules(spark, monkeypatch, seed, rounds):
     """As one stream at the end, and in rounds to the end."""
