@@ -7,6 +7,8 @@ rows; equal frequencies are ordered by term.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,27 +97,37 @@ def scaled(weighted: DataFrame, row_id: str) -> DataFrame:
     return weighted.select(F.col("row").alias(row_id), "term", (F.col("raw") / norm).alias("weight"))
 
 
-def _tfidf_of(counts: DataFrame, rows: DataFrame, row_id: str, most: int, train: Column | None) -> DataFrame:
+_PARTS_OF_TERMS = 8
+
+
+def _at_home(rows: DataFrame, row_id: str) -> DataFrame:
+    """``rows`` with all of a row's parts in one partition: what is counted and scaled by row needs no exchange of its terms."""
+    # a partition's terms are many times its texts: they should fit in memory
+    parts = _PARTS_OF_TERMS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, F.col(row_id))
+
+
+def _tfidf_of(counted: Callable[[DataFrame], DataFrame], rows: DataFrame, row_id: str, most: int, train: Column | None) -> DataFrame:
+    """Terms are counted twice, for the vocabulary and for the weights: a table of counts would be many times as large as the texts."""
     learned = rows if train is None else rows.where(train)
-    # counted once: the vocabulary and the weights are both read from the table
-    counts = Workspace(rows.sparkSession, "tfidf").save(counts, "counts")
-    known = counts if train is None else counts.join(learned.select(F.col(row_id).alias("row")).distinct(), "row", "left_semi")
-    vocabulary = learn_vocabulary(known, F.lit(learned.count()), most)
-    return scaled(weigh(counts, vocabulary), row_id)
+    known = rows if train is None else rows.join(learned.select(row_id).distinct(), row_id, "left_semi")
+    work = Workspace(rows.sparkSession, "tfidf")
+    vocabulary = work.save(learn_vocabulary(counted(_at_home(known, row_id)), F.lit(learned.count()), most), "vocabulary", 1)
+    return scaled(weigh(counted(_at_home(rows, row_id)), vocabulary), row_id)
 
 
 def tfidf(rows: DataFrame, row_id: str, terms: Column, most: int = WORDS, train: Column | None = None) -> DataFrame:
     """``(row_id, term, weight)``, sparse: rows without a known term have no entry.
 
     ``train`` says which rows give vocabulary and frequencies (all by default).
-    Counting happens before the shuffle; the vocabulary is bounded by ``most``.
+    Only texts and the terms' totals are exchanged; the vocabulary is bounded by ``most``.
     """
-    return _tfidf_of(term_counts(rows, row_id, terms), rows, row_id, most, train)
+    return _tfidf_of(lambda part: term_counts(part, row_id, terms), rows, row_id, most, train)
 
 
 def character_tfidf(rows: DataFrame, row_id: str, text: Column, most: int = CHARACTERS, train: Column | None = None) -> DataFrame:
     """``tfidf`` over the runs of characters inside words."""
-    return _tfidf_of(character_counts(rows, row_id, text), rows, row_id, most, train)
+    return _tfidf_of(lambda part: character_counts(part, row_id, text), rows, row_id, most, train)
 
 
 def vector_cells(ids: DataFrame, blocks: list[tuple[DataFrame, int]]) -> DataFrame:

@@ -215,6 +215,14 @@ def test_tfidf_equals_the_formulas(spark):
     assert {r.term for r in trained} == {"tidak", "bagus"}
 
 
+def test_terms_are_not_exchanged(spark):
+    """One exchange, of the texts: the rows' terms, many times as large, are counted and scaled where the texts are."""
+    table = spark.createDataFrame([(k, f"some words of row {k}") for k in range(20)], "id long, t string")
+    for found in (features.tfidf(table, "id", features.word_tokens(F.col("t"))), features.character_tfidf(table, "id", F.col("t"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 1 and "/counts" not in plan
+
+
 def test_metrics(spark):
     pairs = [("negative", "negative"), ("negative", "positive"), ("positive", "positive"), ("positive", "positive"), ("positive", "negative")]
     table = spark.createDataFrame(pairs, "t string, p string")
