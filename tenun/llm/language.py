@@ -12,8 +12,9 @@ every run of characters other than letters is one blank.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ PROFILE = 400
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1000
 _MAYBE_LETTER = re.compile(r"[^\W\d_]")
-_OTHERS = re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[\W\d_]")
 
 
 def has_letter(text: str) -> bool:
@@ -36,8 +37,21 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    return np.frombuffer(_OTHER.sub(" ", every).encode("utf-32-le", "surrogatepass"), np.uint32) != 32
+
+
 def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(f" {_OTHERS.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    """The lower-cased text between two blanks, in which every run of other characters is one blank."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[points]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    kept[0] = True
+    return np.where(letter, points, np.uint32(32))[kept].astype(np.uint64)
 
 
 _BLANK_PAIR = np.uint64(32 << 21 | 32)
@@ -50,9 +64,12 @@ def _grams(points: np.ndarray, orders: tuple[int, ...]) -> np.ndarray:
     and no n-gram reaches across.
     """
     out, gram = [], np.zeros(len(points), np.uint64)
+    several = bool(((points[1:] == 32) & (points[:-1] == 32)).any())
     for n in range(1, max(orders) + 1):
         gram = (gram[: len(points) - n + 1] << np.uint64(21)) | points[n - 1 :]
-        if n in orders:
+        if n in orders and n > 1 and not several:
+            out.append(gram)
+        elif n in orders:
             # a lone blank says nothing
             crosses = gram == (32 if n == 1 else _BLANK_PAIR)
             if n == 3:

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tenun.llm import toxicity
 from tenun.llm.toxicity import labelled_ids, CUT, SPANS, WIDTH, TextCNN, _within, best_threshold, features, language_thresholds, score_toxicity, train_toxicity
 from tests.llm.fixtures import edge_docs, no_docs, words
 
@@ -152,3 +154,24 @@ def test_only_whole_labels_count(spark):
     numbers = table.selectExpr("doc_id", "try_cast(toxic as double) as toxic")
     assert {tuple(r) for r in labelled_ids(numbers).collect()} == want
     assert {tuple(r) for r in labelled_ids(table.selectExpr("doc_id", "toxic = '1' as toxic")).collect()} == set()
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """What only the last 300 of 3300 toxic ids hold is known, and the rows of several shards make one network."""
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 150_000)
+    rng = random.Random(11)
+    ids = [r.id for r in spark.range(3900).orderBy(F.xxhash64("id")).collect()]
+    given = {k: words(rng, 4, 300) + (["zorch"] if 3000 <= at < 3300 else ["grumble"] if at < 3000 else []) for at, k in enumerate(ids)}
+    docs = spark.createDataFrame([(k, " ".join(x), "en") for k, x in given.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(at < 3300)) for at, k in enumerate(ids)], "doc_id long, toxic int")
+    model = train_toxicity(docs, labels, epochs=3)
+    assert min(model.score([f"w{k} zorch w{k + 1}" for k in range(20)])) >= CUT > max(model.score([f"w{k} w{k + 1} w{k + 2}" for k in range(20)]))
+
+
+def test_counts_stand_for_rows():
+    draw = np.random.default_rng(5)
+    scores, labels, counts = draw.integers(1, 20, 60) / 20, draw.integers(0, 2, 60), draw.integers(1, 5, 60)
+    lang = np.array(["de", "en"] * 30)
+    each = [np.repeat(x, counts) for x in (scores, labels, lang)]
+    assert best_threshold(scores, labels, counts) == best_threshold(*each[:2])
+    assert language_thresholds(scores, labels, lang, 0.4, counts=counts) == language_thresholds(*each, 0.4)
