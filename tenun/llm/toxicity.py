@@ -20,13 +20,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.dataset import dataset
+from pyarrow.dataset import field as field_of
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenun.llm.language import Profiles, identify_languages, learn_profiles
 from tenun.llm.words import blocks, word_hashes
-from tenun.sources.shared import Workspace
+from tenun.sources.shared import Workspace, open_shared
 
 CUT = 0.7
 PREFIXES = (4, 5)
@@ -49,7 +51,8 @@ STEADY = 20
 _PAD = max(SPANS) - 1
 #: The network's parts, in one array after another.
 SHAPES = ((SLOTS + 1, WIDTH), *((n, WIDTH, FILTERS) for n in SPANS), (len(SPANS) * FILTERS,), (1,))
-SIZE = sum(int(np.prod(shape)) for shape in SHAPES)
+_ENDS = [0, *np.cumsum([int(np.prod(shape)) for shape in SHAPES]).tolist()]
+SIZE = _ENDS[-1]
 #: Of each row of a filter's weights: the filter, and which of its words it is for.
 _FILTER = np.concatenate([np.arange(FILTERS) + k * FILTERS for k, n in enumerate(SPANS) for _ in range(n)])
 _STEP = np.concatenate([np.full(FILTERS, j) for n in SPANS for j in range(n)])
@@ -83,8 +86,7 @@ def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _views(flat: np.ndarray) -> list[np.ndarray]:
     """The embedding, the filters of each span, the logistic layer and the bias, as parts of one array."""
-    ends = np.cumsum([int(np.prod(shape)) for shape in SHAPES])
-    return [part.reshape(shape) for part, shape in zip(np.split(flat[: ends[-1]], ends[:-1]), SHAPES)]
+    return [flat[a:b].reshape(shape) for a, b, shape in zip(_ENDS, _ENDS[1:], SHAPES)]
 
 
 def class_weights(share: float) -> np.ndarray:
@@ -145,9 +147,13 @@ class TextCNN:
         maps = np.empty((len(SPANS) * FILTERS, n), np.float32)
         for k, span in enumerate(SPANS):
             own = maps[k * FILTERS : (k + 1) * FILTERS]
-            own[:] = seen[at : at + FILTERS, :n]
-            for j in range(1, span):
-                own += seen[at + j * FILTERS : at + (j + 1) * FILTERS, j : j + n]
+            parts = [seen[at + j * FILTERS : at + (j + 1) * FILTERS, j : j + n] for j in range(span)]
+            if span == 1:
+                own[:] = parts[0]
+            else:
+                np.add(*parts[:2], out=own)
+            for part in parts[2:]:
+                own += part
             at += span * FILTERS
         return maps
 
@@ -313,120 +319,151 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 2 * SHARD_CHARS) -> Ite
         yield shard, docs, np.array(label), np.array(fold)
 
 
-_MOVES = "part int, piece int, shard long, moved binary, squares binary"
+_MOVES = "part int, piece int, shard long, moved binary, squares binary, heavy binary"
+_STATE = "part int, piece int, weights binary, sums binary"
 
 
-def _moves(part: int, network, sums, share: float, turn: int, pieces: int):
-    """What each shard moves in one pass: its own copy of the network learns from all its rows but those of fold ``part``.
+def _state(folder: str | None, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """A network's weights and AdaGrad's sums as the last pass left them in the shared folder; before the first one, as they start."""
+    if folder is None:
+        return TextCNN().weights, start_sums()
+    system, name = open_shared(folder)
+    rows = dataset(name, filesystem=system, format="parquet").to_table(columns=["piece", "weights", "sums"], filter=field_of("part") == part).sort_by("piece")
+    return tuple(np.concatenate([np.frombuffer(x, np.float32) for x in rows.column(c).to_pylist()]) for c in ("weights", "sums"))
 
-    ``network`` and ``sums`` are broadcast. A pass gives, for every piece of the network, how the
-    weights moved and how AdaGrad's sums grew.
+
+def _row(schema: str, *values) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([x], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for x, kind in zip(values, kinds)], names)
+
+
+def _moves(part: int, share: float, folder: str | None, turn: int, pieces: int):
+    """What the shards of a task move in one pass: for each, a copy of network ``part`` learns from all its rows but those of that fold.
+
+    ``share`` of the rows that the network learns from have label 1. For every piece of the network there is one row,
+    however many shards the task has: sums over these of how the weights moved and how AdaGrad's sums grew, and of what they weigh.
+    A weight's moves weigh what they added to its sum, so a word that only few shards have is
+    learned from these as it would be from their rows alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own, own_sums, draw = None, None, None, None
+        weights, sums = _state(folder, part)
+        first, last, total = None, None, np.zeros((3, SIZE))
+        own, own_sums, draw = TextCNN(), None, None
 
-        def moved() -> Iterator[pa.RecordBatch]:
-            steps = zip(np.array_split(own.weights - network.value, pieces), np.array_split(own_sums - sums.value, pieces))
-            for piece, (move, squares) in enumerate(steps):
-                columns = [pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([last], pa.int64()), pa.array([move.tobytes()]), pa.array([squares.tobytes()])]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "piece", "shard", "moved", "squares"])
+        def add() -> None:
+            moved, squares = own.weights - weights, own_sums - sums
+            # where no row has a slope all moves are 0
+            heavy = squares.astype(np.float64) + 1e-30
+            for row, x in zip(total, (heavy * moved, heavy * squares, heavy)):
+                row += x
 
         for shard, docs, labels, folds in _runs(batches):
             if shard != last:
-                if last is not None:
-                    yield from moved()
-                last, own, own_sums = shard, TextCNN(), sums.value.copy()
-                own.weights = network.value.copy()
+                if last is None:
+                    first = shard
+                else:
+                    add()
+                last, own.weights, own_sums = shard, weights.copy(), sums.copy()
                 draw = np.random.default_rng([own.seed, turn, shard])
             seen = np.flatnonzero(folds != part)
             own.learn([docs[i] for i in seen], labels[seen], class_weights(share), own_sums, draw)
         if last is not None:
-            yield from moved()
+            add()
+            for piece, rows in enumerate(np.array_split(total.astype(np.float32), pieces, axis=1)):
+                yield _row(_MOVES, part, piece, first, *(x.tobytes() for x in rows))
 
     return run
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shards' moves as one for each piece, in order of piece and shard.
+def _averaged(folder: str | None, pieces: int):
+    """The networks after a pass, piece by piece: all tasks' moves as one mean. Rows come in order of part, piece and shard."""
 
-    A weight's moves count by what they added to its sum, so a word that only few
-    shards have is learned from these as it would be from their rows alone.
-    """
-    last, totals = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
 
-    def mean() -> pa.RecordBatch:
-        columns = [pa.array([last[0]], pa.int32()), pa.array([last[1]], pa.int32()), *(pa.array([(x / totals[2]).astype(np.float32).tobytes()]) for x in totals[:2])]
-        return pa.RecordBatch.from_arrays(columns, ["part", "piece", "moved", "squares"])
+        def moved() -> pa.RecordBatch:
+            before = [np.array_split(x, pieces)[last[1]] for x in _state(folder, last[0])]
+            after = [(x + mean).astype(np.float32) for x, mean in zip(before, total[:2] / total[2])]
+            return _row(_STATE, *last, *(x.tobytes() for x in after))
 
-    for batch in batches:
-        for part, piece, move, squares in zip(*(batch.column(c).to_pylist() for c in ("part", "piece", "moved", "squares"))):
-            if (part, piece) != last:
-                if last is not None:
-                    yield mean()
-                last, totals = (part, piece), [0.0, 0.0, 0.0]
-            move, squares = (np.frombuffer(x, np.float32).astype(np.float64) for x in (move, squares))
-            # where no row has a slope all moves are 0
-            heavy = squares + 1e-30
-            totals = [totals[0] + heavy * move, totals[1] + heavy * squares, totals[2] + heavy]
-    if last is not None:
-        yield mean()
+        for batch in batches:
+            for part, piece, *sums in zip(*(batch.column(c).to_pylist() for c in ("part", "piece", "moved", "squares", "heavy"))):
+                sums = np.stack([np.frombuffer(x, np.float32) for x in sums]).astype(np.float64)
+                if (part, piece) != last:
+                    if last is not None:
+                        yield moved()
+                    last, total = (part, piece), np.zeros_like(sums)
+                total += sums
+        if last is not None:
+            yield moved()
+
+    return run
 
 
-def _counted(network):
-    """How many rows have a language, a label and a score: ``step`` is the score's place on the logistic scale."""
+def _counted(folder: str | None, parts: list[int]):
+    """How many rows have a language, a label and a score, each by the network of its fold: ``step`` is the score's place on the logistic scale."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = TextCNN()
-        scorer.weights = network.value
+        scorers = {part: TextCNN() for part in parts}
+        for part, scorer in scorers.items():
+            scorer.weights = _state(folder, part)[0]
         for batch in batches:
-            if batch.num_rows:
-                scores = scorer.scores([np.frombuffer(b, np.uint16).reshape(-1, 1 + len(PREFIXES)) for b in batch.column("slots").to_pylist()])
-                steps = np.rint(STEPS * np.log(scores / (1 - scores))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("label"), pa.array(steps)], ["lang", "label", "step"])
+            folds = np.array(batch.column("fold").to_pylist())
+            docs = [np.frombuffer(b, np.uint16).reshape(-1, 1 + len(PREFIXES)) for b in batch.column("slots").to_pylist()]
+            for part, scorer in scorers.items():
+                own = np.flatnonzero(folds == part)
+                if len(own):
+                    scores = scorer.scores([docs[i] for i in own])
+                    steps = np.rint(STEPS * np.log(scores / (1 - scores))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(own)), batch.column("label").take(pa.array(own)), pa.array(steps)], ["lang", "label", "step"])
 
     return run
 
 
 class _Networks:
-    """One network for each fold, which learns from all other rows, and one that learns from all; part ``FOLDS`` is the latter."""
+    """One network for each fold, which learns from all other rows, and one that learns from all; part ``FOLDS`` is the latter.
 
-    def __init__(self, dealt: DataFrame, shares: dict[int, float], shards: int):
-        self.dealt, self.shares, self.turns, self.pieces = dealt, shares, 0, min(shards, PIECES)
-        self.weights = {part: TextCNN().weights for part in shares}
-        self.sums = {part: start_sums() for part in shares}
+    They stay in a table of the shared folder, which tasks read and the next pass writes anew; none comes to the driver
+    before the end.
+    """
+
+    def __init__(self, work: Workspace, dealt: DataFrame, shares: dict[int, float], shards: int):
+        self.work, self.dealt, self.shares, self.turns, self.pieces = work, dealt, shares, 0, min(shards, PIECES)
+        self.table, self.folder = None, None
+        # a task adds up what its shards move, so what is exchanged grows with the cores and not with the rows
+        self.tasks = min(shards, -(-dealt.sparkSession.sparkContext.defaultParallelism // len(shares)))
 
-    def _shared(self, *arrays: np.ndarray) -> list:
-        return [self.dealt.sparkSession.sparkContext.broadcast(x) for x in arrays]
+    def moves(self) -> DataFrame:
+        # Spark would put single partitions that meet in a union into one task, so the network that reads most has two at least
+        tasks = {part: max(2, self.tasks) if part == FOLDS else self.tasks for part in self.shares}
+        return reduce(DataFrame.union, [self.dealt.coalesce(tasks[part]).mapInArrow(_moves(part, share, self.folder, self.turns, self.pieces), _MOVES) for part, share in self.shares.items()])
 
     def learn(self) -> None:
-        """One pass. All networks and shards learn side by side; the driver sees a network and its sums for each part."""
-        given = {part: self._shared(self.weights[part], self.sums[part]) for part in self.shares}
-        moves = reduce(DataFrame.union, [self.dealt.mapInArrow(_moves(part, *given[part], self.shares[part], self.turns, self.pieces), _MOVES) for part in self.shares])
-        dealt = moves.repartitionById(self.pieces * (FOLDS + 1), F.col("part") * self.pieces + F.col("piece")).sortWithinPartitions("part", "piece", "shard")
-        found = dealt.mapInArrow(_averaged, "part int, piece int, moved binary, squares binary").collect()
-        for part in self.shares:
-            own = sorted((r for r in found if r["part"] == part), key=lambda r: r["piece"])
-            self.weights[part] = self.weights[part] + np.concatenate([np.frombuffer(r["moved"], np.float32) for r in own])
-            self.sums[part] = self.sums[part] + np.concatenate([np.frombuffer(r["squares"], np.float32) for r in own])
+        """One pass. All networks and shards learn side by side."""
+        met = self.moves().repartitionById(self.pieces * (FOLDS + 1), F.col("part") * self.pieces + F.col("piece")).sortWithinPartitions("part", "piece", "shard")
+        name = f"networks-{self.turns}"
+        self.table = self.work.save(met.mapInArrow(_averaged(self.folder, self.pieces), _STATE), name)
+        if self.folder is not None:
+            self.work.drop(f"networks-{self.turns - 1}")
+        self.folder = self.work.uri(name)
         self.turns += 1
-        for x in given.values():
-            for y in x:
-                y.destroy()
+
+    def network(self) -> TextCNN:
+        """The network that learned from all rows."""
+        out = TextCNN()
+        rows = self.table.where(F.col("part") == FOLDS).select("piece", "weights").collect()
+        out.weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])])
+        return out
 
     def held_out(self) -> tuple[np.ndarray, ...]:
         """``(languages, labels, scores, counts)`` of all rows, each scored by the network of its fold.
 
         The scores are rounded on the logistic scale, so a language has two times 15 361 counts at most.
         """
-        given = {part: self._shared(self.weights[part])[0] for part in self.shares if part < FOLDS}
-        if not given:
-            return tuple(np.zeros(0, kind) for kind in (object, np.int64, np.float64, np.int64))
-        parts = [self.dealt.where(F.col("fold") == part).mapInArrow(_counted(network), "lang string, label int, step int") for part, network in given.items()]
-        found = reduce(DataFrame.union, parts).groupBy("lang", "label", "step").agg(F.count("*").alias("n")).orderBy("lang", "label", "step").collect()
-        for x in given.values():
-            x.destroy()
-        lang, label, step, n = (np.array([r[c] for r in found]) for c in ("lang", "label", "step", "n"))
+        counts = self.dealt.mapInArrow(_counted(self.folder, [part for part in self.shares if part < FOLDS]), "lang string, label int, step int")
+        found = counts.groupBy("lang", "label", "step").agg(F.count("*").alias("n")).toArrow().sort_by([(c, "ascending") for c in ("lang", "label", "step")])
+        lang, label, step, n = (found.column(c).to_numpy() for c in found.column_names)
         return lang, label, 1 / (1 + np.exp(-step / STEPS)), n
 
 
@@ -496,10 +533,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     names = ["id", "label", "fold", "shard", "lang", "slots"]
     kind = rows.schema["id"].dataType.simpleString()
     shard = F.pmod(F.xxhash64(F.lit("shard"), "id", F.xxhash64("text")), F.lit(shards)).alias("shard")
-    marked = rows.select("id", "label", "fold", shard, "text").mapInArrow(run, f"id {kind}, label int, fold long, shard long, lang string, slots binary")
+    # texts are exchanged, as they are smaller than their words' slots
+    met = rows.select("id", "label", "fold", shard, "text").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "label", "text")
     # each pass reads the shards from the executors' disks; a lost one is made again from the rows
-    dealt = marked.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "label", "slots").persist(StorageLevel.DISK_ONLY)
-    networks, before = _Networks(dealt, shares, shards), None
+    dealt = met.mapInArrow(run, f"id {kind}, label int, fold long, shard long, lang string, slots binary").persist(StorageLevel.DISK_ONLY)
+    dealt.count()  # else the networks, which come to it at the same time, each make it
+    networks, before = _Networks(work, dealt, shares, shards), None
     for turn in range(1, epochs + 1):
         networks.learn()
         if turn < epochs and turn * sum(r["n"] for r in numbers) < ENOUGH * shards:
@@ -509,10 +548,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if before is not None and before - loss < SETTLED:
             break
         before = loss
+    network = networks.network()
     dealt.unpersist()
     work.keep()
-    network = TextCNN()
-    network.weights = networks.weights[FOLDS]
     if len(set(label.tolist())) < 2:
         return ToxicityModel(network, profiles)
     pooled = best_threshold(scores, label, counts)

@@ -175,3 +175,27 @@ def test_counts_stand_for_rows():
     each = [np.repeat(x, counts) for x in (scores, labels, lang)]
     assert best_threshold(scores, labels, counts) == best_threshold(*each[:2])
     assert language_thresholds(scores, labels, lang, 0.4, counts=counts) == language_thresholds(*each, 0.4)
+
+
+def test_networks_do_not_come_to_the_driver(spark, monkeypatch):
+    """Tasks read and write them in the shared folder; nothing is broadcast from here, and one network is collected at the end."""
+    docs, labels, _ = docs_and_labels(spark, 200)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: 1 / 0)
+    assert train_toxicity(docs, labels, epochs=2).network is not None
+
+
+def test_a_pass_exchanges_no_more_for_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 10_000)
+    docs, labels, _ = docs_and_labels(spark, 300)
+    learn, seen = toxicity._Networks.learn, []
+
+    def counting(self):
+        moves = self.moves()
+        seen.append((moves.count(), self.dealt.select("shard").distinct().count(), moves.rdd.getNumPartitions()))
+        learn(self)
+
+    monkeypatch.setattr(toxicity._Networks, "learn", counting)
+    train_toxicity(docs, labels, epochs=1)
+    # a row for each network and piece of it, twice for the one that learns from all rows; networks learn side by side
+    assert seen[0][0] == (toxicity.FOLDS + 2) * toxicity.PIECES and seen[0][1] > 8
+    assert seen[0][2] == toxicity.FOLDS + 2
