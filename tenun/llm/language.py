@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 PROFILE = 400
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1000
+#: Possible n-grams of a text's letters, for each of its characters, up to which they are counted in bins.
+BINS = 32
 _MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]")
 
@@ -95,6 +97,47 @@ def ranked(grams: np.ndarray, most: int) -> np.ndarray:
     return kinds[np.argsort(-numbers, kind="stable")][:most]
 
 
+def ranked_of(points: np.ndarray, orders: tuple[int, ...], most: int) -> np.ndarray:
+    """``ranked(_grams(points, orders), most)`` of one text.
+
+    Where the text has few different letters for its length, every possible n-gram of
+    these is a bin to count in, and nothing is sorted but the counts.
+    """
+    top, longest = int(points.max()) + 1, max(orders)
+    if top > 1 << 16:
+        return ranked(_grams(points, orders), most)
+    at = points.astype(np.int64)
+    place = np.zeros(top, np.int64)
+    place[at] = 1
+    letters = place.nonzero()[0]
+    base = len(letters)
+    if base**longest > BINS * len(at):
+        return ranked(_grams(points, orders), most)
+    place[letters] = np.arange(base)
+    gram = codes = place[at]
+    # a key for each n-gram: how rare, how long, and its letters as digits; so keys are in the order asked for
+    bits = (base**longest).bit_length()
+    keys = []
+    for n in range(1, longest + 1):
+        if n > 1:
+            gram = gram[:-1] * base + codes[n - 1 :]
+        if n in orders:
+            numbers = np.bincount(gram)
+            if n == 1 and letters[0] == 32:  # a lone blank says nothing
+                numbers[0] = 0
+            found = (numbers != 0).nonzero()[0]
+            keys.append(found + ((n - (numbers[found] << 8)) << bits))
+    keys = np.concatenate(keys)
+    keys = np.sort(np.partition(keys, most)[:most] if len(keys) > most else keys)
+    length, code = keys >> bits & 255, keys & (1 << bits) - 1
+    packed = np.zeros(len(keys), np.int64)
+    for k in range(longest):
+        rest = code // base
+        packed |= np.where(length > k, letters[code - rest * base], 0) << (21 * k)
+        code = rest
+    return packed.astype(np.uint64)
+
+
 class Profiles:
     """Ranks of every n-gram of any profile in each profile."""
 
@@ -105,14 +148,17 @@ class Profiles:
         self.ranks = np.full((len(self.names), len(self.grams) + 1), -1, np.int32)
         for k, name in enumerate(self.names):
             self.ranks[k, np.searchsorted(self.grams, np.array(profiles[name], np.uint64))] = np.arange(len(profiles[name]))
+        # an n-gram that a profile lacks is as far from every place as any can be
+        self.places = np.where(self.ranks < 0, 2 * size, self.ranks)
 
     def distances(self, text: str) -> np.ndarray:
         """Mean out-of-place distance to each profile, as a share of the greatest possible."""
-        own = ranked(_grams(_code_points(text), self.orders), self.size)
+        own = ranked_of(_code_points(text), self.orders, self.size)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         at = np.where(self.grams[at] == own, at, len(self.grams))
-        ranks = self.ranks[:, at]
-        moved = np.where(ranks < 0, self.size, np.minimum(np.abs(ranks - np.arange(len(own))), self.size))
+        moved = self.places.take(at, axis=1)
+        moved -= np.arange(len(own), dtype=np.int32)
+        np.minimum(np.abs(moved, out=moved), self.size, out=moved)
         return moved.sum(axis=1) / (len(own) * self.size)
 
     def identify(self, text: str | None) -> tuple[str, float]:
@@ -121,10 +167,10 @@ class Profiles:
             return UNDETERMINED, 0.0
         far = self.distances(text)
         best = int(np.argmin(far))
-        rest = np.delete(far, best)
-        if not len(rest):
-            return self.names[best], float(1 - far[best])
-        return self.names[best], float(1 - far[best] / rest.min()) if rest.min() > 0 else 0.0
+        least, *rest = sorted(far.tolist())
+        if not rest:
+            return self.names[best], 1 - least
+        return self.names[best], 1 - least / rest[0] if rest[0] > 0 else 0.0
 
 
 def _count_grams(orders: tuple[int, ...]):

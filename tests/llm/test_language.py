@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from tenun.llm.language import Profiles, _code_points, _grams, identify_languages, learn_profiles, ranked
+from tenun.llm.language import Profiles, _code_points, _grams, identify_languages, learn_profiles, ranked, ranked_of
 from tests.llm.fixtures import edge_docs, no_docs
 
 SOUNDS = {"aa": "ka ta na ma la", "bb": "str zwo ich pfe aus", "cc": "eau oui ère que ment"}
@@ -101,3 +101,12 @@ def test_edges(spark):
     assert identify_languages(no_docs(spark), learned).count() == 0
     nothing = learn_profiles(no_docs(spark))
     assert {(r.lang_pred, r.score) for r in identify_languages(docs, nothing).collect()} == {("und", 0.0)}
+
+
+def test_counting_in_bins_ranks_as_sorting_does():
+    rng = random.Random(12)
+    texts = [sample(rng, lang, n) for lang in SOUNDS for n in (1, 40, 900)] + ["a", "ab " * 700, "größe 12 " * 60, "中文 " * 400, "\U00010400b" * 300, " 1 "]
+    for t in texts:
+        for orders in ((1, 2, 3), (2,), (1, 3)):
+            for most in (3, 400):
+                assert ranked_of(_code_points(t), orders, most).tolist() == ranked(_grams(_code_points(t), orders), most).tolist()
