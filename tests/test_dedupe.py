@@ -1,5 +1,6 @@
 import difflib
 import random
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -127,6 +128,37 @@ def test_grams_rule_out_no_similar_text():
     assert kept > 60 and other > 100
 
 
+def test_scores_equal_difflib():
+    """Edits, moved and repeated pieces, texts of one word: in both directions."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    for k in range(150):
+        a = " ".join(rng.choice(words) for _ in range(rng.choice([3, 10, 30, 80, 200])))
+        a = (a[:20] * 30)[: len(a)] if k % 5 == 0 else a
+        b = list(a)
+        for _ in range(int(rng.choice([0, 0.01, 0.05, 0.1, 0.3]) * len(a))):
+            at, kind = rng.randrange(len(b) + 1), rng.randrange(4)
+            b[at : at + (0 < kind < 3)] = b[at : at + rng.randrange(40)] if kind == 3 else rng.choice("xyzeta") if kind != 1 else ""
+        b = "".join(b)
+        want = tuple(sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) for x, y in ((a, b), (b, a)))
+        runs = dedupe._runs(*(dedupe._seeds(dedupe._points(t)) for t in (a, b)))
+        assert runs is None or dedupe._common_both(a, b, runs) == want
+        assert (dedupe._common_characters(a, b), dedupe._common_characters(b, a)) == want == (dedupe._short_common(a, b), dedupe._short_common(b, a))
+
+
+def test_long_scores_take_milliseconds():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinsrhl") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    a = [rng.choice(words) for _ in range(4000)]
+    pairs = []
+    for _ in range(5):
+        b = [rng.choice(words) if rng.random() < 0.04 else w for w in a]
+        pairs.append((" ".join(a), " ".join(b)))
+    begun = time.process_time()
+    assert all(dedupe.similarity(x, y) > 0.92 for x, y in pairs)
+    assert time.process_time() - begun < 3
+
+
 @pytest.mark.parametrize("seed, rounds", [(1, False), (2, False), (3, True)])
 def test_fold_equals_plain_rules(spark, monkeypatch, seed, rounds):
     """As one stream at the end, and in rounds to the end."""
