@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenun.operators import dedupe
 from tenun.operators.checks import ContractError
-from tenun.operators.preprocess import RECORD_COLUMNS, Run, as_history, preprocess_posts, quality_report
+from tenun.operators.preprocess import RECORD_COLUMNS, Run, as_history, flag_posts, preprocess_posts, quality_report
 from tenun.sources.shared import Workspace
 from tests.test_text import plain_key
 
@@ -232,6 +232,19 @@ def test_preprocess_records(spark):
     assert again.quality_status == "duplicate" and again.is_duplicate_across_runs
 
 
+def test_flags_compare_no_texts(spark, monkeypatch):
+    """The records' flags are those of the whole records, also against a history, and no texts are compared for them."""
+    rows = [(k, str(k % 4), f"MBG {BASE} {k % 3}", "id", "2026-09-30T18:00:00Z", "0") for k in range(8)]
+    past = as_history(preprocess_posts(raw(spark, rows[:1]), RUN))
+    for history in (None, past):
+        whole = preprocess_posts(raw(spark, rows), RUN, history)
+        with monkeypatch.context() as m:
+            m.setattr(dedupe, "similar_pairs", lambda *a: pytest.fail("texts are compared"))
+            flags = flag_posts(raw(spark, rows), RUN, history)
+            got = sorted(flags.collect())
+        assert got == sorted(whole.select(*flags.columns).collect()) and sum(r.is_duplicate for r in got) == (4 if history is None else 5)
+
+
 @pytest.mark.parametrize("change", [{1: " "}, {2: "  "}, {2: "bad � char"}, {4: "never"}, {5: "-1"}, {5: "1.5"}])
 def test_contract(spark, change):
     row = [0, "1", "text", "id", "2026-09-30T18:00:00Z", "0"]
